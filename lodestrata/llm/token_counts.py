@@ -30,8 +30,6 @@ SCHEMA = "doc_id long, n_bytes long, n_tokens long"
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
-  　"
-
 #: Counts of pieces that a worker remembers before it starts anew.
 REMEMBERED = 700_000
 
