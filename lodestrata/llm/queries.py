@@ -12,6 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .html_text import extract
 from .token_counts import count_tokens
 
 
@@ -20,8 +21,12 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", counts["n_tokens"] > 1024)
 
 
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op7_token_counts,)}
+    return {f.__name__: f for f in (op7_token_counts, op10_html_text)}
 
 
 def oracle_sql() -> dict[str, str]:
