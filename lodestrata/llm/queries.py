@@ -6,27 +6,42 @@ keeps the digest columns of the contract.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .common import table
+from . import packing, token_files
+from .common import shared_dir, table
 from .html_text import extract
 from .token_counts import count_tokens
 
 
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/token-files-{uuid.uuid4().hex}"
+    shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    token_files.write(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), end_id=2, first_rule=49408, shards=shards)
+    rows = token_files.read(spark, path).join(token_files.starts(spark, path), ["shard", "block"])
+    return rows.select("doc_id", (F.col("before") + F.col("in_block")).alias("start"), "n_tokens", "ids_crc32")
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return counts.withColumn("over_limit", counts["n_tokens"] > 1024)
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=0)
+
+
 def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op7_token_counts, op10_html_text)}
+    return {f.__name__: f for f in (op6_token_files, op7_token_counts, op8_packing, op10_html_text)}
 
 
 def oracle_sql() -> dict[str, str]:
