@@ -17,6 +17,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,7 +56,7 @@ def byte_slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int
     n = len(texts)
     if not n:
         return
-    ends = np.cumsum(np.asarray(pa.compute.binary_length(texts).fill_null(0), dtype=np.int64))
+    ends = np.cumsum(np.asarray(pc.binary_length(texts).fill_null(0), dtype=np.int64))
     at = 0
     while at < n:
         base = ends[at - 1] if at else 0

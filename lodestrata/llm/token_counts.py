@@ -19,6 +19,7 @@ import re
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
@@ -111,7 +112,7 @@ def count_tokens(docs: DataFrame, vocabulary: str) -> DataFrame:
                 texts = batch.column(1).slice(at, n).fill_null("")
                 yield pa.RecordBatch.from_pydict({
                     "doc_id": batch.column(0).slice(at, n),
-                    "n_bytes": pa.compute.binary_length(texts).cast(pa.int64()),
+                    "n_bytes": pc.binary_length(texts).cast(pa.int64()),
                     "n_tokens": pa.array(map(counter.count, texts.to_pylist()), pa.int64()),
                 })
 
