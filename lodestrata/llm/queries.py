@@ -16,9 +16,14 @@ from pyspark.sql import functions as F
 from . import packing, token_files
 from .common import shared_dir, table
 from .html_text import extract
+from .jaccard_join import near_duplicates
 from .token_counts import count_tokens
 
 
+def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), size=4, percent=85)
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/token-files-{uuid.uuid4().hex}"
     shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -41,7 +46,7 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op6_token_files, op7_token_counts, op8_packing, op10_html_text)}
+    return {f.__name__: f for f in (op1_jaccard_join, op6_token_files, op7_token_counts, op8_packing, op10_html_text)}
 
 
 def oracle_sql() -> dict[str, str]:
