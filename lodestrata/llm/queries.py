@@ -13,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, token_files
+from . import packing, progressive_jpeg, token_files
 from .common import shared_dir, table
 from .html_text import extract
 from .jaccard_join import near_duplicates
@@ -41,12 +41,17 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=0)
 
 
+def op9_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.encode("text", "utf-8").alias("payload"))
+    return progressive_jpeg.digests(progressive_jpeg.encode_column(texts)).withColumnRenamed("id", "doc_id")
+
+
 def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_jaccard_join, op6_token_files, op7_token_counts, op8_packing, op10_html_text)}
+    return {f.__name__: f for f in (op1_jaccard_join, op6_token_files, op7_token_counts, op8_packing, op9_progressive_jpeg, op10_html_text)}
 
 
 def oracle_sql() -> dict[str, str]:
