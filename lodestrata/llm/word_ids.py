@@ -13,30 +13,75 @@ import numpy as np
 
 from .common import ragged
 
-#: Words that a worker remembers before it starts anew.
-REMEMBERED = 600_000
+#: Words that a worker remembers; beyond, those it has met only once are forgotten, or all.
+REMEMBERED = 1_000_000
 
 
 class Encoder(dict):
+    """Numbers of words; their ids are runs of one flat array."""
+
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.forget()
-
-    def forget(self) -> None:
-        self.clear()
+        special = self.library.get_added_tokens_decoder()
+        self.special = [t.content for t in special.values()]
+        self.mark, self.mark_id = next(((t.content, i) for i, t in special.items() if t.special), ("", -1))
         self.pending: list[bytes] = []
         self.flat = np.zeros(0, np.uint32)
         self.start = np.zeros(0, np.int64)
         self.length = np.zeros(0, np.int64)
+        self.met = np.zeros(0, np.int64)
 
     def __missing__(self, word: bytes) -> int:
         self[word] = i = len(self)
         self.pending.append(word)
         return i
 
+    def forget(self) -> None:
+        keep = np.flatnonzero(self.met > 1)
+        if len(keep) > REMEMBERED // 2:
+            keep = keep[:0]
+        words = list(self)
+        kept = [words[i] for i in keep.tolist()]
+        self.clear()
+        self.update(zip(kept, range(len(kept))))
+        self.flat, self.length = self.flat[ragged(self.start[keep], self.length[keep])], self.length[keep]
+        self.start, self.met = np.cumsum(self.length) - self.length, np.zeros(len(keep), np.int64)
+
+    def learn(self) -> None:
+        """Encode the pending words, many in one call with a special token between them."""
+        words = [w.decode() for w in self.pending]
+        if not self.mark:
+            odd = list(range(len(words)))
+        elif any(s.encode() in b" ".join(self.pending) for s in self.special):
+            odd = [i for i, w in enumerate(words) if any(s in w for s in self.special)]
+        else:
+            odd = []
+        plain = list(words)
+        for i in odd:
+            plain[i] = ""
+        ids, lengths = [], []
+        if self.mark:
+            for i in range(0, len(plain), 4096):
+                found = np.array(self.library.encode_batch_fast([self.mark.join(plain[i : i + 4096])], add_special_tokens=False)[0].ids, np.uint32)
+                cut = np.flatnonzero(found == self.mark_id)
+                lengths.append(np.diff(np.concatenate([[-1], cut, [len(found)]])) - 1)
+                ids.append(np.delete(found, cut))
+        flat = np.concatenate(ids) if ids else np.zeros(0, np.uint32)
+        length = np.concatenate(lengths) if lengths else np.zeros(len(words), np.int64)
+        start = np.cumsum(length) - length
+        if odd:
+            own = [e.ids for e in self.library.encode_batch_fast([words[i] for i in odd], add_special_tokens=False)]
+            at = np.array(odd)
+            length[at] = np.fromiter(map(len, own), np.int64, len(own))
+            start[at] = len(flat) + np.cumsum(length[at]) - length[at]
+            flat = np.concatenate([flat, np.fromiter((x for e in own for x in e), np.uint32, int(length[at].sum()))])
+        self.start, self.length = np.concatenate([self.start, len(self.flat) + start]), np.concatenate([self.length, length])
+        self.flat, self.met = np.concatenate([self.flat, flat]), np.concatenate([self.met, np.zeros(len(words), np.int64)])
+        self.pending = []
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, and how many each text has."""
         if len(self) > REMEMBERED:
@@ -47,13 +92,9 @@ class Encoder(dict):
             count[i] = len(found)
             words += map(self.__getitem__, found)
         if self.pending:
-            new = [e.ids for e in self.library.encode_batch_fast([w.decode() for w in self.pending], add_special_tokens=False)]
-            lengths = np.fromiter(map(len, new), np.int64, len(new))
-            starts = len(self.flat) + np.cumsum(lengths) - lengths
-            self.flat = np.concatenate([self.flat, np.fromiter((x for ids in new for x in ids), np.uint32, int(lengths.sum()))])
-            self.start, self.length = np.concatenate([self.start, starts]), np.concatenate([self.length, lengths])
-            self.pending = []
+            self.learn()
         at = np.array(words, dtype=np.int64)
+        self.met += np.bincount(at, minlength=len(self.met))
         lengths = self.length[at]
         ids = self.flat[ragged(self.start[at], lengths)]
         edge = np.concatenate([[0], np.cumsum(lengths)])[np.concatenate([[0], np.cumsum(count)])]
