@@ -13,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, progressive_jpeg, token_files
+from . import packing, progressive_jpeg, token_files, toxicity
 from .common import shared_dir, table
 from .html_text import extract
 from .jaccard_join import near_duplicates
@@ -24,6 +24,13 @@ def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), size=4, percent=85)
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(toxicity.labelled_rows(docs, table(spark, sf_dir, "labels")))
+    held_out = toxicity.remainder("doc_id", 3) == 1
+    return toxicity.score(docs, model).withColumns({"held_out": held_out, "predicted": (F.col("score") >= 0.7).cast("int")})
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/token-files-{uuid.uuid4().hex}"
     shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -51,7 +58,7 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_jaccard_join, op6_token_files, op7_token_counts, op8_packing, op9_progressive_jpeg, op10_html_text)}
+    return {f.__name__: f for f in (op1_jaccard_join, op5_toxicity, op6_token_files, op7_token_counts, op8_packing, op9_progressive_jpeg, op10_html_text)}
 
 
 def oracle_sql() -> dict[str, str]:
