@@ -15,8 +15,10 @@ from pyspark.sql import functions as F
 
 from . import packing, progressive_jpeg, token_files, toxicity
 from .common import shared_dir, table
+from .decontamination import contamination
 from .html_text import extract
 from .jaccard_join import near_duplicates
+from .line_dedup import dedup_lines
 from .token_counts import count_tokens
 
 
@@ -24,6 +26,18 @@ def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), size=4, percent=85)
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.fit(toxicity.labelled_rows(docs, table(spark, sf_dir, "labels")))
@@ -58,8 +72,58 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_jaccard_join, op5_toxicity, op6_token_files, op7_token_counts, op8_packing, op9_progressive_jpeg, op10_html_text)}
+    return {f.__name__: f for f in (op1_jaccard_join, op3_line_dedup, op4_decontamination, op5_toxicity, op6_token_files, op7_token_counts, op8_packing, op9_progressive_jpeg, op10_html_text)}
+
+
+OP3_SQL = r"""
+WITH lines AS (
+  SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents
+), own AS (
+  SELECT *, list_filter(range(1, len(ls) + 1), lambda i: regexp_replace(ls[i], '^[\t-\r ]+|[\t-\r ]+$', '', 'g') <> '') AS o FROM lines
+), trimmed AS (
+  SELECT *, list_transform(o, lambda i: regexp_replace(ls[i], '^[\t-\r ]+|[\t-\r ]+$', '', 'g')) AS t FROM own
+), places AS (
+  SELECT doc_id, t, unnest(range(0, greatest(len(t) - 3, 0) + 1)) AS p FROM trimmed WHERE len(t) > 0
+), windows AS (
+  SELECT doc_id, p, array_to_string(t[p + 1 : p + 3], chr(10)) AS w FROM places
+), firsts AS (
+  SELECT w, min({'d': doc_id, 'a': p}) AS f FROM windows GROUP BY w HAVING count(*) > 1
+), later AS (
+  SELECT doc_id, p FROM windows JOIN firsts USING (w) WHERE doc_id <> f.d OR p <> f.a
+), covered AS (
+  SELECT doc_id, list_distinct(flatten(list([p + 1, p + 2, p + 3]))) AS ks FROM later GROUP BY doc_id
+), gone AS (
+  SELECT own.doc_id, text, ls, len(o) AS n_lines, CASE WHEN ks IS NULL THEN NULL ELSE list_transform(list_filter(ks, lambda k: k <= len(o)), lambda k: o[k]) END AS g
+  FROM own LEFT JOIN covered ON own.doc_id = covered.doc_id
+)
+SELECT doc_id,
+  CASE WHEN g IS NULL THEN text ELSE coalesce(array_to_string(list_transform(list_filter(range(1, len(ls) + 1), lambda i: NOT list_contains(g, i)), lambda i: ls[i]), chr(10)), '') END AS text,
+  CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(len(g), 0) AS BIGINT) AS n_removed
+FROM gone
+"""
+
+OP4_SQL = r"""
+WITH doc_words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), item_words AS (
+  SELECT CAST(item_id AS VARCHAR) AS item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+), sized AS (
+  SELECT item_id, w, least(len(w), 10) AS k FROM item_words WHERE len(w) > 0
+), runs AS (
+  SELECT DISTINCT item_id, k, array_to_string(w[i : i + k - 1], ' ') AS run FROM (SELECT item_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM sized)
+), ks AS (SELECT DISTINCT k FROM runs
+), doc_runs AS (
+  SELECT doc_id, k, i, array_to_string(w[i : i + k - 1], ' ') AS run FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM doc_words, ks WHERE len(w) >= k)
+), hits AS (
+  SELECT doc_id, d.k, i, item_id FROM doc_runs d JOIN runs r ON d.k = r.k AND d.run = r.run
+), per_doc AS (
+  SELECT doc_id, len(list_distinct(flatten(list(range(i, i + k))))) AS n_hit, array_to_string(list_sort(list_distinct(list(item_id))), ',') AS items, count(DISTINCT item_id) AS n_items FROM hits GROUP BY doc_id
+)
+SELECT doc_words.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM doc_words LEFT JOIN per_doc ON doc_words.doc_id = per_doc.doc_id
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_line_dedup": OP3_SQL, "op4_decontamination": OP4_SQL}
