@@ -13,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, progressive_jpeg, token_files, toxicity
+from . import class_lm, packing, progressive_jpeg, token_files, toxicity
 from .common import shared_dir, table
 from .decontamination import contamination
 from .html_text import extract
@@ -26,6 +26,12 @@ def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), size=4, percent=85)
 
 
+def op2_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    remainder = toxicity.remainder("doc_id", 10)
+    scores = class_lm.score(table(spark, sf_dir, "documents"), remainder != 0)
+    return scores.withColumns({"held_out": remainder == 0, "perplexity": F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens"))})
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -72,7 +78,7 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_jaccard_join, op3_line_dedup, op4_decontamination, op5_toxicity, op6_token_files, op7_token_counts, op8_packing, op9_progressive_jpeg, op10_html_text)}
+    return {f.__name__: f for f in (op1_jaccard_join, op2_class_lm, op3_line_dedup, op4_decontamination, op5_toxicity, op6_token_files, op7_token_counts, op8_packing, op9_progressive_jpeg, op10_html_text)}
 
 
 OP3_SQL = r"""
