@@ -185,6 +185,21 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCORES)
 
 
+def keep_clean(docs: DataFrame, model: Model, limit: float) -> DataFrame:
+    """The rows of ``docs`` whose text scores below ``limit``, all columns as they are."""
+    shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.bias, model.prior))
+    place = docs.columns.index("text")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Model(*shared.value)
+        for batch in batches:
+            for at, n in byte_slices(batch.column(place)):
+                part = batch.slice(at, n)
+                yield part.filter(pa.array([own.score(t)[0] < limit for t in part.column(place).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def remainder(column: str, by: int):
     """crc32 of an id as text, modulo ``by``."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % by
