@@ -145,8 +145,8 @@ def list_column(values: np.ndarray, lengths: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)), pa.array(values))
 
 
-def sum_blobs(df: DataFrame, dtype: str, parts: int) -> DataFrame:
-    """Add the deflated count vectors in ``blob`` for each ``key``.
+def sum_blobs(df: DataFrame, dtype: str, parts: int, join=np.add) -> DataFrame:
+    """Add, or ``join`` otherwise, the deflated vectors in ``blob`` for each ``key``.
 
     ``df`` has ``key int, blob binary``; the result has one row per key. A task
     keeps one vector per key of its partition, whatever the number of rows.
@@ -158,7 +158,7 @@ def sum_blobs(df: DataFrame, dtype: str, parts: int) -> DataFrame:
             for key, blob in zip(b.column("key").to_pylist(), b.column("blob")):
                 x = np.frombuffer(zlib.decompress(blob.as_py()), dtype)
                 if key in total:
-                    total[key] += x
+                    join(total[key], x, out=total[key])
                 else:
                     total[key] = x.copy()
         for key, x in total.items():

@@ -9,9 +9,10 @@
    two linked sets share a shingle within the first ``n - ceil(t n) + 1`` of
    each, the prefix. Shingles in the prefixes of several classes make buckets.
 3. The set nearest the start of its order leads the bucket, and every other
-   set is compared with its leaders. For that, the global order is cut into
-   fragments, sets are stored as one segment per fragment, partial overlaps are
-   counted fragment by fragment and summed per pair.
+   set is compared with its leaders, unless sizes or parities of hash residues
+   already show that they differ too much. For that, the global order is cut
+   into fragments, sets are stored as one segment per fragment, partial overlaps
+   are counted fragment by fragment and summed per pair.
 4. Sets linked with a leader are linked among each other through it. By the
    triangle inequality of Jaccard distance, they cannot be linked with a set
    more than twice the allowed distance away. What is left are pairs with a
@@ -43,6 +44,8 @@ from .common import Words, byte_slices, list_column, mix64, stage, sum_blobs
 
 #: Cells of the count table and of the pieces in which tasks send it; fragments of rare shingles.
 CELLS, PIECE, RARE_FRAGMENTS = 1 << 22, 1 << 16, 4
+#: Bits of the table of ids, and bytes of its pieces.
+FLAGS, FLAG_PIECE = 1 << 26, 1 << 17
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3], np.uint64)
 
 
@@ -119,16 +122,86 @@ def _prefixes(docs: DataFrame, size: int, percent: int, level) -> DataFrame:
                 sets = shingle_sets(batch.column(1).slice(at, n), size)
                 heads = [_ordered(s, table)[0][: prefix_length(len(s), percent)] if len(s) else s for s in sets]
                 flat = np.concatenate(heads).view(np.int64) if heads else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, n), list_column(flat, np.array([len(h) for h in heads]))], ["doc_id", "head"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, n), list_column(flat, np.array([len(h) for h in heads])), pa.array(map(_parities, sets), pa.binary())], ["doc_id", "head", "parities"])
 
-    return docs.mapInArrow(run, "doc_id long, head array<long>")
+    return docs.mapInArrow(run, "doc_id long, head array<long>, parities binary")
 
 
-def _segments(docs: DataFrame, size: int, level) -> DataFrame:
+def _parities(s: np.ndarray) -> bytes:
+    """One bit per residue of the hashes: whether an odd number of shingles has it. One to two bits per shingle."""
+    size = 1 << max(6, (max(1, len(s)) - 1).bit_length())
+    return np.packbits((np.bincount((s & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def _least_difference(x: bytes, y: bytes) -> int:
+    """A lower bound of the number of shingles in which two sets differ."""
+    a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    while len(a) > len(b):
+        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+    while len(b) > len(a):
+        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum())
+
+
+def _within(pairs: DataFrame, parities: DataFrame, percent: int) -> DataFrame:
+    """``pairs(a, b, na, nb)`` without those that parities show to be more than ``percent`` hundredths apart."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b, na, nb, x, y = (batch.column(i).to_pylist() for i in range(6))
+            keep = [_least_difference(p, q) * (200 - percent) <= percent * (m + n) for p, q, m, n in zip(x, y, na, nb)]
+            yield pa.RecordBatch.from_arrays(batch.columns[:4], ["a", "b", "na", "nb"]).filter(pa.array(keep, pa.bool_()))
+
+    both = pairs.join(parities.select(F.col("doc_id").alias("a"), F.col("parities").alias("x")), "a").join(parities.select(F.col("doc_id").alias("b"), F.col("parities").alias("y")), "b")
+    return both.select("a", "b", "na", "nb", "x", "y").mapInArrow(run, "a long, b long, na long, nb long")
+
+
+def _flags(ids: DataFrame) -> bytes:
+    """A bit for each residue of hashed ids: FLAGS bits for any number of ids."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flags = np.zeros(FLAGS // 8, np.uint8)
+        for batch in batches:
+            at = _flag(np.asarray(batch.column(0)))
+            np.bitwise_or.at(flags, at >> 3, (1 << (at & 7)).astype(np.uint8))
+        for k in range(0, len(flags), FLAG_PIECE):
+            if flags[k : k + FLAG_PIECE].any():
+                yield pa.RecordBatch.from_arrays([pa.array([k // FLAG_PIECE], pa.int32()), pa.array([zlib.compress(flags[k : k + FLAG_PIECE].tobytes(), 1)], pa.binary())], ["key", "blob"])
+
+    whole = bytearray(FLAGS // 8)
+    pieces = ids.coalesce(32).mapInArrow(run, "key int, blob binary")
+    for r in sum_blobs(pieces, "uint8", 16, np.bitwise_or).collect():  # FLAGS bits
+        whole[r["key"] * FLAG_PIECE : (r["key"] + 1) * FLAG_PIECE] = zlib.decompress(r["blob"])
+    return bytes(whole)
+
+
+def _flag(ids: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return (mix64(ids.astype(np.int64).view(np.uint64)) & np.uint64(FLAGS - 1)).astype(np.int64)
+
+
+def _segments(docs: DataFrame, pairs: DataFrame, size: int, level) -> DataFrame:
+    """``doc_id, fragment, segment`` of the sets in ``pairs(a, b)``.
+
+    A table of flags, of fixed size, lets the scan skip most other texts, so
+    that sets are moved and texts are not. Beyond a quarter as many ids as
+    flags, texts are joined first.
+    """
+    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+    flags = None
+    if ids.count() * 4 <= FLAGS:
+        flags = docs.sparkSession.sparkContext.broadcast(_flags(ids))
+    else:
+        docs = docs.join(ids, "doc_id", "left_semi")
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.frombuffer(level.value, np.uint8)
         bits = np.uint64(64 - (RARE_FRAGMENTS - 1).bit_length())
+        marked = np.frombuffer(flags.value, np.uint8) if flags else None
         for batch in batches:
+            if flags:
+                at = _flag(np.asarray(batch.column(0).fill_null(0)))
+                batch = batch.filter(pa.array(marked[at >> 3] >> (at & 7) & 1).cast(pa.bool_()))
             for at, n in byte_slices(batch.column(1)):
                 sets = shingle_sets(batch.column(1).slice(at, n), size)
                 doc = np.repeat(np.arange(n), [len(s) for s in sets])
@@ -142,7 +215,8 @@ def _segments(docs: DataFrame, size: int, level) -> DataFrame:
                     list_column(flat[order].view(np.int64), many),
                 ], ["doc_id", "fragment", "segment"])
 
-    return docs.mapInArrow(run, "doc_id long, fragment int, segment array<long>")
+    found = docs.mapInArrow(run, "doc_id long, fragment int, segment array<long>")
+    return found.join(ids, "doc_id", "left_semi") if flags else found
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -167,13 +241,13 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _overlaps(pairs: DataFrame, segments: DataFrame) -> DataFrame:
-    """``pairs(a, b, na, nb)`` with what each fragment has in common and, unless far too many, what differs."""
+    """``pairs(a, b, na, nb)`` with the segments of both sets, a row for each fragment that either has."""
     left = segments.select(F.col("doc_id").alias("a"), "fragment", F.col("segment").alias("sa"))
     right = segments.select(F.col("doc_id").alias("b"), "fragment", F.col("segment").alias("sb"))
-    mine = pairs.join(left, "a").select("a", "b", "na", "nb", "fragment", "sa", F.lit(None).cast("array<long>").alias("sb"))
-    theirs = pairs.join(right, "b").select("a", "b", "na", "nb", "fragment", F.lit(None).cast("array<long>").alias("sa"), "sb")
+    each = pairs.withColumn("fragment", F.explode(F.sequence(F.lit(0), F.lit(RARE_FRAGMENTS))))
     none = F.array().cast("array<long>")
-    return mine.unionByName(theirs).groupBy("a", "b", "na", "nb", "fragment").agg(F.coalesce(F.first("sa", True), none).alias("sa"), F.coalesce(F.first("sb", True), none).alias("sb"))
+    both = each.join(left, ["a", "fragment"], "left").join(right, ["b", "fragment"], "left")
+    return both.select("a", "b", "na", "nb", "fragment", F.coalesce("sa", none).alias("sa"), F.coalesce("sb", none).alias("sb"))
 
 
 def links(docs: DataFrame, size: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
@@ -196,30 +270,34 @@ def links(docs: DataFrame, size: int = 5, percent: int = 80) -> tuple[DataFrame,
     level = spark.sparkContext.broadcast(levels(counts).tobytes())
 
     chosen = classes.where("doc_id = class_id and n > 0").select("doc_id", "n").distinct()
-    heads = chosen.join(_prefixes(docs, size, percent, level), "doc_id").select("doc_id", "n", F.posexplode("head").alias("pos", "token"))
-    heads = stage(heads, "prefixes")
-    several = heads.groupBy("token").agg(F.count("*").alias("m")).where("m > 1").select("token")
-    shared = stage(heads.join(several, "token"), "shared")
+    heads = stage(chosen.join(_prefixes(docs, size, percent, level), "doc_id"), "prefixes")
+    parities = heads.select("doc_id", "parities")
+    tokens = heads.select("doc_id", "n", F.posexplode("head").alias("pos", "token"))
+    several = tokens.groupBy("token").agg(F.count("*").alias("m")).where("m > 1").select("token")
+    shared = stage(tokens.join(several, "token"), "shared")
     best = shared.groupBy("token").agg(F.min(F.struct("pos", "n", "doc_id")).alias("lead")).select("token", F.col("lead.doc_id").alias("leader"), F.col("lead.n").alias("n_leader"))
     buckets = stage(shared.join(best, "token"), "buckets")
-    active = buckets.select("doc_id").distinct()
-    segments = stage(_segments(docs.join(active, "doc_id", "left_semi"), size, level), "segments")
 
-    with_leader = buckets.where("doc_id <> leader").select(F.col("doc_id").alias("a"), F.col("leader").alias("b"), F.col("n").alias("na"), F.col("n_leader").alias("nb")).distinct()
+    far = 200 - 2 * percent  # twice the allowed distance, in hundredths
+    with_leader = buckets.where("doc_id <> leader").select(F.col("doc_id").alias("a"), F.col("leader").alias("b"), F.col("n").alias("na"), F.col("n_leader").alias("nb"))
+    alike = with_leader.where((F.least("na", "nb") * 100 >= F.greatest("na", "nb") * (100 - far))).distinct()
+    alike = stage(_within(alike, parities, far), "alike")
+    segments = stage(_segments(docs, alike, size, level), "segments")
     common = F.size(F.array_intersect("sa", "sb"))
     differ = F.concat(F.array_except("sa", "sb"), F.array_except("sb", "sa"))
-    far = 200 - 2 * percent  # twice the allowed distance, in hundredths
     differ = F.when(F.size(differ) * (200 - far) <= (F.col("na") + F.col("nb")) * far, differ)
-    parted = stage(_overlaps(with_leader, segments).select("a", "b", "fragment", common.alias("common"), differ.alias("differ")), "parted")
-    total = with_leader.join(parted.groupBy("a", "b").agg(F.sum("common").alias("common")), ["a", "b"])
+    parted = stage(_overlaps(alike, segments).select("a", "b", "na", "nb", "fragment", common.alias("common"), differ.alias("differ")), "parted")
+    total = parted.groupBy("a", "b", "na", "nb").agg(F.sum("common").alias("common"))
     union = F.col("na") + F.col("nb") - F.col("common")
     near = F.col("common") * 100 >= union * percent
     close = (union - F.col("common")) * 100 <= union * far
-    relation = F.when(near, 0).when(close, 1).otherwise(2)
-    compared = stage(total.select("a", "b", "na", "nb", (F.col("na") + F.col("nb") - 2 * F.col("common")).alias("d"), relation.alias("relation")), "compared")
+    compared = total.where(close).select("a", "b", "na", "nb", (F.col("na") + F.col("nb") - 2 * F.col("common")).alias("d"), F.when(near, 0).otherwise(1).alias("relation"))
+    compared = stage(compared, "compared")
     star = compared.where("relation = 0").select("a", "b")
 
-    edges = star.union(_around(compared, parted, percent)).union(_away(buckets, compared, segments, percent))
+    away = stage(_within(_away(buckets, compared, percent), parities, 100 - percent), "away")
+    apart = _overlaps(away, stage(_segments(docs, away, size, level), "segments")).select("a", "b", "na", "nb", common.alias("common")).groupBy("a", "b", "na", "nb").agg(F.sum("common").alias("common"))
+    edges = star.union(_around(compared, parted, percent)).union(apart.where(_linked(F.col("common"), F.col("na"), F.col("nb"), percent)).select("a", "b"))
     return classes, stage(edges.distinct(), "links")
 
 
@@ -257,20 +335,18 @@ def _around(compared: DataFrame, parted: DataFrame, percent: int) -> DataFrame:
     return counted.where(differing * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent)).select("a", "b")
 
 
-def _away(buckets: DataFrame, compared: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
-    """Links of pairs in a bucket that are not linked with its leader, at least one of them far from it."""
-    relation = compared.select(F.col("a").alias("doc_id"), F.col("b").alias("leader"), "relation").where("relation > 0")
-    rest = buckets.join(relation, ["doc_id", "leader"]).select("token", "doc_id", "n", "pos", "relation")
+def _away(buckets: DataFrame, compared: DataFrame, percent: int) -> DataFrame:
+    """Pairs in a bucket that are not linked with its leader, at least one of them far from it, and may be linked."""
+    relation = compared.select(F.col("a").alias("doc_id"), F.col("b").alias("leader"), "relation")
+    rest = buckets.where("doc_id <> leader").join(relation, ["doc_id", "leader"], "left").withColumn("relation", F.coalesce("relation", F.lit(2))).where("relation > 0")
     some = rest.groupBy("token").agg(F.count("*").alias("m"), F.max("relation").alias("r")).where("m > 1 and r = 2").select("token")
-    rest = stage(rest.join(some, "token", "left_semi"), "rest")
+    rest = stage(rest.join(some, "token", "left_semi").select("token", "doc_id", "n", "pos", "relation"), "rest")
     x, y = rest.alias("x"), rest.alias("y")
     nx, ny = F.col("x.n"), F.col("y.n")
     room = F.least(nx - F.col("x.pos"), ny - F.col("y.pos"))
     fits = _linked(room, nx, ny, percent) & (nx * 100 >= ny * percent) & (ny * 100 >= nx * percent)
     pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.relation") + F.col("y.relation") > 2) & fits)
-    pairs = stage(pairs.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"), nx.alias("na"), ny.alias("nb")).distinct(), "away")
-    parts = _overlaps(pairs, segments).select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("common")).groupBy("a", "b").agg(F.sum("common").alias("common"))
-    return pairs.join(parts, ["a", "b"]).where(_linked(F.col("common"), F.col("na"), F.col("nb"), percent)).select("a", "b")
+    return pairs.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"), nx.alias("na"), ny.alias("nb")).distinct()
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
