@@ -4,12 +4,12 @@ A document is a bag of sentences and its label says whether any of them is
 toxic. A sentence scores p = sigmoid(bias + sum of the weights of its distinct
 features, which are words and the beginnings of words, so that inflected forms
 not seen before count too); the document scores 1 - product of (1 - p), the
-noisy-or. Features are counted over all labelled rows; weights are learned from document
-labels on a sample of them by gradient descent, then every sentence of every
-text is scored and the most offending one is located.
+noisy-or. Features with evidence are chosen and weights are learned, from
+document labels by gradient descent, on a bounded sample of labelled rows; then
+every sentence of every text is scored and the most offending one is located.
 
-Bounds, all parameters: ``words`` features, and ``most`` labelled documents for
-the gradient (those of least hash; their whole texts).
+Bounds, all parameters: ``most`` labelled documents to learn from (those of
+least hash; their whole texts) and ``words`` features.
 
 Rows: a null or empty text has no sentence and gets the score 0; documents
 without a label, and labels that are null or without a document, are not
@@ -121,8 +121,8 @@ def evidence(labelled: DataFrame, words: int, least: float) -> list[str]:
     return [r["word"] for r in top.collect()]
 
 
-def fit(labelled: DataFrame, words: int = 2048, least: float = 8.0, most: int = 20_000, steps: int = 300, rate: float = 0.3, ridge: float = 0.05) -> Model:
-    """Learn from ``labelled(doc_id, text, label)``."""
+def fit(labelled: DataFrame, words: int = 2048, least: float = 8.0, steps: int = 300, rate: float = 0.3, ridge: float = 0.05) -> Model:
+    """Learn from ``labelled(doc_id, text, label)``, a bounded sample as ``labelled_rows`` draws it."""
     labelled = stage(labelled.select("doc_id", "text", "label"), "labelled")
     vocabulary = evidence(labelled, words, least)
     if not vocabulary:
@@ -140,8 +140,7 @@ def fit(labelled: DataFrame, words: int = 2048, least: float = 8.0, most: int =
                 out.append([r for r in rows if r])
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.list_(pa.int32()))), batch.column(1)], ["bag", "label"])
 
-    sample = labelled.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    rows = sample.select("text", "label").mapInArrow(bags, "bag array<array<int>>, label int").collect()
+    rows = labelled.select("text", "label").mapInArrow(bags, "bag array<array<int>>, label int").collect()
     label = np.array([r["label"] for r in rows], float)
     prior = float(label.mean())
     doc = np.array([i for i, r in enumerate(rows) for _ in r["bag"]], np.int64)
@@ -205,7 +204,15 @@ def remainder(column: str, by: int):
     return F.crc32(F.col(column).cast("string").cast("binary")) % by
 
 
-def labelled_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Documents with their label, without the held-out third."""
-    known = labels.where("toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("label"))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(remainder("doc_id", 3) != 1).join(known, "doc_id")
+def labelled_rows(docs: DataFrame, labels: DataFrame, most: int = 20_000) -> DataFrame:
+    """``doc_id, text, label`` of labelled documents without the held-out third: all of them, or about ``most`` of least hash.
+
+    The sample is drawn from the labels; its rows are bounded, so they are
+    broadcast and no text is moved.
+    """
+    known = labels.where("toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("label")).where(remainder("doc_id", 3) != 1)
+    n = known.count()
+    if n > most:
+        share = 0.95 * most / n  # so many standard deviations below ``most`` that the limit never cuts
+        known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(known.limit(most)), "doc_id")
