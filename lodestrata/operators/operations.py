@@ -26,7 +26,7 @@ def fixed_windows(requests: DataFrame, limits: tuple[tuple[str, str, str, int],
 
 def sliding_load(requests: DataFrame, key: str, seconds: int) -> DataFrame:
     """``in_window``: requests of the same key in the ``seconds`` up to each one, itself included."""
-    w = Window.partitionBy(key).orderBy(F.unix_micros("ts")).rangeBetween(-seconds * 1_000_000, 0)
+    w = Window.partitionBy(key).orderBy(F.unix_micros(F.col("ts").cast("timestamp"))).rangeBetween(-seconds * 1_000_000, 0)
     return requests.withColumn("in_window", F.count("*").over(w))
 
 
@@ -39,7 +39,7 @@ def failure_runs(calls: DataFrame, key: str, order: list, least: int = 5) -> Dat
 
 def freshness(data: DataFrame, registry: DataFrame, now: Column) -> DataFrame:
     """``fresh``: younger than its source's ``expiry_seconds``; sources without one, or unknown, are always fresh."""
-    age = F.unix_timestamp(now) - F.unix_timestamp("ts")
+    age = F.unix_seconds(now.cast("timestamp")) - F.unix_seconds(F.col("ts").cast("timestamp"))
     return data.join(F.broadcast(registry), "source", "left").withColumn("fresh", F.coalesce(age <= F.col("expiry_seconds"), F.lit(True)))
 
 

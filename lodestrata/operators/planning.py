@@ -16,7 +16,7 @@ def split_days(pois: DataFrame, key: str, order: list, days: int) -> DataFrame:
 def once_across_days(rows: DataFrame, plan: str, name: str, order: list) -> DataFrame:
     """Rows of a plan without names seen before; rows without a name stay."""
     n = F.row_number().over(Window.partitionBy(plan, name).orderBy(*order))
-    return rows.withColumn("__n", n).where((F.col("__n") == 1) | F.col(name).isNull() | (F.col(name) == "")).drop("__n")
+    return rows.withColumn("__n", n).where((F.col("__n") == 1) | F.col(name).isNull() | (F.col(name).cast("string") == "")).drop("__n")
 
 
 def median_cost(rows: DataFrame, key: str, cost: str) -> DataFrame:

@@ -1,3 +1,3 @@
 """Registered queries. Importing the package registers all of them."""
 
-from . import search  # noqa: F401
+from . import ingest, search, serving, trips  # noqa: F401
