@@ -42,11 +42,11 @@ def fastest_trains(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planning.fastest(trains, "trip")
 
 
-@query("""WITH u AS (SELECT o_orderkey, greatest(1, least(30, CAST(count(l_linenumber) AS INT))) AS days, CASE WHEN o_orderkey % 3 <> 0 THEN max(l_extendedprice) / 100 END AS hotel FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey)
+@query("""WITH u AS (SELECT o_orderkey, greatest(1, least(30, CAST(count(l_linenumber) AS INT))) AS days, CASE WHEN o_orderkey % 3 <> 0 THEN floor(max(l_extendedprice) / 100) END AS hotel FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey)
 SELECT o_orderkey, days, round(coalesce(hotel, 300) * greatest(1, days - 1), 2) AS stay, 50.0 * 3 * days AS meals, round(coalesce(hotel, 300) * greatest(1, days - 1) + 150 * days, 2) AS total FROM u""")
 def budget_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
-    trips = orders.join(lines, orders.o_orderkey == lines.l_orderkey, "left").groupBy("o_orderkey").agg(F.count("l_linenumber").cast("int").alias("n"), (F.max("l_extendedprice") / 100).alias("unit"))
+    trips = orders.join(lines, orders.o_orderkey == lines.l_orderkey, "left").groupBy("o_orderkey").agg(F.count("l_linenumber").cast("int").alias("n"), F.floor(F.max("l_extendedprice") / 100).alias("unit"))
     hotel = F.when(F.col("o_orderkey") % 3 != 0, F.col("unit"))
     made = trips.select("o_orderkey", planning.budget(hotel, F.lit(None).cast("double"), F.col("n")).alias("b"))
     return made.select("o_orderkey", "b.days", F.round("b.stay", 2).alias("stay"), F.col("b.meals").alias("meals"), F.round("b.total", 2).alias("total"))
