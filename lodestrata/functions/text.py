@@ -39,7 +39,7 @@ def term_set(text: Column | str) -> Column:
 def sentences(text: Column | str) -> Column:
     """Sentences with their end marks, trimmed, without empty ones."""
     parts = F.split(col(text), r"(?<=[。！？!?.;；])|\n", -1)
-    return F.filter(F.transform(parts, F.trim), lambda s: s != "")
+    return F.filter(F.transform(parts, lambda s: F.trim(s)), lambda s: s != "")
 
 
 def newlines(text: Column | str) -> Column:

@@ -15,7 +15,7 @@ def retrieval_metrics(rows: DataFrame) -> DataFrame:
     """``rows(id, found, gold)``, arrays, to precision, recall, F1 and hit."""
     hits = F.size(F.array_intersect("found", "gold"))
     p, r = ratio(hits, F.size("found")), ratio(hits, F.size("gold"))
-    return rows.select("id", p.alias("precision"), r.alias("recall"), ratio(2 * p * r, p + r).alias("f1"), (hits > 0).alias("hit"))
+    return rows.select("id", p.alias("precision"), r.alias("recall"), ratio(2 * hits, F.size("found") + F.size("gold")).alias("f1"), (hits > 0).alias("hit"))
 
 
 def confusion(rows: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -27,7 +27,7 @@ def confusion(rows: DataFrame, by: list[str] | None = None) -> DataFrame:
     )
     tp, fp, fn, tn = (F.col(c) for c in ("tp", "fp", "fn", "tn"))
     p, r = ratio(tp, tp + fp), ratio(tp, tp + fn)
-    return counts.withColumns({"accuracy": ratio(tp + tn, tp + fp + fn + tn), "precision": p, "recall": r, "f1": ratio(2 * p * r, p + r)})
+    return counts.withColumns({"accuracy": ratio(tp + tn, tp + fp + fn + tn), "precision": p, "recall": r, "f1": ratio(2 * tp, 2 * tp + fp + fn)})
 
 
 def flips(base: DataFrame, new: DataFrame) -> DataFrame:

@@ -35,10 +35,10 @@ def compressed_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.compress(_messages(spark, sf_dir), head=2, tail=3, most=200)
 
 
-@query("""SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN turn END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) AS inherited_turn FROM conversations""")
+@query("""SELECT conv_id, turn, coalesce(last_value(CASE WHEN role = 'user' THEN turn END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), -1) AS inherited_turn FROM conversations""")
 def follow_up_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _messages(spark, sf_dir).withColumn("domain", F.col("role"))
-    return history.inherited(rows, "user").select("conv_id", "turn", "inherited_turn")
+    return history.inherited(rows, "user").select("conv_id", "turn", F.coalesce("inherited_turn", F.lit(-1)).alias("inherited_turn"))
 
 
 @query("""SELECT conv_id, turn, CASE WHEN regexp_matches(lower(text), '\\b(hi|hello|thanks)\\b') THEN 'chat' WHEN regexp_matches(lower(text), '(plan|trip|day)') THEN 'plan' WHEN contains(text, '?') THEN 'knowledge' ELSE '' END AS intent, length(text) < 15 AS short FROM conversations""".replace("\\\\", "\\"))
@@ -128,13 +128,13 @@ _PRF = f"""{_RATES}, round(CASE WHEN tp + fp = 0 THEN 0 ELSE tp / (tp + fp) END,
 
 
 @query(f"""WITH {_JUDGED}, c AS (SELECT {_COUNTS} FROM j), r AS (SELECT *, {_PRF} FROM c)
-SELECT *, round(CASE WHEN precision + recall = 0 THEN 0 ELSE 2 * precision * recall / (precision + recall) END, 4) AS f1 FROM r""")
+SELECT *, round(CASE WHEN tp + fp + fn = 0 THEN 0 ELSE 2 * tp / (2 * tp + fp + fn) END, 4) AS f1 FROM r""")
 def confusion_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.confusion(_judged(spark, sf_dir))
 
 
 @query(f"""WITH {_JUDGED}, g AS (SELECT *, unnest(CASE WHEN n_chars > 3000 THEN [lang, 'long'] ELSE [lang] END) AS domain FROM j), c AS (SELECT domain, {_COUNTS} FROM g GROUP BY domain), r AS (SELECT *, {_PRF} FROM c)
-SELECT *, round(CASE WHEN precision + recall = 0 THEN 0 ELSE 2 * precision * recall / (precision + recall) END, 4) AS f1 FROM r""")
+SELECT *, round(CASE WHEN tp + fp + fn = 0 THEN 0 ELSE 2 * tp / (2 * tp + fp + fn) END, 4) AS f1 FROM r""")
 def metrics_by_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups overlap: a long document is in its language and in ``long``."""
     groups = F.when(F.col("n_chars") > 3000, F.array("lang", F.lit("long"))).otherwise(F.array("lang"))
@@ -174,8 +174,8 @@ def review_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""WITH w AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z]{6,}')) AS found FROM documents), g AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[a-z]{6,}')) AS gold FROM benchmark),
 h AS (SELECT doc_id AS id, found, gold, len(list_intersect(found, gold)) AS hits FROM w JOIN g ON doc_id = item_id),
-m AS (SELECT id, hits > 0 AS hit, round(CASE WHEN len(found) = 0 THEN 0 ELSE hits / len(found) END, 4) AS precision, round(CASE WHEN len(gold) = 0 THEN 0 ELSE hits / len(gold) END, 4) AS recall FROM h)
-SELECT *, round(CASE WHEN precision + recall = 0 THEN 0 ELSE 2 * precision * recall / (precision + recall) END, 4) AS f1 FROM m""")
+m AS (SELECT id, hits > 0 AS hit, round(CASE WHEN len(found) + len(gold) = 0 THEN 0 ELSE 2 * hits / (len(found) + len(gold)) END, 4) AS f1, round(CASE WHEN len(found) = 0 THEN 0 ELSE hits / len(found) END, 4) AS precision, round(CASE WHEN len(gold) = 0 THEN 0 ELSE hits / len(gold) END, 4) AS recall FROM h)
+SELECT * FROM m""")
 def retrieval_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     long_words = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("([a-z]{6,})"), F.lit(1)))
     found = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), long_words("text").alias("found"))
