@@ -140,9 +140,9 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(total) + np.repeat(starts - (ends - lengths), lengths)
 
 
-def list_column(values: np.ndarray, lengths: np.ndarray) -> pa.Array:
+def list_column(values: np.ndarray | pa.Array, lengths: np.ndarray) -> pa.Array:
     """An Arrow list column from its flat values and the length of each list."""
-    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)), pa.array(values))
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)), values if isinstance(values, pa.Array) else pa.array(values))
 
 
 def sum_blobs(df: DataFrame, dtype: str, parts: int, join=np.add) -> DataFrame:

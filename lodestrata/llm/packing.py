@@ -110,7 +110,7 @@ def pieces(docs: DataFrame, vocabulary: str, end_id: int, length: int) -> DataFr
         task, seen = TaskContext.get().partitionId(), np.zeros(length + 1, np.int64)
         for batch in batches:
             for at, n in byte_slices(batch.column(1)):
-                ids, sizes = with_end(*encoder(vocabulary).encode(batch.column(1).slice(at, n).fill_null("").to_pylist()), end_id)
+                ids, sizes = with_end(*encoder(vocabulary).encode(batch.column(1).slice(at, n)), end_id)
                 ids = ids.astype("<u4")
                 number = -(-sizes // length)
                 doc = np.repeat(np.arange(n), number)

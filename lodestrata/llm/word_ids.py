@@ -1,8 +1,10 @@
-"""Ids of whole texts from a vocabulary whose pieces never cross white space.
+"""Ids of whole texts from a vocabulary whose pieces never cross white space and ignore case.
 
-Words between ASCII white space are looked up in a table that the library
-fills, so each distinct word is encoded once per worker; the ids of a text are
-those of its words, one after another.
+Words between ASCII white space are found and hashed as arrays, and looked up
+in an open-addressed table of arrays that the library fills, so each distinct
+word is encoded about once per worker. The ids of a text are those of its
+words, one after another. Texts that hold a special string of the vocabulary
+go to the library as they are. Words are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -10,16 +12,24 @@ from __future__ import annotations
 import os
 
 import numpy as np
+import pyarrow as pa
 
-from .common import ragged
+from .common import Words, ragged
 
 #: Words that a worker remembers; beyond, those it has met only once are forgotten, or all.
-REMEMBERED = 1_000_000
+REMEMBERED = 2_000_000
 
 
-class Encoder(dict):
-    """Numbers of words; their ids are runs of one flat array."""
+def _room(x: np.ndarray, n: int) -> np.ndarray:
+    """``x`` with room for ``n`` values, doubled as needed."""
+    if len(x) >= n:
+        return x
+    out = np.zeros(max(n, 2 * len(x)), x.dtype)
+    out[: len(x)] = x
+    return out
 
+
+class Encoder:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -28,78 +38,112 @@ class Encoder(dict):
         special = self.library.get_added_tokens_decoder()
         self.special = [t.content for t in special.values()]
         self.mark, self.mark_id = next(((t.content, i) for i, t in special.items() if t.special), ("", -1))
-        self.pending: list[bytes] = []
-        self.flat = np.zeros(0, np.uint32)
-        self.start = np.zeros(0, np.int64)
-        self.length = np.zeros(0, np.int64)
-        self.met = np.zeros(0, np.int64)
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = i = len(self)
-        self.pending.append(word)
-        return i
+        self.words, self.ids = 0, 0
+        self.hash, self.start, self.length, self.met = (np.zeros(1 << 16, t) for t in (np.uint64, np.int64, np.int32, np.int32))
+        self.flat = np.zeros(1 << 18, np.uint32)
+        self.rehash(1 << 18)
+
+    def rehash(self, size: int) -> None:
+        self.keys, self.slots = np.zeros(size, np.uint64), np.full(size, -1, np.int32)
+        self.place(np.arange(self.words))
+
+    def place(self, numbers: np.ndarray) -> None:
+        """Enter words, whose hashes are distinct and new, into the table."""
+        mask = len(self.slots) - 1
+        at = (self.hash[numbers] >> np.uint64(20)).astype(np.int64) & mask
+        while len(numbers):
+            free = self.slots[at] < 0
+            self.slots[at[free]] = numbers[free]
+            won = self.slots[at] == numbers  # of several for one place, one has it
+            self.keys[at[won]] = self.hash[numbers[won]]
+            numbers, at = numbers[~won], (at[~won] + 1) & mask
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Number of each word, or -1."""
+        mask = len(self.slots) - 1
+        at = (h >> np.uint64(20)).astype(np.int64) & mask
+        out = self.slots[at]
+        other = np.flatnonzero((out >= 0) & (self.keys[at] != h))
+        at = at[other]
+        while len(other):
+            at = (at + 1) & mask
+            found = self.slots[at]
+            out[other] = found
+            on = (found >= 0) & (self.keys[at] != h[other])
+            other, at = other[on], at[on]
+        return out
 
     def forget(self) -> None:
-        keep = np.flatnonzero(self.met > 1)
+        keep = np.flatnonzero(self.met[: self.words] > 1)
         if len(keep) > REMEMBERED // 2:
             keep = keep[:0]
-        words = list(self)
-        kept = [words[i] for i in keep.tolist()]
-        self.clear()
-        self.update(zip(kept, range(len(kept))))
-        self.flat, self.length = self.flat[ragged(self.start[keep], self.length[keep])], self.length[keep]
-        self.start, self.met = np.cumsum(self.length) - self.length, np.zeros(len(keep), np.int64)
-
-    def learn(self) -> None:
-        """Encode the pending words, many in one call with a special token between them."""
-        words = [w.decode() for w in self.pending]
-        if not self.mark:
-            odd = list(range(len(words)))
-        elif any(s.encode() in b" ".join(self.pending) for s in self.special):
-            odd = [i for i, w in enumerate(words) if any(s in w for s in self.special)]
-        else:
-            odd = []
-        plain = list(words)
-        for i in odd:
-            plain[i] = ""
+        flat = self.flat[ragged(self.start[keep], self.length[keep])]
+        self.words, self.ids = len(keep), len(flat)
+        self.hash[: len(keep)], self.length[: len(keep)] = self.hash[keep], self.length[keep]
+        self.start[: len(keep)] = np.cumsum(self.length[: len(keep)]) - self.length[: len(keep)]
+        self.met[: len(keep)], self.flat[: len(flat)] = 0, flat
+        self.rehash(len(self.slots))
+
+    def learn(self, words: list[str], hashes: np.ndarray) -> None:
+        """Encode new words, many in one call with a special token between them."""
         ids, lengths = [], []
-        if self.mark:
-            for i in range(0, len(plain), 4096):
-                found = np.array(self.library.encode_batch_fast([self.mark.join(plain[i : i + 4096])], add_special_tokens=False)[0].ids, np.uint32)
+        for i in range(0, len(words), 4096):
+            part = words[i : i + 4096]
+            if self.mark:
+                found = np.array(self.library.encode_batch_fast([self.mark.join(part)], add_special_tokens=False)[0].ids, np.uint32)
                 cut = np.flatnonzero(found == self.mark_id)
                 lengths.append(np.diff(np.concatenate([[-1], cut, [len(found)]])) - 1)
                 ids.append(np.delete(found, cut))
-        flat = np.concatenate(ids) if ids else np.zeros(0, np.uint32)
-        length = np.concatenate(lengths) if lengths else np.zeros(len(words), np.int64)
-        start = np.cumsum(length) - length
-        if odd:
-            own = [e.ids for e in self.library.encode_batch_fast([words[i] for i in odd], add_special_tokens=False)]
-            at = np.array(odd)
-            length[at] = np.fromiter(map(len, own), np.int64, len(own))
-            start[at] = len(flat) + np.cumsum(length[at]) - length[at]
-            flat = np.concatenate([flat, np.fromiter((x for e in own for x in e), np.uint32, int(length[at].sum()))])
-        self.start, self.length = np.concatenate([self.start, len(self.flat) + start]), np.concatenate([self.length, length])
-        self.flat, self.met = np.concatenate([self.flat, flat]), np.concatenate([self.met, np.zeros(len(words), np.int64)])
-        self.pending = []
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts in a row, and how many each text has."""
-        if len(self) > REMEMBERED:
+            else:
+                own = [e.ids for e in self.library.encode_batch_fast(part, add_special_tokens=False)]
+                lengths.append(np.fromiter(map(len, own), np.int64, len(own)))
+                ids.append(np.array([x for e in own for x in e], np.uint32))
+        flat, length = np.concatenate(ids), np.concatenate(lengths)
+        a, b, c, d = self.words, self.words + len(words), self.ids, self.ids + len(flat)
+        self.hash, self.start, self.length, self.met = (_room(x, b) for x in (self.hash, self.start, self.length, self.met))
+        self.flat = _room(self.flat, d)
+        self.hash[a:b], self.start[a:b], self.length[a:b], self.met[a:b] = hashes, c + np.cumsum(length) - length, length, 0
+        self.flat[c:d] = flat
+        self.words, self.ids = b, d
+        if 2 * b > len(self.slots):
+            self.rehash(4 * len(self.slots))
+        else:
+            self.place(np.arange(a, b))
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, and how many each text has; a null text has none."""
+        if self.words > REMEMBERED:
             self.forget()
-        words, count = [], np.zeros(len(texts), np.int64)
-        for i, text in enumerate(texts):
-            found = text.encode().split()
-            count[i] = len(found)
-            words += map(self.__getitem__, found)
-        if self.pending:
-            self.learn()
-        at = np.array(words, dtype=np.int64)
-        self.met += np.bincount(at, minlength=len(self.met))
-        lengths = self.length[at]
-        ids = self.flat[ragged(self.start[at], lengths)]
-        edge = np.concatenate([[0], np.cumsum(lengths)])[np.concatenate([[0], np.cumsum(count)])]
+        words = Words(texts)
+        raw = words.data.tobytes()
+        if any(s.encode() in raw for s in self.special):
+            return self.mixed(texts)
+        number = self.find(words.hash)
+        new = np.flatnonzero(number < 0)
+        if len(new):
+            hashes, first = np.unique(words.hash[new], return_index=True)
+            at = new[first]
+            self.learn([raw[s:e].decode() for s, e in zip(words.start[at].tolist(), words.end[at].tolist())], hashes)
+            number[new] = self.find(words.hash[new])
+        counted = np.bincount(number, minlength=self.words) if len(number) else 0
+        self.met[: self.words] += counted
+        lengths = self.length[number].astype(np.int64)
+        ids = self.flat[ragged(self.start[number], lengths)]
+        edge = np.concatenate([[0], np.cumsum(lengths)])[words.first]
         return ids, np.diff(edge)
 
+    def mixed(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """As ``encode``, text by text where a special string occurs."""
+        out, lengths = [np.zeros(0, np.uint32)], []
+        for text in texts.to_pylist():
+            if text and any(s in text for s in self.special):
+                ids = np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
+            else:
+                ids, _ = self.encode(pa.array([text], pa.string()))
+            out.append(ids)
+            lengths.append(len(ids))
+        return np.concatenate(out), np.array(lengths, np.int64)
+
 
 _loaded: dict[str, Encoder] = {}
 
