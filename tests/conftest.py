@@ -5,11 +5,10 @@ from pathlib import Path
 import pytest
 
 ROOT = Path(__file__).resolve().parent.parent
-sys.path.insert(0, str(ROOT))
+sys.path[:0] = [str(ROOT), str(ROOT / "tests")]
 os.environ["PYTHONPATH"] = f"{ROOT}:{os.environ.get('PYTHONPATH', '')}"
 
-SF = "/root/testdata/sf0.001"
-TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+from helpers import SF, TABLES  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -33,17 +32,3 @@ def duck():
     for t in TABLES:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
     return con
-
-
-def rows_of(frame):
-    """Rows as sorted text, columns by name, floats to six digits."""
-    columns = sorted(frame.columns)
-
-    def plain(x):
-        if isinstance(x, float):
-            return "null" if x != x else f"{x:.6f}"
-        if x is None or str(x) in ("<NA>", "NaT"):
-            return "null"
-        return str([plain(v) for v in x]) if hasattr(x, "tolist") and getattr(x, "ndim", 0) else str(x)
-
-    return columns, sorted(tuple(plain(v) for v in r) for r in frame[columns].itertuples(index=False, name=None))

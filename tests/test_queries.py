@@ -2,7 +2,7 @@
 
 import pytest
 
-from conftest import SF, rows_of
+from helpers import SF, rows_of
 from lodestrata import plans  # noqa: F401
 from lodestrata.plans import registry
 
