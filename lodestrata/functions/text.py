@@ -157,3 +157,39 @@ def chinese_number(text: Column | str) -> Column:
     last = F.when(t.endswith("十"), F.lit(0)).otherwise(digit(F.substring(t, -1, 1)))
     value = F.when(t.contains("十"), tens * 10 + last).otherwise(digit(F.translate(t, "两", "二")))
     return F.when(t.rlike(r"^\d+$"), t.cast("int")).when(t.rlike("^(?:[一二三四五六七八九两]|[一二三四五六七八九]?十[一二三四五六七八九]?)$"), value)
+
+
+def replaced_images(text: Column | str, links: Column | str) -> Column:
+    """Markdown images with their targets and captions replaced: ``links`` is ``map<target, struct<url, summary>>``; others stay."""
+    return F.aggregate(
+        F.map_entries(col(links)), col(text),
+        lambda t, e: F.regexp_replace(t, F.concat(F.lit(r"!\[[^\]]*\]\(\Q"), e["key"], F.lit(r"\E[^)]*\)")), F.concat(F.lit("!["), e["value"]["summary"], F.lit("]("), e["value"]["url"], F.lit(")"))),
+    )
+
+
+def has_material(title: Column | str, text: Column | str, tokens: Column | str, least: int = 2) -> Column:
+    """Whether a chunk is about a place: a token in its title, or ``least`` times in its text."""
+    return F.exists(col(tokens), lambda k: F.coalesce(col(title), F.lit("")).contains(k) | (F.size(F.split(F.coalesce(col(text), F.lit("")), F.concat(F.lit(r"\Q"), k, F.lit(r"\E")), -1)) > least))
+
+
+def place_like(name: Column | str, longest: int = 10) -> Column:
+    """Whether a short text may be a place: 2 to ``longest`` characters, some of them Chinese, no sentence marks or digits."""
+    n = F.trim(F.coalesce(col(name), F.lit("")))
+    return F.length(n).between(2, longest) & n.rlike(r"[\u4e00-\u9fa5]") & ~n.rlike(r"[\d，。！？；：、（）()]")
+
+
+def headings(text: Column | str) -> Column:
+    """Terms of Markdown headings and bold leads, distinct, in order: candidates of a lexicon."""
+    found = F.regexp_extract_all(col(text), F.lit(r"(?m)^\s*#{1,6}\s+(.+?)\s*$"), F.lit(1))
+    parts = F.flatten(F.transform(found, lambda h: F.split(h, r"[\s,，、/|｜:：]+")))
+    return F.array_distinct(F.filter(parts, lambda p: p != ""))
+
+
+def preference(question: Column | str, ways: dict[str, str], hints: str, near: int = 12) -> Column:
+    """The way that a question asks for: the first of ``ways`` (name to pattern) within ``near`` characters from a hint, else null."""
+    q = F.coalesce(col(question), F.lit(""))
+    after = F.substring(F.regexp_extract(q, f"({hints}.*)", 1), 1, near)
+    rule = F.lit(None).cast("string")
+    for name, pattern in reversed(ways.items()):
+        rule = F.when(after.rlike(pattern), name).otherwise(rule)
+    return rule

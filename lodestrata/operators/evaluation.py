@@ -46,13 +46,30 @@ def latency(rows: DataFrame, by: str, value: str) -> DataFrame:
 
 
 def review_sample(rows: DataFrame, share: float, seed: int) -> DataFrame:
-    """All failures and, in an order fixed by the seed, passes up to ``share`` of all rows; ``rows(id, passed)``."""
+    """All failures and, in an order fixed by the seed, passes up to ``share`` of all rows; ``rows(id, passed)``.
+
+    The order is that of a digest, so its first digits deal the passes evenly;
+    places are counted within each of 4096 parts and the parts before it.
+    """
     total = rows.agg(F.ceil(F.count("*") * share).alias("want"), F.count_if(~F.col("passed")).alias("failed"))
-    order = Window.orderBy(F.md5(F.concat(F.col("id").cast("string"), F.lit(f":{seed}"))), "id")
-    passes = rows.where("passed").withColumn("n", F.row_number().over(order)).crossJoin(F.broadcast(total)).where(F.col("n") <= F.col("want") - F.col("failed"))
+    keyed = rows.where("passed").withColumn("key", F.md5(F.concat(F.col("id").cast("string"), F.lit(f":{seed}")))).withColumn("part", F.substring("key", 1, 3))
+    before = keyed.groupBy("part").agg(F.count("*").alias("c")).select("part", F.coalesce(F.sum("c").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    place = F.row_number().over(Window.partitionBy("part").orderBy("key", "id")) + F.col("before")
+    passes = keyed.join(F.broadcast(before), "part").withColumn("n", place).crossJoin(F.broadcast(total)).where(F.col("n") <= F.col("want") - F.col("failed"))
     return rows.where(~F.col("passed")).select("id", "passed").union(passes.select("id", "passed"))
 
 
+def unresolved(rows: DataFrame, most_share: float = 0.1) -> DataFrame:
+    """``id`` of the rows without a verdict, and ``warn``: whether they are more than ``most_share`` of all."""
+    total = rows.agg((F.count_if(F.col("accept").isNull()) > most_share * F.count("*")).alias("warn"))
+    return rows.where("accept is null").select("id").crossJoin(F.broadcast(total))
+
+
+def picked(cases: DataFrame, ids: DataFrame) -> DataFrame:
+    """The cases of a list of ids, with ``found`` false for ids that no case has."""
+    return ids.select("id").distinct().join(cases.withColumn("found", F.lit(True)), "id", "left").withColumn("found", F.coalesce("found", F.lit(False)))
+
+
 def overridden(judged: DataFrame, human: DataFrame) -> DataFrame:
     """Human verdicts in place of the judge's where there are any."""
     return judged.join(human.select("id", F.col("accept").alias("h")), "id", "left").select("id", F.coalesce("h", "accept").alias("accept"), F.col("h").isNotNull().alias("reviewed"))

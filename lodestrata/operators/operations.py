@@ -57,3 +57,22 @@ def last_items(rows: DataFrame, key: str, order: str, value: str, n: int = 20) -
     """The last ``n`` values of each key, oldest first."""
     kept = rows.withColumn("back", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order)))).where(F.col("back") <= n)
     return kept.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct(order, value))), lambda x: x[value]).alias("items"))
+
+
+def cached(calls: DataFrame, seconds: int) -> DataFrame:
+    """``hit`` for each call ``(namespace, key, ts, call_id)``: whether a call of the same key was stored in the last ``seconds``; every miss stores anew.
+
+    A stored value lives ``seconds`` from the miss that stored it, so hits are
+    folded over the ordered calls of a key, a day at a time: no value outlives
+    its day.
+    """
+    ordered = F.array_sort(F.collect_list(F.struct(F.col("ts").cast("timestamp").alias("ts"), "call_id")))
+    start = F.struct(F.lit(None).cast("timestamp").alias("stored"), F.array().cast("array<struct<call_id:long,hit:boolean>>").alias("out"))
+
+    def step(acc: Column, x: Column) -> Column:
+        age = F.unix_micros(x["ts"]) - F.unix_micros(acc["stored"])
+        hit = F.coalesce(age <= seconds * 1_000_000, F.lit(False))
+        return F.struct(F.when(hit, acc["stored"]).otherwise(x["ts"]).alias("stored"), F.concat(acc["out"], F.array(F.struct(x["call_id"].cast("long").alias("call_id"), hit.alias("hit")))).alias("out"))
+
+    per_key = calls.groupBy("namespace", "key", F.window("ts", "1 day").alias("day")).agg(F.aggregate(ordered, start, step)["out"].alias("out"))
+    return per_key.select("namespace", "key", F.inline("out"))

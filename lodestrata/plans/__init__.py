@@ -1,3 +1,3 @@
 """Registered queries. Importing the package registers all of them."""
 
-from . import ingest, search, serving, streams, trips  # noqa: F401
+from . import ingest, itineraries, search, serving, streams, trips  # noqa: F401

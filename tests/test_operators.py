@@ -142,3 +142,16 @@ def test_nearest_match_by_name_or_place(spark):
 def test_once_across_days_keeps_nameless(spark):
     df = spark.createDataFrame([(1, 1, "a"), (1, 2, "a"), (1, 2, None), (1, 3, None), (1, 3, "")], "plan int, day int, name string")
     assert planning.once_across_days(df, "plan", "name", ["day"]).count() == 4
+
+
+def test_cache_with_expiry(spark):
+    times = ["00:00:00", "00:00:30", "00:01:01", "00:01:30", "00:03:00"]
+    calls = spark.createDataFrame([("n", "k", f"2024-01-01 {t}", i) for i, t in enumerate(times)], "namespace string, key string, ts string, call_id long").withColumn("ts", F.col("ts").cast("timestamp"))
+    assert [r["hit"] for r in operations.cached(calls, 60).orderBy("call_id").collect()] == [False, True, False, True, False]
+
+
+def test_unresolved_and_picked(spark):
+    rows = spark.createDataFrame([(1, None), (2, True), (3, False)], "id int, accept boolean")
+    assert [tuple(r) for r in evaluation.unresolved(rows).collect()] == [(1, True)]
+    ids = spark.createDataFrame([(2,), (9,)], "id int")
+    assert sorted((r["id"], r["found"]) for r in evaluation.picked(rows, ids).collect()) == [(2, True), (9, False)]

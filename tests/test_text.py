@@ -4,7 +4,7 @@ from lodestrata.functions import places, text
 
 
 def value(spark, column, **inputs):
-    df = spark.createDataFrame([tuple(inputs.values())], list(inputs)) if inputs else spark.range(1)
+    df = spark.createDataFrame([tuple(inputs.values())], ", ".join(f"{k} string" for k in inputs)) if inputs else spark.range(1)
     return df.select(column.alias("x")).first()["x"]
 
 
@@ -82,15 +82,18 @@ def test_transport(spark):
     assert value(spark, out) == ["rail"]
 
 
-def test_travel_date(spark):
-    day = lambda t: tuple(map(str, value(spark, places.travel_date("t", F.lit("2024-05-10").cast("date")), t=t)))
-    assert day("出发 2024-6-1") == ("2024-06-01", "False")
-    assert day("3月2日走") == ("2025-03-02", "False")
-    assert day("大后天") == ("2024-05-13", "False")
-    assert day("随便") == ("2024-05-11", "True")
-
-
 def test_model_json(spark):
     parsed = F.try_variant_get(text.json_object("t"), "$.a", "int")
     assert value(spark, parsed, t='```json\n{"a": 3}\n```') == 3
     assert value(spark, parsed, t="sorry") is None
+
+
+def test_more_text_rules(spark):
+    links = F.create_map(F.lit("a.png"), F.struct(F.lit("http://h/a.png").alias("url"), F.lit("a cat").alias("summary")))
+    assert value(spark, text.replaced_images("t", links), t="x ![](a.png) ![b](b.png)") == "x ![a cat](http://h/a.png) ![b](b.png)"
+    gate = lambda title, body: value(spark, text.has_material(F.lit(title), F.lit(body), F.array(F.lit("西湖"))))
+    assert gate("西湖", "") and gate("", "西湖与西湖") and not gate("", "西湖") and not gate(None, None)
+    assert [value(spark, text.place_like("t"), t=t) for t in ("西湖", "湖", "abc", "一二三四五六七八九十一", "去。玩", None)] == [True, False, False, False, False, False]
+    assert value(spark, text.headings("t"), t="# 西湖、灵隐\nx\n## 西湖") == ["西湖", "灵隐"]
+    ways = {"rail": "高铁|火车", "fly": "飞机"}
+    assert [value(spark, text.preference("t", ways, "想坐|乘坐"), t=t) for t in ("我想坐飞机去", "飞机好吗，想坐高铁", "高铁", None)] == ["fly", "rail", None, None]
