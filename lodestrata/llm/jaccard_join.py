@@ -21,7 +21,8 @@
    away from the leader are joined on the prefix and counted in fragments.
 5. Connected components of the links, by minimum labels and pointer jumping.
 
-No step pairs up the members of a group of copies, and no link is lost.
+No step pairs up the members of a group of copies, and no link is lost. Grouped
+tables are staged before they are joined, so that Spark can split a hot key.
 
 Rows: texts without words, empty or null, have size 0 and are linked with
 nothing; with fewer words than a shingle, the whole sequence is one shingle;
@@ -261,7 +262,7 @@ def links(docs: DataFrame, size: int = 5, percent: int = 80) -> tuple[DataFrame,
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     described = stage(_describe(docs, size), "described")
     sizes = described.where("key is null").select("doc_id", "n", "one", "two")
-    reps = sizes.where("n > 0").groupBy("n", "one", "two").agg(F.min("doc_id").alias("class_id"))
+    reps = stage(sizes.where("n > 0").groupBy("n", "one", "two").agg(F.min("doc_id").alias("class_id")), "representatives")
     classes = stage(sizes.join(reps, ["n", "one", "two"], "left").select("doc_id", "n", F.coalesce("class_id", "doc_id").alias("class_id")), "classes")
 
     counts = np.zeros(CELLS, np.uint32)
@@ -273,10 +274,10 @@ def links(docs: DataFrame, size: int = 5, percent: int = 80) -> tuple[DataFrame,
     heads = stage(chosen.join(_prefixes(docs, size, percent, level), "doc_id"), "prefixes")
     parities = heads.select("doc_id", "parities")
     tokens = heads.select("doc_id", "n", F.posexplode("head").alias("pos", "token"))
-    several = tokens.groupBy("token").agg(F.count("*").alias("m")).where("m > 1").select("token")
+    several = stage(tokens.groupBy("token").agg(F.count("*").alias("m")).where("m > 1").select("token"), "several")
     shared = stage(tokens.join(several, "token"), "shared")
     best = shared.groupBy("token").agg(F.min(F.struct("pos", "n", "doc_id")).alias("lead")).select("token", F.col("lead.doc_id").alias("leader"), F.col("lead.n").alias("n_leader"))
-    buckets = stage(shared.join(best, "token"), "buckets")
+    buckets = stage(shared.join(stage(best, "leaders"), "token"), "buckets")
 
     far = 200 - 2 * percent  # twice the allowed distance, in hundredths
     with_leader = buckets.where("doc_id <> leader").select(F.col("doc_id").alias("a"), F.col("leader").alias("b"), F.col("n").alias("na"), F.col("n_leader").alias("nb"))
@@ -318,7 +319,7 @@ def _around(compared: DataFrame, parted: DataFrame, percent: int) -> DataFrame:
     ring = ring.join(mids, "b", "left_semi")
     tokens = ring.join(parted.select("a", "b", F.explode("differ").alias("token")), ["a", "b"])
     often = tokens.groupBy("b", "token").agg(F.count("*").alias("m"), F.max("relation").alias("some_mid")).where("m > 1 and some_mid = 1").select("b", "token", "m")
-    shared = tokens.join(often, ["b", "token"])
+    shared = tokens.join(stage(often, "often"), ["b", "token"])
     # shingles that no other set has come first and need no row: the place counts them
     per_set = Window.partitionBy("a", "b").orderBy("m", "token")
     shared = shared.withColumns({"place": F.row_number().over(per_set), "many": F.count("*").over(Window.partitionBy("a", "b"))}).withColumn("rest", F.col("many") - F.col("place") + 1)
@@ -340,7 +341,7 @@ def _away(buckets: DataFrame, compared: DataFrame, percent: int) -> DataFrame:
     relation = compared.select(F.col("a").alias("doc_id"), F.col("b").alias("leader"), "relation")
     rest = buckets.where("doc_id <> leader").join(relation, ["doc_id", "leader"], "left").withColumn("relation", F.coalesce("relation", F.lit(2))).where("relation > 0")
     some = rest.groupBy("token").agg(F.count("*").alias("m"), F.max("relation").alias("r")).where("m > 1 and r = 2").select("token")
-    rest = stage(rest.join(some, "token", "left_semi").select("token", "doc_id", "n", "pos", "relation"), "rest")
+    rest = stage(rest.join(stage(some, "some"), "token", "left_semi").select("token", "doc_id", "n", "pos", "relation"), "rest")
     x, y = rest.alias("x"), rest.alias("y")
     nx, ny = F.col("x.n"), F.col("y.n")
     room = F.least(nx - F.col("x.pos"), ny - F.col("y.pos"))
