@@ -188,7 +188,7 @@ def headings(text: Column | str) -> Column:
 def preference(question: Column | str, ways: dict[str, str], hints: str, near: int = 12) -> Column:
     """The way that a question asks for: the first of ``ways`` (name to pattern) within ``near`` characters from a hint, else null."""
     q = F.coalesce(col(question), F.lit(""))
-    after = F.substring(F.regexp_extract(q, f"({hints}.*)", 1), 1, near)
+    after = F.substring(F.regexp_extract(q, f"((?:{hints}).*)", 1), 1, near)
     rule = F.lit(None).cast("string")
     for name, pattern in reversed(ways.items()):
         rule = F.when(after.rlike(pattern), name).otherwise(rule)
