@@ -54,6 +54,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     key = F.xxhash64("doc_id", "text")
     found = stage(windows(docs.select(key.alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")), "windows")
     first = found.groupBy("one", "two").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "at")).alias("first")).where("n > 1").drop("n")
+    first = stage(first, "firsts")  # so that Spark can split the rows of a hot window
     later = found.join(first, ["one", "two"]).where("doc_id <> first.doc_id or at <> first.at").select("row", "doc_id", "at").distinct()
     covered = later.groupBy("row", "doc_id").agg(F.sort_array(F.collect_set("at")).alias("starts"))
     return _without(docs, key, covered)
