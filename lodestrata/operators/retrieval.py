@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import terms
+from ..sources.store import staged
 
 #: Fixed values of BM25 and of reciprocal-rank fusion.
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -31,8 +32,9 @@ def bm25(docs: DataFrame, queries: DataFrame, top: int = 5, allowed: DataFrame |
     words become a share of the mean weight. ``allowed(doc_id)`` filters after
     scoring, so statistics cover the whole corpus.
     """
-    index = postings(docs)
-    stats = docs.select(F.size(terms("text")).alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    index = staged(postings(docs), "postings")  # read for its counts, its weights and its scores
+    # lengths add up to the counts of the index, so the texts are read once
+    stats = docs.agg(F.count("*").alias("n")).crossJoin(index.agg(F.sum("tf").alias("total"))).select("n", (F.col("total") / F.col("n")).alias("avgdl"))
     df = index.groupBy("term").agg(F.count("*").alias("df"))
     raw = df.crossJoin(F.broadcast(stats)).select("term", "n", "avgdl", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
     mean = raw.agg(F.avg("raw").alias("mean"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import STOPWORDS, terms
 from ..operators import ranking, retrieval
+from ..sources.store import staged
 from .registry import query, table
 
 _STOP = ", ".join(f"'{w}'" for w in STOPWORDS)
@@ -168,7 +169,7 @@ SELECT t.query_id, t.rank, coalesce(new_id, doc_id) AS doc_id, CASE WHEN new_id
 def source_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     kinds = docs.select("doc_id", F.when(F.col("lang") == "en", "web").otherwise("local").alias("kind"))
-    full = retrieval.bm25(docs, _queries(spark, sf_dir), 20).join(kinds, "doc_id").select("query_id", "doc_id", "rank", "kind")
+    full = staged(retrieval.bm25(docs, _queries(spark, sf_dir), 20).join(kinds, "doc_id").select("query_id", "doc_id", "rank", "kind"), "ranked")
     return ranking.quota(full.where("rank <= 10"), full)
 
 

@@ -2,19 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.store import scratch
 from ..streaming import events as S
 from .registry import query, table
 
 
 def _folder(spark: SparkSession) -> str:
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="lodestrata-")
-    return f"{where.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return f"{scratch(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:

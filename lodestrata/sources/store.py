@@ -6,10 +6,29 @@ key is replaced, or revoked, by rewriting its partition alone.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def scratch(spark: SparkSession) -> str:
+    """The shared folder of the session: that of its checkpoints, or a temporary one where none is set."""
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not where:
+        where = tempfile.mkdtemp(prefix="lodestrata-")
+        spark.sparkContext.setCheckpointDir(where)
+    return where.rstrip("/")
+
+
+def staged(df: DataFrame, label: str) -> DataFrame:
+    """Write a table that several branches of a plan need to the shared folder, and read it from there."""
+    path = f"{scratch(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def replace_by_key(rows: DataFrame, path: str, key: str) -> None:
     """Write ``rows`` in place of all earlier rows of the keys they have; other keys stay. Running it twice changes nothing."""
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(path)
