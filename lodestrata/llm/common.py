@@ -22,7 +22,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes that one numpy step handles; a longer text is handled alone.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
+#: Bytes of an Arrow batch.
+BATCH_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,6 +53,18 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def map_arrow(df: DataFrame, run, schema) -> DataFrame:
+    """``df.mapInArrow(run, schema)`` with batches of at most BATCH_BYTES, unless the session has a bound of its own.
+
+    Texts are long: batches of the default size would hold several times what
+    a task works on.
+    """
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if (conf.get(key, None) or "").rstrip("b") == str(64 << 20):
+        conf.set(key, str(BATCH_BYTES))
+    return df.mapInArrow(run, schema)
+
+
 def byte_slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """(first row, rows) of runs whose texts hold about ``limit`` bytes."""
     n = len(texts)
@@ -164,4 +178,4 @@ def sum_blobs(df: DataFrame, dtype: str, parts: int, join=np.add) -> DataFrame:
         for key, x in total.items():
             yield pa.RecordBatch.from_pydict({"key": pa.array([key], pa.int32()), "blob": pa.array([zlib.compress(x.tobytes(), 1)], pa.binary())})
 
-    return df.repartition(parts, F.col("key")).mapInArrow(add, "key int, blob binary")
+    return map_arrow(df.repartition(parts, F.col("key")), add, "key int, blob binary")

@@ -27,7 +27,7 @@ from html.parser import HTMLParser
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import byte_slices
+from .common import byte_slices, map_arrow
 
 SCHEMA = "page_id long, url string, text string, n_chars long"
 
@@ -254,4 +254,4 @@ def extract(pages: DataFrame) -> DataFrame:
                     "n_chars": pa.array(map(len, texts), pa.int64()),
                 })
 
-    return pages.select(pages["page_id"].cast("long"), pages["url"], pages["html"]).mapInArrow(run, SCHEMA)
+    return map_arrow(pages.select(pages["page_id"].cast("long"), pages["url"], pages["html"]), run, SCHEMA)

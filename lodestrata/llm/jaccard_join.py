@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Words, byte_slices, list_column, mix64, stage, sum_blobs
+from .common import Words, byte_slices, list_column, map_arrow, mix64, stage, sum_blobs
 
 #: Cells of the count table and of the pieces in which tasks send it; fragments of rare shingles.
 CELLS, PIECE, RARE_FRAGMENTS = 1 << 22, 1 << 16, 4
@@ -97,14 +97,14 @@ def _describe(docs: DataFrame, size: int) -> DataFrame:
                     one = np.array([mix64(s).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
                     two = np.array([mix64(s ^ _FACTORS[0]).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
                 if sets:
-                    counts += np.bincount(_cells(np.concatenate(sets)), minlength=CELLS).astype(np.uint32)
+                    np.add.at(counts, _cells(np.concatenate(sets)), np.uint32(1))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, n), pa.array([len(s) for s in sets], pa.int64()), pa.array(one), pa.array(two), none(n, pa.int32()), none(n, pa.binary())], ["doc_id", "n", "one", "two", "key", "blob"])
         for k in range(0, CELLS, PIECE):
             part = counts[k : k + PIECE]
             if part.any():
                 yield pa.RecordBatch.from_arrays([none(1, pa.int64()), none(1, pa.int64()), none(1, pa.int64()), none(1, pa.int64()), pa.array([k // PIECE], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], ["doc_id", "n", "one", "two", "key", "blob"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, one long, two long, key int, blob binary")
+    return map_arrow(docs, run, "doc_id long, n long, one long, two long, key int, blob binary")
 
 
 def _ordered(s: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -125,7 +125,7 @@ def _prefixes(docs: DataFrame, size: int, percent: int, level) -> DataFrame:
                 flat = np.concatenate(heads).view(np.int64) if heads else np.zeros(0, np.int64)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, n), list_column(flat, np.array([len(h) for h in heads])), pa.array(map(_parities, sets), pa.binary())], ["doc_id", "head", "parities"])
 
-    return docs.mapInArrow(run, "doc_id long, head array<long>, parities binary")
+    return map_arrow(docs, run, "doc_id long, head array<long>, parities binary")
 
 
 def _parities(s: np.ndarray) -> bytes:
@@ -154,7 +154,7 @@ def _within(pairs: DataFrame, parities: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(batch.columns[:4], ["a", "b", "na", "nb"]).filter(pa.array(keep, pa.bool_()))
 
     both = pairs.join(parities.select(F.col("doc_id").alias("a"), F.col("parities").alias("x")), "a").join(parities.select(F.col("doc_id").alias("b"), F.col("parities").alias("y")), "b")
-    return both.select("a", "b", "na", "nb", "x", "y").mapInArrow(run, "a long, b long, na long, nb long")
+    return map_arrow(both.select("a", "b", "na", "nb", "x", "y"), run, "a long, b long, na long, nb long")
 
 
 def _flags(ids: DataFrame) -> bytes:
@@ -170,7 +170,7 @@ def _flags(ids: DataFrame) -> bytes:
                 yield pa.RecordBatch.from_arrays([pa.array([k // FLAG_PIECE], pa.int32()), pa.array([zlib.compress(flags[k : k + FLAG_PIECE].tobytes(), 1)], pa.binary())], ["key", "blob"])
 
     whole = bytearray(FLAGS // 8)
-    pieces = ids.coalesce(32).mapInArrow(run, "key int, blob binary")
+    pieces = map_arrow(ids.coalesce(32), run, "key int, blob binary")
     for r in sum_blobs(pieces, "uint8", 16, np.bitwise_or).collect():  # FLAGS bits
         whole[r["key"] * FLAG_PIECE : (r["key"] + 1) * FLAG_PIECE] = zlib.decompress(r["blob"])
     return bytes(whole)
@@ -216,7 +216,7 @@ def _segments(docs: DataFrame, pairs: DataFrame, size: int, level) -> DataFrame:
                     list_column(flat[order].view(np.int64), many),
                 ], ["doc_id", "fragment", "segment"])
 
-    found = docs.mapInArrow(run, "doc_id long, fragment int, segment array<long>")
+    found = map_arrow(docs, run, "doc_id long, fragment int, segment array<long>")
     return found.join(ids, "doc_id", "left_semi") if flags else found
 
 

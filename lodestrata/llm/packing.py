@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import byte_slices, stage
+from .common import byte_slices, map_arrow, stage
 from .word_ids import encoder, with_end
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, place long"
@@ -129,7 +129,7 @@ def pieces(docs: DataFrame, vocabulary: str, end_id: int, length: int) -> DataFr
                     "ids_crc32": pa.array([zlib.crc32(ids[b : b + k]) for b, k in zip(base, size)], pa.int64()), "task": pa.array(np.full(len(doc), task, np.int32)), "place": pa.array(place),
                 })
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, PIECES)
+    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), cut, PIECES)
 
 
 def pack(docs: DataFrame, vocabulary: str, end_id: int, limits: Limits = Limits()) -> DataFrame:

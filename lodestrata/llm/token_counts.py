@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
-from .common import byte_slices
+from .common import byte_slices, map_arrow
 
 SCHEMA = "doc_id long, n_bytes long, n_tokens long"
 
@@ -116,4 +116,4 @@ def count_tokens(docs: DataFrame, vocabulary: str) -> DataFrame:
                     "n_tokens": pa.array(map(counter.count, texts.to_pylist()), pa.int64()),
                 })
 
-    return docs.select(docs["doc_id"].cast("long"), docs["text"]).mapInArrow(count, SCHEMA)
+    return map_arrow(docs.select(docs["doc_id"].cast("long"), docs["text"]), count, SCHEMA)

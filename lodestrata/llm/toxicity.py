@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_slices, stage
+from .common import byte_slices, map_arrow, stage
 
 SENTENCE = re.compile(r"[^\n]*?(?:[.!?]+(?=\s)|\n|\Z)", re.S)
 WORD = re.compile(r"\w+")
@@ -112,7 +112,7 @@ def evidence(labelled: DataFrame, words: int, least: float) -> list[str]:
         if counts:
             yield flush()
 
-    found = labelled.select("text", "label").mapInArrow(distinct, "word string, clean long, toxic long").groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    found = map_arrow(labelled.select("text", "label"), distinct, "word string, clean long, toxic long").groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     term = lambda k, n, p: F.when(k > 0, k * F.log(k / (n * p))).otherwise(0.0)
     a, b = F.col("toxic").cast("double"), F.col("clean").cast("double")
     p = (a + b) / (n1 + n0)
@@ -140,7 +140,7 @@ def fit(labelled: DataFrame, words: int = 2048, least: float = 8.0, steps: int =
                 out.append([r for r in rows if r])
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.list_(pa.int32()))), batch.column(1)], ["bag", "label"])
 
-    rows = labelled.select("text", "label").mapInArrow(bags, "bag array<array<int>>, label int").collect()
+    rows = map_arrow(labelled.select("text", "label"), bags, "bag array<array<int>>, label int").collect()
     label = np.array([r["label"] for r in rows], float)
     prior = float(label.mean())
     doc = np.array([i for i, r in enumerate(rows) for _ in r["bag"]], np.int64)
@@ -181,7 +181,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 kinds = [pa.float64(), pa.int32(), pa.int32(), pa.float64()]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, n), *(pa.array(c, k) for c, k in zip(columns, kinds))], ["doc_id", "score", "worst_start", "worst_end", "worst_score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCORES)
+    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, SCORES)
 
 
 def keep_clean(docs: DataFrame, model: Model, limit: float) -> DataFrame:
@@ -196,7 +196,7 @@ def keep_clean(docs: DataFrame, model: Model, limit: float) -> DataFrame:
                 part = batch.slice(at, n)
                 yield part.filter(pa.array([own.score(t)[0] < limit for t in part.column(place).to_pylist()], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_arrow(docs, run, docs.schema)
 
 
 def remainder(column: str, by: int):

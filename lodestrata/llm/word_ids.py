@@ -17,7 +17,7 @@ import pyarrow as pa
 from .common import Words, ragged
 
 #: Words that a worker remembers; beyond, those it has met only once are forgotten, or all.
-REMEMBERED = 2_000_000
+REMEMBERED = 800_000
 
 
 def _room(x: np.ndarray, n: int) -> np.ndarray:
@@ -106,7 +106,7 @@ class Encoder:
         self.flat[c:d] = flat
         self.words, self.ids = b, d
         if 2 * b > len(self.slots):
-            self.rehash(4 * len(self.slots))
+            self.rehash(2 * len(self.slots))
         else:
             self.place(np.arange(a, b))
 
