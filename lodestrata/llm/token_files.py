@@ -3,7 +3,7 @@
 Texts are range-partitioned by ``doc_id``; each partition is a shard, cut into
 blocks of about ``block_ids`` ids in ascending ``doc_id`` order. In a block,
 frequent adjacent id pairs become nonterminals again and again (many disjoint
-pairs a round, no occurrence overlapping another), for ROUNDS rounds or until no pair is frequent.
+pairs a round, no occurrence overlapping another) until no pair is frequent.
 A block is one row of a Parquet file: its shard and number, the documents and
 their lengths, the rules (two symbols each), the expansion length of each rule
 and the compressed sequence. ``decode`` expands a whole block; ``fetch`` finds
@@ -29,8 +29,8 @@ from .word_ids import encoder, with_end
 
 BLOCK_SCHEMA = "shard int, block int, doc_id array<long>, n_tokens array<int>, first_rule int, left binary, right binary, expansion binary, n_symbols int, symbols binary"
 
-#: Ids of a block, and counts that make a pair frequent enough for a rule.
-BLOCK_IDS, LEAST_COUNT, MOST_RULES, ROUNDS = 1 << 20, 24, 4096, 3
+#: Ids of a block, the count that makes a pair frequent enough for a rule, and the most rules of one round; the rest wait for the next.
+BLOCK_IDS, LEAST_COUNT, MOST_RULES = 1 << 20, 24, 4096
 _BINS = 1 << 19
 
 
@@ -45,36 +45,63 @@ def _disjoint(hit: np.ndarray) -> np.ndarray:
     return at[(at - run_start) % 2 == 0]
 
 
+def _frequent(key: np.ndarray, least: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(places, number of each place's pair, pairs) of the pairs that occur ``least`` times in ``key``.
+
+    Bins only rule out: a bin with fewer places holds no frequent pair. What is left is counted exactly.
+    """
+    at = ((key ^ (key >> 29)) * (0x9E3779B97F4A7C1 + 2 * seed) >> 40) & (_BINS - 1)
+    place = np.flatnonzero((np.bincount(at, minlength=_BINS) >= least)[at])
+    pairs, number, count = np.unique(key[place], return_inverse=True, return_counts=True)
+    keep = np.flatnonzero(count >= least)
+    keep = keep[np.argsort(-count[keep], kind="stable")]
+    rank = np.full(len(pairs), -1)
+    rank[keep] = np.arange(len(keep))
+    number = rank[number]
+    inside = number >= 0
+    return place[inside], number[inside], pairs[keep]
+
+
 def repair(ids: np.ndarray, first_rule: int, least: int = LEAST_COUNT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(symbols, left, right): rule ``first_rule + i`` stands for ``left[i], right[i]``."""
+    """(symbols, left, right): rule ``first_rule + i`` stands for ``left[i], right[i]``; no pair of symbols occurs ``least`` times.
+
+    A round only counts places that may hold a frequent pair: those beside
+    symbols of the round before, and those of frequent pairs that it left
+    over. No other pair can become more frequent.
+    """
     seq = ids.astype(np.int64)
     left: list[np.ndarray] = []
     right: list[np.ndarray] = []
-    free = first_rule
-    for _ in range(ROUNDS):
-        if len(seq) < 2:
-            break
-        key = (seq[:-1] << 32) | seq[1:]
-        at = (seq[:-1] * 40503 + seq[1:] * 2654435) & (_BINS - 1)
-        owner = np.zeros(_BINS, np.int64)
-        owner[at] = key  # one pair owns a bin in this round
-        own = owner[at] == key
-        count = np.bincount(at[own], minlength=_BINS)
-        bins = np.flatnonzero(count >= least)
-        if not len(bins):
+    free, seed = first_rule, 0
+    place = np.arange(max(len(seq) - 1, 0))
+    while len(place) >= least:
+        found, number, pairs = _frequent((seq[place] << 32) | seq[place + 1], least, seed)
+        place = place[found]
+        if not len(place):
             break
-        bins = bins[np.argsort(-count[bins], kind="stable")[:MOST_RULES]]
-        rule = np.full(_BINS, -1, np.int64)
-        rule[bins] = free + np.arange(len(bins))
-        hit = own & (rule[at] >= 0)
-        take = _disjoint(hit)
-        seq[take] = rule[at[take]]
+        rule = np.full(len(seq), -1)
+        chosen = number < MOST_RULES
+        rule[place[chosen]] = number[chosen]
+        # a round that takes all hits left to right uses a pair half as often as it occurs, on average, so some pair stays
+        uses = np.bincount(rule[_disjoint(rule >= 0)], minlength=min(len(pairs), MOST_RULES))
+        kept = np.flatnonzero(uses >= max(least // 2, 1))
+        name = np.full(len(pairs), -1)
+        name[kept] = free + np.arange(len(kept))
+        rule[place] = name[number]
+        take = _disjoint(rule >= 0)
+        seq[take] = rule[take]
         keep = np.ones(len(seq), bool)
         keep[take + 1] = False
+        again = np.zeros(len(seq), bool)
+        again[place[name[number] < 0]] = True
+        again[take] = True
+        again = again[keep]
         seq = seq[keep]
-        left.append(owner[bins] >> 32)
-        right.append(owner[bins] & 0xFFFFFFFF)
-        free += len(bins)
+        again[:-1] |= seq[1:] >= free
+        place = np.flatnonzero(again[:-1])
+        left.append(pairs[kept] >> 32)
+        right.append(pairs[kept] & 0xFFFFFFFF)
+        free, seed = free + len(kept), seed + 1
     flat = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right)]
     return seq, flat[0], flat[1]
 
@@ -92,13 +119,28 @@ def expansions(first_rule: int, left: np.ndarray, right: np.ndarray) -> np.ndarr
 
 
 def expand(symbols: np.ndarray, first_rule: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """The ids that ``symbols`` stand for."""
-    while len(at := np.flatnonzero(symbols >= first_rule)):
-        rule = symbols[at] - first_rule
-        out = np.insert(symbols, at + 1, right[rule])
+    """The ids that ``symbols`` stand for; each rule among them is expanded once and copied."""
+    nested = symbols >= first_rule
+    if not nested.any():
+        return symbols
+    own = symbols[nested] - first_rule
+    used = np.flatnonzero(np.bincount(own, minlength=len(left)))
+    flat = used + first_rule
+    while len(at := np.flatnonzero(flat >= first_rule)):
+        rule = flat[at] - first_rule
+        out = np.insert(flat, at + 1, right[rule])
         out[at + np.arange(len(at))] = left[rule]
-        symbols = out
-    return symbols
+        flat = out
+    size = expansions(first_rule, left, right)
+    start = np.zeros(len(left), np.int64)
+    start[used] = np.cumsum(size[used]) - size[used]
+    width = np.ones(len(symbols), np.int64)
+    width[nested] = size[own]
+    begin = (np.cumsum(width) - width)[nested]
+    out = np.repeat(symbols, width)
+    at = np.flatnonzero(np.repeat(nested, width))
+    out[at] = flat[at + np.repeat(start[own] - begin, width[nested])]
+    return out
 
 
 def _planes(x: np.ndarray) -> bytes:

@@ -69,6 +69,18 @@ def test_repair_is_exact_and_smaller():
         assert np.array_equal(token_files.expand(*(lambda s, a, b: (s, 500, a, b))(*token_files.repair(odd, 500))), odd)
 
 
+def test_repair_goes_on_until_no_pair_is_frequent():
+    rng = np.random.default_rng(2)
+    passage = rng.integers(0, 400, 300)
+    parts = [x for _ in range(60) for x in (passage, rng.integers(400, 60000, 50))]
+    ids = np.concatenate([*parts, rng.integers(0, 90, 200_000)]).astype(np.uint32)
+    seq, left, right = token_files.repair(ids, 60000)
+    assert np.array_equal(token_files.expand(seq, 60000, left, right), ids)
+    assert np.unique((seq[:-1] << 32) | seq[1:], return_counts=True)[1].max() < token_files.LEAST_COUNT
+    assert len(set(zip(left.tolist(), right.tolist()))) == len(left)
+    assert token_files.expansions(60000, left, right).max() > 100
+
+
 def test_token_files_round_trip(spark, odd_docs, no_docs, tmp_path, monkeypatch):
     monkeypatch.setattr(token_files, "BLOCK_IDS", 1)
     path = public_tokenizers.path("word_bpe_49k.json")
