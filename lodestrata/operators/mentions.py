@@ -6,16 +6,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def mentions(texts: DataFrame, lexicon: DataFrame, maximal: bool = True) -> DataFrame:
-    """``doc_id, terms``: lexicon terms that occur in each text, by first position.
-
-    Terms are looked up through their first word, so a text meets only the
-    terms that may start in it; ``maximal`` drops a term that is part of
-    another one found in the text. Terms and texts are compared as they are.
+def mentions(texts: DataFrame, lexicon: DataFrame, maximal: bool = True, whole: bool = False) -> DataFrame:
+    """``doc_id, terms``: lexicon terms that occur anywhere in each text, by first position.
+
+    Terms are looked up through their first two characters (or the only one),
+    so a text meets only the terms that may start in it; ``whole`` takes only
+    terms whose first word is a whole word of the text. ``maximal`` drops a
+    term that is part of another one found in the text. Terms and texts are
+    compared as they are.
     """
-    first = lambda c: F.regexp_extract(c, r"^([\p{L}\p{N}]+)", 1)
-    starts = lexicon.select("term", first(F.col("term")).alias("w")).where("w <> ''").distinct()
-    tokens = texts.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"([\p{L}\p{N}]+)"), F.lit(1)))).alias("w"))
+    if whole:
+        first = F.regexp_extract("term", r"^([\p{L}\p{N}]+)", 1)
+        keys = F.regexp_extract_all("text", F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
+    else:
+        first = F.substring("term", 1, 2)
+        keys = F.concat(F.regexp_extract_all("text", F.lit("(?s)(?=(..))"), F.lit(1)), F.regexp_extract_all("text", F.lit("(?s)(.)"), F.lit(1)))
+    starts = lexicon.select("term", first.alias("w")).where("w <> ''").distinct()
+    tokens = texts.select("doc_id", F.explode(F.array_distinct(keys)).alias("w"))
     maybe = tokens.join(starts, "w").select("doc_id", "term")
     found = maybe.join(texts.select("doc_id", "text"), "doc_id").withColumn("at", F.expr("instr(text, term)")).where("at > 0").select("doc_id", "term", "at").distinct()
     if maximal:

@@ -128,7 +128,7 @@ SELECT doc_id, list(term ORDER BY at0, term) AS terms FROM m GROUP BY doc_id""")
 def mentioned_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Long words of the questions, found in the documents as whole words."""
     lexicon = table(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit(r"([\p{L}\p{N}]{7,})"), F.lit(1))).alias("term")).distinct()
-    return mentions.mentions(table(spark, sf_dir, "documents"), lexicon)
+    return mentions.mentions(table(spark, sf_dir, "documents"), lexicon, whole=True)
 
 
 @query("""SELECT lang, count(*) AS chunks, count(*) FILTER (n_chars > 1000) AS filled, round(count(*) FILTER (n_chars > 1000) / count(*), 4) AS share FROM documents GROUP BY lang""")

@@ -104,6 +104,13 @@ def test_mentions(spark):
     assert sorted(mentions.mentions(docs, lex, maximal=False).first()["terms"]) == ["Lake", "Temple", "West Lake"]
 
 
+def test_mentions_inside_longer_runs(spark):
+    lex = spark.createDataFrame([("西湖",), ("灵隐",), ("塔",), ("(new)",), ("😀x",), ("lake",)], "term string")
+    docs = spark.createDataFrame([(1, "灵隐之后去西湖"), (2, "西湖 西湖 西湖"), (3, "雷峰塔 (new)\na😀x"), (4, "northlakes"), (5, ""), (6, "湖西")], "doc_id long, text string")
+    got = {r["doc_id"]: r["terms"] for r in mentions.mentions(docs, lex).collect()}
+    assert got == {1: ["灵隐", "西湖"], 2: ["西湖"], 3: ["塔", "(new)", "😀x"], 4: ["lake"]}
+
+
 def test_backfill_is_idempotent(spark):
     chunks = spark.createDataFrame([(1, []), (2, ["kept"]), (3, None)], "doc_id long, near array<string>")
     found = spark.createDataFrame([(1, ["a"]), (2, ["b"])], "doc_id long, terms array<string>")
