@@ -31,24 +31,39 @@ def once(events: DataFrame, keys: list[str], late: str = "1 day") -> DataFrame:
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys)
 
 
-def limited(events: DataFrame, key: str, most: int, seconds: int) -> DataFrame:
-    """``accepted`` for each event: at most ``most`` of a key in a fixed window of ``seconds``, in the order of time within a batch."""
+def limited(events: DataFrame, key: str, most: int, seconds: int, late: str | None = "1 day") -> DataFrame:
+    """``accepted`` for each event: whether it is among the first ``most`` of its key in a fixed window of ``seconds``, by time and number, in whatever order the rows come.
+
+    Refusals are given out at once, since no later row can undo them;
+    acceptances when the window is closed: the watermark has passed its end.
+    Rows later than ``late`` are left out. Without ``late`` no window closes
+    and no row is left out: what is not refused by the end is accepted.
+    The state of a window is its first ``most`` rows.
+    """
 
     def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        window, count = state.get if state.exists else (-1, 0)
-        rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
-        out = []
-        for ident, ts in zip(rows["event_id"], rows["ts"]):
-            at = int(ts.timestamp()) // seconds
-            if at != window:
-                window, count = at, 0
-            count += 1
-            out.append((int(ident), k[0], count <= most))
-        state.update((window, count))
-        yield pd.DataFrame(out, columns=["event_id", "key", "accepted"])
-
-    rows = events.select("event_id", "ts", F.col(key).cast("string").alias("key"))
-    return rows.groupBy("key").applyInPandasWithState(step, "event_id long, key string, accepted boolean", "w long, n int", "append", GroupStateTimeout.NoTimeout)
+        first = list(zip(*state.get)) if state.exists else []
+        name = None if pd.isna(k[0]) else k[0]
+        if state.hasTimedOut:
+            state.remove()
+            yield pd.DataFrame([(int(ident), name, True) for _, ident in first], columns=["event_id", "key", "accepted"])
+            return
+        for rows in frames:
+            both = sorted([*first, *zip(rows["us"].tolist(), rows["event_id"].tolist())])
+            first = both[:most]
+            yield pd.DataFrame([(int(ident), name, False) for _, ident in both[most:]], columns=["event_id", "key", "accepted"])
+        state.update(([int(us) for us, _ in first], [int(ident) for _, ident in first]))
+        if late:
+            end = int(k[1] + 1) * seconds * 1000
+            state.setTimeoutTimestamp(max(end, state.getCurrentWatermarkMs() + 1))
+
+    if late:
+        events = events.where("ts is not null").withWatermark("ts", late)
+    rows = events.select(
+        "event_id", "ts", F.coalesce(F.unix_micros("ts"), F.lit(0)).alias("us"), F.col(key).cast("string").alias("key"), F.floor(F.unix_micros("ts") / F.lit(seconds * 1_000_000)).alias("w")
+    )
+    timeout = GroupStateTimeout.EventTimeTimeout if late else GroupStateTimeout.NoTimeout
+    return rows.groupBy("key", "w").applyInPandasWithState(step, "event_id long, key string, accepted boolean", "us array<long>, id array<long>", "append", timeout)
 
 
 def breaker(calls: DataFrame, key: str, failures: int = 5, pause: int = 60) -> DataFrame:

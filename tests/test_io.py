@@ -76,3 +76,18 @@ def test_breaker_keeps_state_over_batches(spark, tmp_path):
     stream = events.read_files(spark, str(path), schema)
     got = events.drain(events.breaker(stream, "k"), str(tmp_path / "out")).orderBy("event_id").collect()
     assert [r["state"] for r in got] == ["closed"] * 5 + ["open", "half_open", "open", "half_open", "closed"]
+
+
+def test_rate_limit_over_files_whose_times_interleave(spark, tmp_path):
+    files = [[(1, "10:10"), (2, "11:10"), (3, "10:50")], [(4, "11:20"), (5, "10:05"), (6, "11:30")], [(7, "10:00"), (8, "11:05")], [(9, "16:00")]]
+    for i, rows in enumerate(files):
+        df = spark.createDataFrame([(n, "a") for n, _ in rows], "event_id long, k string").join(spark.createDataFrame([(n, f"2024-01-01 {t}:00") for n, t in rows], "event_id long, t string"), "event_id")
+        df.select("event_id", "k", F.col("t").cast("timestamp").alias("ts")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    schema = spark.read.parquet(str(tmp_path / "in")).schema
+    want = {1: False, 2: True, 3: False, 4: False, 5: True, 6: False, 7: True, 8: True}
+    for late in (None, "3 hours"):
+        stream = events.read_files(spark, str(tmp_path / "in"), schema)
+        got = events.drain(events.limited(stream, "k", 2, 3600, late), str(tmp_path / f"out-{late}")).collect()
+        found = {r["event_id"]: r["accepted"] for r in got}
+        assert len(found) == len(got)
+        assert found == (want if late else {i: x for i, x in want.items() if not x})
