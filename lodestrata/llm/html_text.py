@@ -9,8 +9,10 @@ body as CB and LCB, the density is
 with counts of zero taken as one. A node's density sum adds the densities of
 its children. The element that can hold blocks and has the largest sum holds the main text; the smallest
 density on its path to the body is the threshold, and subtrees beside the path
-that reach it belong to the text as well. Menus, forms, adverts, notices and
-the like are cut out by element, role or class name before and after.
+that reach it belong to the text as well. Menus, adverts, notices and the
+like are cut out by element or role before. Elements that only a class name or
+id speaks against, and forms, are cut out if they are made of links or controls
+or the page has its text elsewhere (``prune``).
 
 Rows: a null or empty page, or one without text, gives ""; unclosed elements
 are closed by the rules of HTML; repeated rows each keep a row; an empty table
@@ -41,21 +43,25 @@ SCOPE = frozenset("article aside blockquote body details div dl fieldset figure
 HOLDERS = frozenset("article blockquote body center dd details div dl figure main ol section table tbody td tr ul".split())
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 NOISE_WORDS = frozenset("ad ads adv advert adverts advertisement adsense banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr masthead menu modal nav navbar navigation newsletter notice pager pagination popup promo promoted promotion related respond share sharing sidebar social sponsor sponsored subscribe toolbar widget".split())
+CONTROLS = frozenset("button select textarea input".split())
+#: Characters of a form for each of its controls up to which it consists mainly of controls.
+LABEL = 50
 SPACE = re.compile(r"\s+")
 NAME_PART = re.compile(r"[a-z]+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "parent", "children", "named", "controls", "chars", "tags", "link_chars", "link_tags", "density", "total")
 
     def __init__(self, tag: str, parent: Node | None):
         self.tag, self.parent, self.children = tag, parent, []  # children: nodes and strings, in page order
+        self.named, self.controls = False, 0  # whether a class name or id says noise; controls in a form
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
 
 
 def is_noise(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
-    if tag in SKIPPED:
+    if tag in SKIPPED and tag != "form":
         return True
     if tag in ("html", "body", "article", "main"):
         return False
@@ -65,13 +71,15 @@ def is_noise(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
                 return True
         elif name == "role" and value.lower() in NOISE_ROLES or name == "aria-hidden" and value.lower() == "true":
             return True
-        elif name in ("class", "id") and not NOISE_WORDS.isdisjoint(NAME_PART.findall(value.lower())):
-            return True
         elif name == "style" and "display:none" in value.replace(" ", "").lower():
             return True
     return False
 
 
+def is_named_noise(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
+    return tag not in ("html", "body", "article", "main") and any(name in ("class", "id") and value and not NOISE_WORDS.isdisjoint(NAME_PART.findall(value.lower())) for name, value in attrs)
+
+
 class Tree(HTMLParser):
     """Builds the element tree; what lies inside noise is left out."""
 
@@ -80,6 +88,7 @@ class Tree(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.root = self.at = Node("body", None)
+        self.suspects = False
         self.noise: list[str] = []  # open elements from the outermost noise on
 
     def close_to(self, tags: Iterable[str], scope: frozenset[str]) -> None:
@@ -108,14 +117,24 @@ class Tree(HTMLParser):
             self.close_to(("p",), SCOPE)
         if tag in CLOSED_BY:
             self.close_to(CLOSED_BY[tag], SCOPE - {"td", "th"} if tag == "tr" else SCOPE)
+        if tag in CONTROLS:
+            node = self.at
+            while node is not None and node.tag != "form":
+                node = node.parent
+            if node is not None:
+                node.controls += 1
         if is_noise(tag, attrs):
             if tag not in VOID:
                 self.noise.append(tag)
             return
+        named = is_named_noise(tag, attrs)
         if tag in VOID:
-            self.at.children.append(Node(tag, self.at))
+            if not named:
+                self.at.children.append(Node(tag, self.at))
             return
         node = Node(tag, self.at)
+        node.named = named
+        self.suspects |= named or tag == "form"
         self.at.children.append(node)
         self.at = node
 
@@ -178,6 +197,76 @@ def measure(root: Node) -> list[Node]:
     return order
 
 
+def prune(root: Node) -> None:
+    """Cut out the elements named as noise and the forms that do not hold the main text.
+
+    An outermost suspect stays, and those inside it are looked at in its
+    place, if it is not made of links, no article or main element beside the
+    suspects holds a tenth of its characters, and it has the only headline or
+    more text than all that lies outside the suspects (four times as much, if
+    the headline is there). A form is a suspect only if made of controls.
+    """
+    order = measure(root)
+    suspects = {n for n in order if n.named or n.tag == "form" and n.chars <= LABEL * n.controls}
+    holds: dict[Node, int] = {}  # articles and main elements outside suspects, and their text there
+    text = headlines = most = 0
+
+    def words(node: Node) -> int:
+        return node.chars - node.link_chars
+
+    def visit(top: Node) -> list[Node]:
+        """Count what lies in ``top`` outside suspects; returns the outermost suspects there."""
+        nonlocal text, headlines, most
+        found, todo, changed = [], [top], {}
+        while todo:
+            node = todo.pop()
+            headlines += node.tag == "h1"
+            if node.tag in ("article", "main"):
+                changed[node] = words(node)
+            inner = [c for c in node.children if type(c) is Node]
+            found += [c for c in inner if c in suspects]
+            todo += [c for c in inner if c not in suspects]
+        for c in found:
+            up = c.parent
+            while up is not top.parent:
+                if up in changed:
+                    changed[up] -= words(c)
+                up = up.parent
+        seen = words(top) - sum(map(words, found))
+        text += seen
+        up = top.parent
+        while up is not None:
+            if up in holds:
+                changed[up] = holds[up] + seen
+            up = up.parent
+        holds.update(changed)
+        most = max([most, *changed.values()])
+        return found
+
+    def headline_in(top: Node) -> bool:
+        todo = [top]
+        while todo:
+            node = todo.pop()
+            if node.tag == "h1":
+                return True
+            todo += [c for c in node.children if type(c) is Node]
+        return False
+
+    todo, gone = sorted(visit(root), key=words), set()
+    while todo:
+        node = todo.pop()  # the longest of those at hand
+        wanted = node.chars > 2 * node.link_chars and words(node) > 10 * most
+        if wanted and (words(node) > text * (4 if headlines else 1) or not headlines and headline_in(node)):
+            suspects.discard(node)
+            todo = sorted([*todo, *visit(node)], key=words)
+        else:
+            gone.add(node)
+    for node in {n.parent for n in gone}:
+        node.children = [c for c in node.children if c not in gone]
+    for node in order:
+        node.chars = node.tags = node.link_chars = node.link_tags = 0
+
+
 def chosen(root: Node) -> list[Node]:
     """The subtrees that hold the main text, in page order."""
     order = measure(root)
@@ -237,6 +326,8 @@ def main_text(html: str | None) -> str:
     tree = Tree()
     tree.feed(html)
     tree.close()
+    if tree.suspects:
+        prune(tree.root)
     return "\n".join(blocks(chosen(tree.root)))
 
 

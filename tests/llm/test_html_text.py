@@ -30,6 +30,23 @@ def test_sections_side_by_side_are_kept():
     assert got.split("\n") == ["One part of the text is here.", "And more of it follows.", "The other part is here, of like length.", "It ends."]
 
 
+STORY = "<h1>Title here</h1><p>A first paragraph of some length, and more.</p><p>A second paragraph, which is long as well.</p>"
+
+
+@pytest.mark.parametrize("wrapper", ['div class="content has-sidebar"', 'div id="content-sidebar-wrap"', 'div class="elementor-widget elementor-widget-theme-post-content"', 'section class="social-policy"', 'div class="related-work"', 'form action="/"', 'form id=f class="share"'])
+@pytest.mark.parametrize("inner", ["{}", '<div class="content-widget">{}</div>'])
+def test_wrappers_named_like_noise_keep_the_text(wrapper, inner):
+    story = inner.format(STORY)
+    assert text(f'<{wrapper}><input name=q><div class="share"><a href=x>Tell friends</a></div>{story}<div class="related"><a href=y>Other story</a></div></{wrapper.split()[0]}>') == "Title here\nA first paragraph of some length, and more.\nA second paragraph, which is long as well."
+
+
+def test_long_comments_are_still_left_out():
+    comments = '<div id="comments">' + "<p>A reader wrote a long comment here.</p>" * 8 + "</div>"
+    want = "Title here\nA first paragraph of some length, and more.\nA second paragraph, which is long as well."
+    assert html_text.main_text(f"<article>{STORY}</article>{comments}") == want
+    assert html_text.main_text(f"<div>{STORY}</div>{comments}") == want
+
+
 @pytest.mark.parametrize("html,want", [
     (None, ""), ("", ""), ("plain words", "plain words"), ("<p>", ""), ("<article>One</article>", "One"), ("<article><p>a<br>b", "a b"), ("<p>&am; &amp &lt;b&gt;</p>", "&am; & <b>"),
     ("<body><nav>menu<p>open", ""), ("<div><script>x", ""), ("<p>a</p></div></p><p>b", "a\nb"), ("<table><tr><td>a<td>b<tr><td>c</table>", "a\nb\nc"), ("<" * 50, "<" * 50), ("<!-- only -->", ""),
