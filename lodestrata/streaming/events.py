@@ -51,7 +51,8 @@ def limited(events: DataFrame, key: str, most: int, seconds: int, late: str | No
         for rows in frames:
             both = sorted([*first, *zip(rows["us"].tolist(), rows["event_id"].tolist())])
             first = both[:most]
-            yield pd.DataFrame([(int(ident), name, False) for _, ident in both[most:]], columns=["event_id", "key", "accepted"])
+            if len(both) > most:
+                yield pd.DataFrame([(int(ident), name, False) for _, ident in both[most:]], columns=["event_id", "key", "accepted"])
         state.update(([int(us) for us, _ in first], [int(ident) for _, ident in first]))
         if late:
             end = int(k[1] + 1) * seconds * 1000
