@@ -23,8 +23,6 @@ from pyspark.sql import functions as F
 
 #: Text bytes that one numpy step handles; a longer text is handled alone.
 SLICE_BYTES = 1 << 19
-#: Bytes of an Arrow batch.
-BATCH_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,10 +30,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The checkpoint folder of the session; a temporary one where none is set."""
+    """The checkpoint folder of the session. Where none is set, a temporary one on a local master, and an error on a cluster, whose machines would each write to their own."""
     sc = spark.sparkContext
     where = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not where:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         where = tempfile.mkdtemp(prefix="lodestrata-")
         sc.setCheckpointDir(where)
     return where.rstrip("/")
@@ -54,14 +54,11 @@ def stage(df: DataFrame, label: str) -> DataFrame:
 
 
 def map_arrow(df: DataFrame, run, schema) -> DataFrame:
-    """``df.mapInArrow(run, schema)`` with batches of at most BATCH_BYTES, unless the session has a bound of its own.
+    """``df.mapInArrow(run, schema)``.
 
-    Texts are long: batches of the default size would hold several times what
-    a task works on.
+    Texts are long, so sessions should bound Arrow batches by bytes, as
+    ``lodestrata.session.tune`` does; ``byte_slices`` bounds what a step sees.
     """
-    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
-    if (conf.get(key, None) or "").rstrip("b") == str(64 << 20):
-        conf.set(key, str(BATCH_BYTES))
     return df.mapInArrow(run, schema)
 
 
@@ -159,23 +156,24 @@ def list_column(values: np.ndarray | pa.Array, lengths: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)), values if isinstance(values, pa.Array) else pa.array(values))
 
 
-def sum_blobs(df: DataFrame, dtype: str, parts: int, join=np.add) -> DataFrame:
-    """Add, or ``join`` otherwise, the deflated vectors in ``blob`` for each ``key``.
+def sum_blobs(df: DataFrame, dtype: str, parts: int, join=np.add, total: str | None = None) -> DataFrame:
+    """Add, or ``join`` otherwise, the deflated vectors in ``blob`` for each ``key``, in numbers of type ``total``.
 
     ``df`` has ``key int, blob binary``; the result has one row per key. A task
     keeps one vector per key of its partition, whatever the number of rows.
     """
+    wide = total or dtype
 
     def add(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, np.ndarray] = {}
+        so_far: dict[int, np.ndarray] = {}
         for b in batches:
             for key, blob in zip(b.column("key").to_pylist(), b.column("blob")):
                 x = np.frombuffer(zlib.decompress(blob.as_py()), dtype)
-                if key in total:
-                    join(total[key], x, out=total[key])
+                if key in so_far:
+                    join(so_far[key], x, out=so_far[key])
                 else:
-                    total[key] = x.copy()
-        for key, x in total.items():
+                    so_far[key] = x.astype(wide)
+        for key, x in so_far.items():
             yield pa.RecordBatch.from_pydict({"key": pa.array([key], pa.int32()), "blob": pa.array([zlib.compress(x.tobytes(), 1)], pa.binary())})
 
     return map_arrow(df.repartition(parts, F.col("key")), add, "key int, blob binary")

@@ -1,6 +1,7 @@
 import random
 from collections import defaultdict
 from fractions import Fraction
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -15,22 +16,33 @@ def shingles(text, size):
     return frozenset(tuple(w[i : i + size]) for i in range(len(w) - size + 1)) or (frozenset([tuple(w)]) if w else frozenset())
 
 
-def brute(texts, size, percent):
-    sets = {i: shingles(t, size) for i, t in texts.items()}
-    parent = {i: i for i in texts}
+def brute_rows(rows, size, percent):
+    """(doc_id, n_shingles, component_id) of each row, in order; each row is a text of its own."""
+    sets = [shingles(t, size) for _, t in rows]
+    parent = list(range(len(rows)))
 
     def root(x):
         while parent[x] != x:
             x = parent[x]
         return x
 
-    ids = sorted(texts)
-    for k, a in enumerate(ids):
-        for b in ids[k + 1 :]:
+    for a in range(len(rows)):
+        for b in range(a + 1, len(rows)):
             if sets[a] and sets[b] and Fraction(len(sets[a] & sets[b]), len(sets[a] | sets[b])) * 100 >= percent:
-                x, y = sorted((root(a), root(b)))
-                parent[y] = x
-    return {i: (len(sets[i]), root(i)) for i in ids}
+                parent[root(a)] = root(b)
+    least = {}
+    for k, (i, _) in enumerate(rows):
+        least[root(k)] = min(i, least.get(root(k), i))
+    return [(i, len(sets[k]), least[root(k)]) for k, (i, _) in enumerate(rows)]
+
+
+def brute(texts, size, percent):
+    return {i: (n, c) for i, n, c in brute_rows(sorted(texts.items()), size, percent)}
+
+
+def found_rows(spark, rows, size, percent):
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    return sorted(tuple(r) for r in jaccard_join.near_duplicates(docs, size, percent).select("doc_id", "n_shingles", "component_id").collect())
 
 
 def edited(rng, words, vocabulary, n):
@@ -74,6 +86,94 @@ def test_components_equal_brute_force(spark, seed, size, percent):
     assert got == brute(texts, size, percent)
 
 
+@pytest.mark.parametrize("seed", [4])
+def test_repeated_rows_and_shared_ids(spark, seed):
+    """Rows given twice, ids with several texts, and texts that are half alike beside them."""
+    rng = random.Random(seed)
+    texts = corpus(seed)
+    vocabulary = [f"w{i}" for i in range(400)]
+    rows = [(i, t) for i, t in texts.items() if i % 2]
+    rows += [rng.choice(rows) for _ in range(60)]
+    rows += [(i, texts[rng.randrange(len(texts))]) for i in range(0, 40, 3)]
+    for k in range(6):
+        base = [rng.choice(vocabulary) for _ in range(60)]
+        half = base[:45] + [rng.choice(vocabulary) for _ in range(12)]
+        rows += [(1000 + 2 * k, " ".join(base))] * 3 + [(1001 + 2 * k, " ".join(half))] * 2
+    assert found_rows(spark, rows, 4, 85) == sorted(brute_rows(rows, 4, 85))
+
+
+def test_repeated_row_beside_a_text_that_is_half_alike(spark):
+    words = [f"w{i}" for i in range(60)]
+    rows = [(1, " ".join(words)), (1, " ".join(words)), (2, " ".join(words[:46] + [f"x{i}" for i in range(14)]))]
+    assert found_rows(spark, rows, 4, 85) == [(1, 57, 1), (1, 57, 1), (2, 57, 2)]
+
+
+def staged_rows(spark, label):
+    """Rows of each table that was staged as ``label``."""
+    folder = Path(spark.conf.get("spark.checkpoint.dir"))
+    return {p.name: spark.read.parquet(str(p)).count() for p in folder.glob(f"{label}-*")}
+
+
+@pytest.mark.parametrize("percent", [85])
+def test_variants_beside_a_truncated_copy_are_not_paired_up(spark, percent):
+    """The truncated copy is shorter, leads every bucket, and is at middle distance from all variants."""
+    rng = random.Random(6)
+    base = [f"w{i}" for i in range(150)]
+    rows = [(0, " ".join(base[:122]))]
+    for i in range(1, 2001):
+        text = list(base)
+        text[rng.randrange(150)] = f"x{i}"
+        rows.append((i, " ".join(text)))
+    before = {label: set(staged_rows(spark, label)) for label in ("alike", "parted", "candidates")}
+    got = found_rows(spark, rows, 4, percent)
+    for label, most in (("alike", 4 * 2000), ("parted", 20 * 2000), ("candidates", 2000)):
+        assert sum(n for name, n in staged_rows(spark, label).items() if name not in before[label]) <= most, label
+    sets = [shingles(t, 4) for _, t in rows]
+    near_cut = [len(sets[0] & s) * 100 >= percent * len(sets[0] | s) for s in sets[1:]]
+    assert len({c for i, _, c in got if i}) == 1  # variants are linked with each other, for the most part through one
+    assert (got[0][2] == got[1][2]) == any(near_cut)
+
+
+def test_far_sets_that_share_a_shingle_are_not_paired_up(spark):
+    rows = [(i, f"many share these words {' '.join(f'v{i}n{k}' for k in range(i % 40 + 1))}") for i in range(2000)]
+    before = set(staged_rows(spark, "alike"))
+    got = found_rows(spark, rows, 4, 85)
+    assert sum(n for name, n in staged_rows(spark, "alike").items() if name not in before) <= 2000
+    assert [c for _, _, c in got] == list(range(2000))
+
+
+def test_levels_tell_common_shingles_apart_in_a_full_table():
+    rng = np.random.default_rng(2)
+    counts = rng.poisson(2_400_000, 1 << 16).astype(np.float64)
+    counts[:4] += [20_000, 200_000, 2_000_000, 5_000_000_000]
+    found = jaccard_join.levels(counts)
+    assert 0 < found[0] < found[1] < found[2] < found[3]
+    assert not found[4:].any()
+    assert jaccard_join.levels(np.array([0.0, 0, 1, 3, 40, 100, 10_000])).tolist() == [0, 0, 0, 0, 0, 1, 8]
+
+
+def test_texts_are_joined_first_where_ids_are_many(spark, monkeypatch):
+    rows = list(corpus(7).items())
+    monkeypatch.setattr(jaccard_join, "FLAGS", 8)
+    assert found_rows(spark, rows, 4, 85) == sorted(brute_rows(rows, 4, 85))
+
+
+@pytest.mark.parametrize("rounds", [1])
+def test_rounds_do_not_change_what_is_found(spark, monkeypatch, rounds):
+    monkeypatch.setattr(jaccard_join, "FEW", 2)
+    rows = list(corpus(8).items())
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    classes, edges = jaccard_join.links(docs, 3, 70, rounds)
+    found = {r["id"]: r["component"] for r in jaccard_join.components(edges).collect()}
+    groups = defaultdict(set)
+    for r in classes.collect():
+        groups[found.get(r["set_id"], r["set_id"]) if r["set_id"] is not None else ("none", r["doc_id"])].add(r["doc_id"])
+    want = defaultdict(set)
+    for i, _, c in brute_rows(rows, 3, 70):
+        want[c].add(i)
+    assert sorted(map(sorted, groups.values())) == sorted(map(sorted, want.values()))
+
+
 def test_a_large_group_of_near_copies_is_not_paired_up(spark):
     rng = random.Random(5)
     vocabulary = [f"w{i}" for i in range(3000)]

@@ -56,3 +56,10 @@ def test_a_window_that_most_texts_share(spark):
     docs = spark.range(500).selectExpr("id AS doc_id", "concat('same\nlines\nhere\nown ', id) AS text")
     got = line_dedup.dedup_lines(docs)
     assert got.where("n_removed = 3").count() == 499 and got.where("n_removed = 0").first()["doc_id"] == 0
+
+
+def test_one_of_several_texts_of_an_id_keeps_a_window(spark):
+    rows = [(1, "a b\nc d\ne f"), (1, "a b\nc d\ne f\ng h"), (2, "x\na b\nc d\ne f")]
+    got = sorted((r["doc_id"], r["text"], r["n_removed"]) for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert sorted(n for i, _, n in got if i == 1) == [0, 3]
+    assert got[-1] == (2, "x", 3)

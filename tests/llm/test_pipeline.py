@@ -84,6 +84,27 @@ def test_each_stage_equals_a_plain_version(spark, world, tmp_path):
     assert max(np.bincount([r["sequence_id"] for r in rows], [r["length"] for r in rows])) <= 2048
 
 
+def test_stages_take_repeated_rows_shared_ids_and_clashing_names(spark, world):
+    folder, items = world
+    rng = random.Random(9)
+    say = lambda n: " ".join(f"word{rng.randrange(900)}" for _ in range(n))
+    base, other, half = say(60), say(60), say(20)
+    rows = [(1, base), (1, base), (2, base + " more"), (3, other), (3, half), (4, other), (5, items[2]), (5, say(30)), (6, None), (6, None), (None, say(12)), (7, ""), (8, " ".join(base.split()[:30]) + " " + half)]
+    columns = ["n_lines", "n_removed", "row", "component_id", "set_id", "h1", "group", "first", "n_hit", "__row"]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or ""), *range(len(columns))) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} long" for c in columns))
+    want = {
+        "line_dedup": [(1, base), (1, base), (2, base + " more"), (3, other), (3, half), (5, items[2]), (5, rows[7][1]), (6, None), (6, None), (None, rows[10][1]), (7, ""), (8, rows[12][1])],
+        "near_duplicates": [(1, base), (3, other), (3, half), (5, items[2]), (5, rows[7][1]), (6, None), (6, None), (None, rows[10][1]), (7, ""), (8, rows[12][1])],
+        "decontamination": [(1, base), (1, base), (2, base + " more"), (3, other), (3, half), (4, other), (5, rows[7][1]), (6, None), (6, None), (None, rows[10][1]), (7, ""), (8, rows[12][1])],
+    }
+    for name, stage in corpus_pipeline.STAGES[1:4]:
+        out = stage(spark, docs, folder)
+        assert out.columns == docs.columns
+        got = out.collect()
+        assert sorted([(r["doc_id"] or 0, r["text"] or "") for r in got]) == sorted([(i or 0, t or "") for i, t in want[name]]), name
+        assert all([r[c] for c in columns] == list(range(len(columns))) for r in got), name
+
+
 def test_run_and_empty_tables(spark, world, tmp_path):
     folder, _ = world
     assert corpus_pipeline.run(spark, folder).count() > 200
