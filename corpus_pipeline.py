@@ -8,12 +8,13 @@ one's ``docs``. All but the last keep the columns of ``documents``.
 2. line_dedup: later occurrences of repeated three-line windows go, and
    documents of which nothing is left.
 3. near_duplicates: of each group linked by five-word shingles at 0.8, the
-   document of the smallest id stays.
+   document of the smallest id stays, and one of rows equal in id and text.
 4. decontamination: documents with a benchmark passage of ten words go.
 5. packing: what is left, as sequences of at most 2048 tokens.
 
-Null texts pass every filter and are packed as an end token alone; an empty
-table gives an empty result.
+Rows of one id with different texts are documents of their own, and columns of
+other names are carried along. Null texts pass every filter and are packed as
+an end token alone; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -35,19 +36,22 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    left = line_dedup.dedup_lines(docs).where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_lines")))
+    own = [c for c in ("n_lines", "n_removed") if c in docs.columns]  # names that the operator takes for itself
+    found = line_dedup.dedup_lines(docs.withColumnsRenamed({c: f"own_{c}_of_documents" for c in own}))
+    left = found.where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_lines")))
     text = F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return left.withColumn("n_chars", text).select(docs.columns)
+    return left.withColumn("n_chars", text).drop("n_lines", "n_removed").withColumnsRenamed({f"own_{c}_of_documents": c for c in own}).select(docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = jaccard_join.near_duplicates(docs, size=5, percent=80)
-    return docs.join(found.where("doc_id <> component_id").select("doc_id"), "doc_id", "left_anti").select(docs.columns)
+    return jaccard_join.keep_first(docs, size=5, percent=80)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = decontamination.contamination(docs, table(spark, sf_dir, "benchmark"))
-    return docs.join(found.where("n_hit > 0").select("doc_id"), "doc_id", "left_anti").select(docs.columns)
+    row = F.xxhash64("doc_id", "text")  # ids may have several texts
+    found = decontamination.contamination(docs.select(row.alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
+    hit = found.where("n_hit > 0").select(F.col("doc_id").alias("row"))
+    return docs.join(hit, row == hit["row"], "left_anti").select(docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
