@@ -5,23 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import HAN
 
-def mentions(texts: DataFrame, lexicon: DataFrame, maximal: bool = True, whole: bool = False) -> DataFrame:
+
+def mentions(texts: DataFrame, lexicon: DataFrame, maximal: bool = True) -> DataFrame:
     """``doc_id, terms``: lexicon terms that occur anywhere in each text, by first position.
 
     Terms are looked up through their first two characters (or the only one),
-    so a text meets only the terms that may start in it; ``whole`` takes only
-    terms whose first word is a whole word of the text. ``maximal`` drops a
+    so a text meets only the terms that may start in it. ``maximal`` drops a
     term that is part of another one found in the text. Terms and texts are
     compared as they are.
     """
-    if whole:
-        first = F.regexp_extract("term", r"^([\p{L}\p{N}]+)", 1)
-        keys = F.regexp_extract_all("text", F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
-    else:
-        first = F.substring("term", 1, 2)
-        keys = F.concat(F.regexp_extract_all("text", F.lit("(?s)(?=(..))"), F.lit(1)), F.regexp_extract_all("text", F.lit("(?s)(.)"), F.lit(1)))
-    starts = lexicon.select("term", first.alias("w")).where("w <> ''").distinct()
+    keys = F.concat(F.regexp_extract_all("text", F.lit("(?s)(?=(..))"), F.lit(1)), F.regexp_extract_all("text", F.lit("(?s)(.)"), F.lit(1)))
+    starts = lexicon.select("term", F.substring("term", 1, 2).alias("w")).where("w <> ''").distinct()
     tokens = texts.select("doc_id", F.explode(F.array_distinct(keys)).alias("w"))
     maybe = tokens.join(starts, "w").select("doc_id", "term")
     found = maybe.join(texts.select("doc_id", "text"), "doc_id").withColumn("at", F.expr("instr(text, term)")).where("at > 0").select("doc_id", "term", "at").distinct()
@@ -39,10 +35,28 @@ def harvest(rows: DataFrame, columns: list[str], least: int = 2) -> DataFrame:
     return each.groupBy("term").agg(F.count("*").alias("n")).where(F.col("n") >= least)
 
 
-def valid_term(term: str, shortest: int = 2, longest: int = 24, stop: tuple[str, ...] = ("",)) -> Column:
-    """Whether a harvested term may enter the lexicon: its length, no digits, not a stop word."""
+#: What a term's name of a place may end in, and what lines about direction or bars leave around it.
+ADMIN_ENDS = ("省", "市", "区", "县", "镇", "乡", "村", "州", "旗", "盟")
+AROUND = ("方向", "周边", "附近", "沿线")
+
+
+def normalised(term: Column | str) -> Column:
+    """A term without bars, marks and spaces around it, and without a word for "around" or "towards" behind it."""
+    x = F.regexp_replace(F.col(term) if isinstance(term, str) else term, r"^[\s|｜:：、，,。.·\-]+|[\s|｜:：、，,。.·\-]+$", "")
+    return F.regexp_replace(x, f"(?:{'|'.join(AROUND)})$", "")
+
+
+def valid_term(term: str, shortest: int = 2, longest: int = 6, stop: tuple[str, ...] = ("",), ends: tuple[str, ...] = ADMIN_ENDS, inside: tuple[str, ...] = ("古镇",)) -> Column:
+    """Whether a harvested term may enter the lexicon: its length, no digits, at least one Chinese character, no stop word, no administrative name, no word in it that names a kind of place."""
     t = F.col(term)
-    return F.length(t).between(shortest, longest) & ~t.rlike(r"\d") & ~t.isin(*stop)
+    ok = F.length(t).between(shortest, longest) & ~t.rlike(r"\d") & t.rlike(HAN) & ~t.isin(*stop) & ~t.rlike(f"(?:{'|'.join(ends)})$")
+    return ok & ~t.rlike("|".join(inside)) if inside else ok
+
+
+def relation_key(kind: Column | str, keys: dict[str, str]) -> Column:
+    """The relation that chunks of a kind fill, or null."""
+    pairs = F.create_map(*(F.lit(x) for pair in keys.items() for x in pair))
+    return F.try_element_at(pairs, F.col(kind) if isinstance(kind, str) else kind)
 
 
 def backfill(chunks: DataFrame, found: DataFrame, relation: str) -> DataFrame:

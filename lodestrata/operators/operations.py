@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,17 +34,26 @@ def sliding_load(requests: DataFrame, key: str, seconds: int) -> DataFrame:
     return requests.withColumn("in_window", F.count("*").over(w))
 
 
-def failure_runs(calls: DataFrame, key: str, order: list, least: int = 5) -> DataFrame:
-    """Runs of ``least`` or more failures in a row: ``key, run, failures, first_id, last_id``; ``calls(call_id, ok)``."""
-    w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    marked = calls.withColumn("run", F.sum(F.col("ok").cast("int")).over(w)).where(~F.col("ok"))
-    return marked.groupBy(key, "run").agg(F.count("*").alias("failures"), F.min("call_id").alias("first_id"), F.max("call_id").alias("last_id")).where(F.col("failures") >= least)
+def failure_runs(calls: DataFrame, key: str, order: list, least: int = 5, bucket: str = "hour") -> DataFrame:
+    """Runs of ``least`` or more failures in a row: ``key, run, failures, first_id, last_id``; ``calls(call_id, ts, ok)``, ordered by ``ts`` first.
+
+    ``run`` is the number of successes before. Successes are counted by time
+    bucket, then within each, so no task sorts all the history of a key.
+    """
+    timed = calls.withColumn("bucket", F.date_trunc(bucket, "ts"))
+    sums = timed.groupBy(key, "bucket").agg(F.sum(F.col("ok").cast("int")).alias("oks"))
+    earlier = Window.partitionBy(key).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    before = sums.select(key, "bucket", F.coalesce(F.sum("oks").over(earlier), F.lit(0)).alias("before"))
+    inside = Window.partitionBy(key, "bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    marked = timed.withColumn("inside", F.sum(F.col("ok").cast("int")).over(inside)).where(~F.col("ok"))
+    runs = marked.join(before, (marked[key].eqNullSafe(before[key])) & (marked["bucket"].eqNullSafe(before["bucket"]))).select(marked[key], (F.col("before") + F.col("inside")).alias("run"), "call_id")
+    return runs.groupBy(key, "run").agg(F.count("*").alias("failures"), F.min("call_id").alias("first_id"), F.max("call_id").alias("last_id")).where(F.col("failures") >= least)
 
 
 def freshness(data: DataFrame, registry: DataFrame, now: Column) -> DataFrame:
     """``fresh``: younger than its source's ``expiry_seconds``; sources without one, or unknown, are always fresh."""
     age = F.unix_seconds(now.cast("timestamp")) - F.unix_seconds(F.col("ts").cast("timestamp"))
-    return data.join(F.broadcast(registry), "source", "left").withColumn("fresh", F.coalesce(age <= F.col("expiry_seconds"), F.lit(True)))
+    return data.join(registry, "source", "left").withColumn("fresh", F.coalesce(age <= F.col("expiry_seconds"), F.lit(True)))
 
 
 def latest_status(changes: DataFrame, key: str, order: list[str], value: str) -> DataFrame:
@@ -62,17 +75,28 @@ def last_items(rows: DataFrame, key: str, order: str, value: str, n: int = 20) -
 def cached(calls: DataFrame, seconds: int) -> DataFrame:
     """``hit`` for each call ``(namespace, key, ts, call_id)``: whether a call of the same key was stored in the last ``seconds``; every miss stores anew.
 
-    A stored value lives ``seconds`` from the miss that stored it, so hits are
-    folded over the ordered calls of a key, a day at a time: no value outlives
-    its day.
+    A stored value lives ``seconds`` from the miss that stored it. Calls of a
+    key run through a task in order, and only the time of its last miss is kept.
     """
-    ordered = F.array_sort(F.collect_list(F.struct(F.col("ts").cast("timestamp").alias("ts"), "call_id")))
-    start = F.struct(F.lit(None).cast("timestamp").alias("stored"), F.array().cast("array<struct<call_id:long,hit:boolean>>").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        age = F.unix_micros(x["ts"]) - F.unix_micros(acc["stored"])
-        hit = F.coalesce(age <= seconds * 1_000_000, F.lit(False))
-        return F.struct(F.when(hit, acc["stored"]).otherwise(x["ts"]).alias("stored"), F.concat(acc["out"], F.array(F.struct(x["call_id"].cast("long").alias("call_id"), hit.alias("hit")))).alias("out"))
-
-    per_key = calls.groupBy("namespace", "key", F.window("ts", "1 day").alias("day")).agg(F.aggregate(ordered, start, step)["out"].alias("out"))
-    return per_key.select("namespace", "key", F.inline("out"))
+    micros = seconds * 1_000_000
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, stored = None, 0
+        for batch in batches:
+            keys = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+            us = np.asarray(batch.column(2))
+            hit = np.ones(len(us), bool)
+            at = 0
+            while at < len(us):
+                if keys[at] != last or us[at] - stored > micros:
+                    hit[at], last, stored = False, keys[at], us[at]
+                at += 1
+                # what follows within the life of the value hits, without a look at each
+                ahead = at + int(np.searchsorted(us[at : at + 256], stored + micros, "right")) if at < len(us) and keys[min(at + 255, len(us) - 1)] == last else at
+                at = max(at, ahead)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array(hit)], ["namespace", "key", "call_id", "hit"])
+
+    rows = calls.select("namespace", F.col("key").cast("string").alias("key"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), F.col("call_id").cast("long").alias("call_id")).where("us is not null")
+    kind = rows.schema["namespace"].dataType.simpleString()
+    ordered = rows.repartition("namespace", "key").sortWithinPartitions("namespace", "key", "us", "call_id")
+    return ordered.mapInArrow(run, f"namespace {kind}, key string, call_id long, hit boolean")

@@ -61,8 +61,7 @@ def dense(vectors: DataFrame, queries: DataFrame, top: int = 10) -> DataFrame:
     """
     numbered = queries.select("query_id", "embedding").where("embedding is not null").orderBy("query_id")
     found = None
-    for block in _blocks(numbered):
-        ids, matrix = block
+    for ids, matrix, _ in _blocks(numbered.withColumn("grp", F.lit(None).cast("string"))):
         shared = vectors.sparkSession.sparkContext.broadcast((ids, matrix))
 
         def run(batches: Iterable[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -85,17 +84,16 @@ def dense(vectors: DataFrame, queries: DataFrame, top: int = 10) -> DataFrame:
     return best(found, ["query_id"], [F.desc("score"), F.asc("vec_id")], top)
 
 
-def _blocks(queries: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    ids: list[int] = []
-    rows: list[list[float]] = []
+def _blocks(queries: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray, list]]:
+    rows: list = []
+    cut = lambda: (np.array([r[0] for r in rows]), np.array([r[1] for r in rows], float), [r[2] for r in rows])
     for r in queries.toLocalIterator():
-        ids.append(r[0])
-        rows.append(r[1])
-        if len(ids) == BLOCK:
-            yield np.array(ids), np.array(rows, float)
-            ids, rows = [], []
-    if ids:
-        yield np.array(ids), np.array(rows, float)
+        rows.append(r)
+        if len(rows) == BLOCK:
+            yield cut()
+            rows = []
+    if rows:
+        yield cut()
 
 
 def sparse(vectors: DataFrame, queries: DataFrame, top: int = 10) -> DataFrame:
@@ -135,9 +133,70 @@ def first_seen(rows: DataFrame, key: list[str], order: list) -> DataFrame:
     return rows.withColumn("__n", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where("__n = 1").drop("__n")
 
 
-def similar_cached(cache: DataFrame, queries: DataFrame, at_least: float = 0.92) -> DataFrame:
-    """The cached value nearest each query in its namespace: ``cache(namespace, key, embedding)`` and ``queries(query_id, namespace, embedding)``."""
-    dot = F.aggregate(F.zip_with("x", "y", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    pairs = queries.select("query_id", "namespace", F.col("embedding").alias("x")).join(cache.select("namespace", "key", F.col("embedding").alias("y")), "namespace")
-    scored = pairs.select("query_id", "namespace", "key", F.round(dot, 9).alias("similarity")).where(F.col("similarity") >= at_least)
-    return best(scored, ["query_id"], [F.desc("similarity"), F.asc("key")], 1).drop("rank")
+def near(vectors: DataFrame, queries: DataFrame, at_least: float, same: bool) -> DataFrame:
+    """``query_id, vec_id, grp, score``: of each batch of ``vectors(vec_id, grp, embedding)`` the nearest to each of ``queries(query_id, grp, embedding)``, if it scores ``at_least``.
+
+    The nearest of each group of vectors, or with ``same`` of the query's own
+    group. Vectors of the query's own id are left out with ``same``. Queries
+    are taken in blocks of fixed size, as in ``dense``.
+    """
+    found = None
+    for ids, matrix, groups in _blocks(queries.select("query_id", "embedding", F.col("grp").cast("string")).where("embedding is not null").orderBy("query_id")):
+        shared = vectors.sparkSession.sparkContext.broadcast((ids, matrix, np.array(groups, object)))
+
+        def run(batches: Iterable[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            ids, matrix, asked = shared.value
+            for b in batches:
+                own, group = np.asarray(b.column(0)), np.array(b.column(2).to_pylist(), object)
+                score = np.round(matrix @ np.asarray(b.column(1).flatten(), np.float64).reshape(b.num_rows, -1).T, 12)
+                keep = score >= at_least
+                if same:
+                    keep &= (asked[:, None] == group[None, :]) & (ids[:, None] != own[None, :])
+                q, v = np.nonzero(keep)
+                names, code = np.unique(group[v].astype(str), return_inverse=True)
+                order = np.lexsort((own[v], -score[q, v], code, q))
+                q, v, code = q[order], v[order], code[order]
+                first = np.ones(len(q), bool)
+                first[1:] = (q[1:] != q[:-1]) | (code[1:] != code[:-1])
+                q, v = q[first], v[first]
+                yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(own[v]), pa.array(group[v].tolist(), pa.string()), pa.array(score[q, v])], ["query_id", "vec_id", "grp", "score"])
+
+        rows = vectors.select("vec_id", "embedding", F.col("grp").cast("string").alias("grp")).where("embedding is not null")
+        part = rows.mapInArrow(run, "query_id long, vec_id long, grp string, score double")
+        found = part if found is None else found.union(part)
+    if found is None:
+        found = vectors.sparkSession.createDataFrame([], "query_id long, vec_id long, grp string, score double")
+    return best(found, ["query_id"] if same else ["query_id", "grp"], [F.desc("score"), F.asc("vec_id")], 1).drop("rank")
+
+
+def similar_cached(cache: DataFrame, queries: DataFrame, at_least: float = 0.92, now: Column | None = None) -> DataFrame:
+    """``query_id, namespace, key, similarity``: the cached value nearest each query in its namespace, other than the query itself.
+
+    ``cache(namespace, key, embedding)``, with ``expires`` where ``now`` is
+    given: values that have expired are not found; and ``queries(query_id,
+    namespace, embedding)``.
+    """
+    if now is not None:
+        cache = cache.where(F.col("expires").isNull() | (F.col("expires") > now))
+    found = near(cache.select(F.col("key").alias("vec_id"), F.col("namespace").alias("grp"), "embedding"), queries.select("query_id", F.col("namespace").alias("grp"), "embedding"), at_least, True)
+    kind = queries.schema["namespace"].dataType
+    return found.select("query_id", F.col("grp").cast(kind).alias("namespace"), F.col("vec_id").alias("key"), F.round("score", 9).alias("similarity"))
+
+
+def query_list(rewritten: Column, rewrites: Column, answer: Column, several: bool = True) -> Column:
+    """The queries to search with beside the original: rewrites and "original,assumed answer"; distinct in order, without empty ones and the original."""
+    none = F.array().cast("array<string>")
+    joined = F.when(F.coalesce(answer, F.lit("")) != "", F.array(F.concat(rewritten, F.lit(","), answer))).otherwise(none)
+    every = F.concat(F.coalesce(rewrites, none), joined) if several else joined
+    return F.array_distinct(F.filter(every, lambda q: q.isNotNull() & (q != "") & (q != rewritten)))
+
+
+def multi_query(docs: DataFrame, asked: DataFrame, top: int = 5) -> DataFrame:
+    """``query_id, doc_id, path, rank``: each document once for a question, by the first of its queries that finds it.
+
+    ``asked(query_id, queries)`` holds a list of queries; all lists are searched in one join.
+    """
+    paths = asked.select("query_id", F.posexplode("queries").alias("path", "text"))
+    keyed = paths.select(F.struct("query_id", "path").alias("query_id"), "text")
+    hits = bm25(docs, keyed, top).select("query_id.query_id", "doc_id", "query_id.path", "rank")
+    return first_seen(hits, ["query_id", "doc_id"], ["path", "rank"])

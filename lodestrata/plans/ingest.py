@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import chunking, mentions
+from ..sources.store import replace_by_key, revoke, scratch
 from .registry import query, table
 
 
@@ -122,13 +125,12 @@ def harvested_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(r"""WITH lex AS (SELECT DISTINCT term FROM (SELECT unnest(regexp_extract_all(text, '[\p{L}\p{N}]{7,}')) AS term FROM benchmark)),
 f AS (SELECT doc_id, term, instr(text, term) AS at0 FROM documents, lex WHERE contains(text, term)),
-g AS (SELECT doc_id, term, at0 FROM f WHERE list_contains(regexp_extract_all((SELECT text FROM documents d WHERE d.doc_id = f.doc_id), '[\p{L}\p{N}]+'), term)),
-m AS (SELECT * FROM g a WHERE NOT EXISTS (SELECT 1 FROM g b WHERE b.doc_id = a.doc_id AND b.term <> a.term AND contains(b.term, a.term)))
+m AS (SELECT * FROM f a WHERE NOT EXISTS (SELECT 1 FROM f b WHERE b.doc_id = a.doc_id AND b.term <> a.term AND contains(b.term, a.term)))
 SELECT doc_id, list(term ORDER BY at0, term) AS terms FROM m GROUP BY doc_id""")
 def mentioned_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Long words of the questions, found in the documents as whole words."""
+    """Long words of the questions, found anywhere in the documents, within longer words too."""
     lexicon = table(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit(r"([\p{L}\p{N}]{7,})"), F.lit(1))).alias("term")).distinct()
-    return mentions.mentions(table(spark, sf_dir, "documents"), lexicon, whole=True)
+    return mentions.mentions(table(spark, sf_dir, "documents"), lexicon)
 
 
 @query("""SELECT lang, count(*) AS chunks, count(*) FILTER (n_chars > 1000) AS filled, round(count(*) FILTER (n_chars > 1000) / count(*), 4) AS share FROM documents GROUP BY lang""")
@@ -148,3 +150,26 @@ def document_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
   WHEN lower(regexp_extract(url, '\\.([A-Za-z0-9]+)$', 1)) IN ('txt','json','html','htm','docx') THEN 'text' ELSE 'error' END AS route FROM pages""".replace("\\\\", "\\"))
 def file_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", T.route("url").alias("route"))
+
+
+_CHINESE = ((1, "灵隐之后去西湖"), (2, "西湖 西湖 西湖"), (3, ""), (4, "西湖龙井茶"), (5, "明天再说"))
+_LEXICON = ("西湖", "灵隐", "龙井", "西湖龙井")
+
+
+@query(f"""WITH d AS (SELECT * FROM (VALUES {", ".join(f"({i}, '{t}')" for i, t in _CHINESE)}) v(doc_id, text)), x AS (SELECT unnest([{", ".join(f"'{t}'" for t in _LEXICON)}]) AS term),
+f AS (SELECT doc_id, term, instr(text, term) AS at0 FROM d, x WHERE contains(text, term)), m AS (SELECT * FROM f a WHERE NOT EXISTS (SELECT 1 FROM f b WHERE b.doc_id = a.doc_id AND b.term <> a.term AND contains(b.term, a.term)))
+SELECT doc_id, list(term ORDER BY at0, term) AS terms FROM m GROUP BY doc_id""")
+def mention_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Terms within runs of Chinese characters."""
+    return mentions.mentions(spark.createDataFrame(_CHINESE, "doc_id int, text string"), spark.createDataFrame([(t,) for t in _LEXICON], "term string"))
+
+
+@query("""SELECT count(*) AS left_rows, count(DISTINCT event_type) AS kinds, (SELECT count(*) FROM events WHERE event_type = 'click') AS removed FROM (SELECT event_type FROM events WHERE event_type NOT IN ('click', 'view') UNION ALL SELECT 'vi:ew/..' FROM events WHERE event_type = 'view')""")
+def keyed_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events by kind, one kind written twice under a name that file systems dislike, another one revoked."""
+    path = f"{scratch(spark)}/keyed-{uuid.uuid4().hex}"
+    events = table(spark, sf_dir, "events").select("event_id", F.when(F.col("event_type") == "view", "vi:ew/..").otherwise(F.col("event_type")).alias("kind"))
+    replace_by_key(events, path, "kind")
+    replace_by_key(events.where("kind = 'vi:ew/..'"), path, "kind")
+    removed, _ = revoke(spark, path, "kind", "click")
+    return spark.read.parquet(path).agg(F.count("*").alias("left_rows"), F.count_distinct("kind").alias("kinds")).withColumn("removed", F.lit(removed).cast("long"))

@@ -12,19 +12,26 @@ from .registry import query, table
 
 _STOP = ", ".join(f"'{w}'" for w in STOPWORDS)
 _TERMS = f"list_filter(regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}]{{2,}}'), lambda w: w NOT IN ({_STOP}))"
-_BM25 = f"""
-words AS (SELECT doc_id, source, {_TERMS} AS w FROM documents),
+_ASKED = "SELECT item_id AS query_id, text FROM benchmark"
+
+
+def _bm25_sql(asked: str = _ASKED, docs: str = "SELECT doc_id, source, text FROM documents", terms: str = _TERMS) -> str:
+    return f"""
+words AS (SELECT doc_id, source, {terms} AS w FROM ({docs})),
 index AS (SELECT doc_id, term, len(w) AS dl, count(*) AS tf FROM (SELECT doc_id, w, unnest(w) AS term FROM words) GROUP BY ALL),
 stats AS (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM words),
 raw AS (SELECT term, ln(n - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM index, stats GROUP BY term, n),
 idf AS (SELECT term, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM raw) ELSE raw END AS idf FROM raw),
-asked AS (SELECT query_id, term, count(*) AS times FROM (SELECT item_id AS query_id, unnest({_TERMS}) AS term FROM benchmark) GROUP BY ALL),
+asked AS (SELECT query_id, term, count(*) AS times FROM (SELECT query_id, unnest({terms}) AS term FROM ({asked})) GROUP BY ALL),
 scored AS (
   SELECT query_id, doc_id, sum(times * idf * tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * dl / avgdl))) AS score
   FROM index JOIN asked USING (term) JOIN idf USING (term), stats GROUP BY query_id, doc_id HAVING score > 0
 )"""
 
 
+_BM25 = _bm25_sql()
+
+
 def _queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
@@ -73,20 +80,17 @@ def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT query_id, vec_id, el AS label, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id, el ORDER BY round(score, 12) DESC, vec_id) AS rank FROM pairs) WHERE rank = 1 AND score >= 0.65""")
 def entity_confirmation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each query vector, the nearest vector of each label, if near enough."""
-    vectors = table(spark, sf_dir, "embeddings")
-    dot = F.aggregate(F.zip_with("x", "embedding", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    queries = _vector_queries(spark, sf_dir).select("query_id", F.col("embedding").alias("x"))
-    scored = vectors.join(F.broadcast(queries)).select("query_id", "vec_id", "label", dot.alias("score")).where("score >= 0.65")
-    return retrieval.best(scored, ["query_id", "label"], [F.desc(F.round("score", 12)), F.asc("vec_id")], 1).select("query_id", "vec_id", "label", F.round("score", 6).alias("score"))
+    rows = lambda df, key: df.select(key, F.col("label").alias("grp"), "embedding")
+    found = retrieval.near(rows(table(spark, sf_dir, "embeddings"), "vec_id"), rows(_vector_queries(spark, sf_dir), "query_id"), 0.65, False)
+    return found.select("query_id", "vec_id", F.col("grp").cast("int").alias("label"), F.round("score", 6).alias("score"))
 
 
 @query(f"""WITH {_VECTORS}
-SELECT query_id, ql AS namespace, vec_id AS key, round(score, 6) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, vec_id) AS rank FROM pairs WHERE ql = el AND vec_id % 100 <> 0 AND round(score, 9) >= 0.2) WHERE rank = 1""")
+SELECT query_id, ql AS namespace, vec_id AS key, round(score, 6) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, vec_id) AS rank FROM pairs WHERE ql = el AND vec_id <> query_id AND round(score, 12) >= 0.2) WHERE rank = 1""")
 def semantic_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select(F.col("label").alias("namespace"), F.col("vec_id").alias("key"), "embedding")
     asked = _vector_queries(spark, sf_dir).select("query_id", F.col("label").alias("namespace"), "embedding")
-    others = vectors.where("key % 100 <> 0")  # what is asked is not in the cache yet
-    return retrieval.similar_cached(others, asked, 0.2).withColumn("similarity", F.round("similarity", 6))
+    return retrieval.similar_cached(vectors, asked, 0.2).withColumn("similarity", F.round("similarity", 6))
 
 
 _SPARSE = f"""
@@ -173,6 +177,19 @@ def source_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.quota(full.where("rank <= 10"), full)
 
 
+_LIST = "SELECT item_id * 10 + path AS query_id, text FROM (SELECT item_id, unnest([0, 1]) AS path, unnest([substr(text, 1, 60), text || ',' || substr(text, 61, 80)]) AS text FROM benchmark WHERE length(text) > 60)"
+
+
+@query(f"""WITH {_bm25_sql(_LIST)},
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM scored)
+SELECT query_id, doc_id, path, rank FROM (SELECT query_id // 10 AS query_id, doc_id, CAST(query_id % 10 AS INT) AS path, rank, row_number() OVER (PARTITION BY query_id // 10, doc_id ORDER BY query_id % 10, rank) AS n FROM r WHERE rank <= 5) WHERE n = 1""")
+def multi_query_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions searched by the start of their text and by the text with an assumed answer; the repeat of the original goes."""
+    text = F.col("text")
+    queries = retrieval.query_list(text, F.array(F.substring(text, 1, 60), text, F.substring(text, 1, 60), F.lit("")), F.substring(text, 61, 80))
+    return retrieval.multi_query(table(spark, sf_dir, "documents"), _queries(spark, sf_dir).where(F.length("text") > 60).select("query_id", queries.alias("queries")))
+
+
 @query(None)
 def condensed_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Best document of each question, condensed to 400 characters. Sentence ends need look-behind, which the checking SQL lacks."""
@@ -197,3 +214,18 @@ def answer_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 def local_and_web(spark: SparkSession, sf_dir: str) -> DataFrame:
     local = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.lit(0.5).alias("score"), F.col("source").alias("title"))
     return ranking.with_web(local, table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), "url"))
+
+
+#: A few sentences in Chinese, which the given tables lack.
+_CHINESE = ((1, "灵隐之后去西湖，西湖边有断桥"), (2, "西湖龙井茶产自杭州西湖景区"), (3, "兵马俑在西安，离机场很远"), (4, "West Lake 西湖 in Hangzhou"), (5, "鼓浪屿是厦门的小岛"), (6, ""))
+_CHINESE_ASKED = ((1, "西湖有什么"), (2, "西安兵马俑怎么去"), (3, "lake 杭州"))
+_VALUES = lambda rows: ", ".join(f"({i}, '{t}')" for i, t in rows)
+_PAIR_TERMS = f"list_concat({_TERMS}, list_filter(flatten(list_transform(regexp_extract_all(coalesce(text, ''), '[\\x{{4E00}}-\\x{{9FFF}}]{{3,}}'), lambda r: list_transform(range(1, length(r)), lambda i: substr(r, i, 2)))), lambda w: true))"
+
+
+@query(f"""WITH {_bm25_sql(f"SELECT * FROM (VALUES {_VALUES(_CHINESE_ASKED)}) v(query_id, text)", f"SELECT doc_id, '' AS source, text FROM (VALUES {_VALUES(_CHINESE)}) v(doc_id, text)", _PAIR_TERMS)}
+SELECT query_id, doc_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM scored) WHERE rank <= 5""")
+def bm25_chinese(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Search in text without spaces, by pairs of characters beside words."""
+    docs, asked = spark.createDataFrame(_CHINESE, "doc_id int, text string"), spark.createDataFrame(_CHINESE_ASKED, "query_id int, text string")
+    return retrieval.bm25(docs, asked).withColumn("score", F.round("score", 6))

@@ -14,9 +14,11 @@ from pyspark.sql import functions as F
 
 
 def scratch(spark: SparkSession) -> str:
-    """The shared folder of the session: that of its checkpoints, or a temporary one where none is set."""
+    """The shared folder of the session, that of its checkpoints. Where none is set, a temporary one on a local master, and an error on a cluster, whose machines would each write to their own."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         where = tempfile.mkdtemp(prefix="lodestrata-")
         spark.sparkContext.setCheckpointDir(where)
     return where.rstrip("/")
@@ -35,15 +37,25 @@ def replace_by_key(rows: DataFrame, path: str, key: str) -> None:
 
 
 def revoke(spark: SparkSession, path: str, key: str, value: str) -> tuple[int, int]:
-    """Remove a key; (rows removed, rows left)."""
+    """Remove a key; (rows removed, rows left).
+
+    The key's partition is overwritten with no rows, as a partition of a table
+    over the folder, so that Spark itself spells the partition's name.
+    """
     rows = spark.read.parquet(path)
-    removed = rows.where(F.col(key) == value).count()
+    removed = rows.where(F.col(key).cast("string") == value).count()
+    left = rows.count() - removed
     if removed:
-        # an empty partition takes the place of the key's files
-        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-        folder = jvm.org.apache.hadoop.fs.Path(f"{path}/{key}={value}")
-        folder.getFileSystem(conf).delete(folder, True)
-    return removed, spark.read.schema(rows.schema).parquet(path).count()
+        name = f"revoked_{uuid.uuid4().hex}"
+        quoted = lambda x: "`" + x.replace("`", "``") + "`"
+        others = [f for f in rows.schema.fields if f.name != key]
+        columns = ", ".join(f"{quoted(f.name)} {f.dataType.simpleString()}" for f in [*others, rows.schema[key]])
+        nothing = ", ".join(f"CAST(NULL AS {f.dataType.simpleString()})" for f in others)
+        literal = value.replace("\\", "\\\\").replace("'", "\\'")
+        spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet PARTITIONED BY ({quoted(key)}) LOCATION '{path}'")  # an external table: dropping it leaves the files
+        spark.sql(f"INSERT OVERWRITE TABLE {name} PARTITION ({quoted(key)} = '{literal}') SELECT {nothing} WHERE false")
+        spark.sql(f"DROP TABLE {name}")
+    return removed, left
 
 
 def backfilled(rows: DataFrame, column: str, derived) -> DataFrame:

@@ -91,3 +91,17 @@ def test_rate_limit_over_files_whose_times_interleave(spark, tmp_path):
         found = {r["event_id"]: r["accepted"] for r in got}
         assert len(found) == len(got)
         assert found == (want if late else {i: x for i, x in want.items() if not x})
+
+
+def test_revoke_takes_names_that_file_systems_dislike(spark, tmp_path):
+    path = str(tmp_path / "odd")
+    names = ["a:b.md", "x/../y", "it's", "back\\slash", "é 空", "plain", "100%"]
+    rows = spark.createDataFrame([(i, n) for i, n in enumerate(names)] + [(50, "a:b.md")], "id long, file string")
+    store.replace_by_key(rows, path, "file")
+    left = len(names) + 1
+    for n in names[:-1]:
+        gone = 2 if n == "a:b.md" else 1
+        left -= gone
+        assert store.revoke(spark, path, "file", n) == (gone, left)
+        assert sorted(r["file"] for r in spark.read.schema(rows.schema).parquet(path).collect()) == sorted(names[names.index(n) + 1 :])
+    assert store.revoke(spark, path, "file", "../odd") == (0, 1)

@@ -11,14 +11,18 @@ def test_sections(spark):
 
 
 def test_long_sections_are_split_and_short_ones_merged(spark):
-    body = "A" * 1200
-    chunks = spark.createDataFrame([(1, 1, "## F", "## F\n\n" + body), (1, 2, "## G", "## G\nshort")], "doc_id long, part int, title string, content string")
-    split = chunking.split_long(chunks, 1000)
-    rows = split.orderBy("part", "sub").collect()
-    assert [len(r["content"]) <= 1000 for r in rows] == [True] * 3
-    assert "".join(r["content"].removeprefix("## F\n\n") for r in rows[:2]) == body
-    assert rows[0]["title"] == "## F-1" and rows[0]["parent_title"] == "## F"
-    merged = chunking.merge_short(split, 600, 1000).orderBy("part").collect()
+    body = "A" * 700 + "\n" + "B" * 500
+    chunks = [(1, 1, "## F", "## F\n\n" + body), (1, 2, "## G", "## G\nshort"), (2, 1, "## H", "## H\n\n" + "A" * 1200), (3, 1, "t" * 1000, "t" * 1000 + "x"), (4, 1, None, "A" * 700 + " " + "B" * 700), (5, 1, "e", None)]
+    split = chunking.split_long(spark.createDataFrame(chunks, "doc_id long, part int, title string, content string"), 1000)
+    rows = split.orderBy("doc_id", "part", "sub").collect()
+    first = [r for r in rows if r["doc_id"] == 1]
+    assert [len(r["content"]) <= 1000 for r in first] == [True] * 3
+    assert "\n".join(r["content"].removeprefix("## F\n\n") for r in first[:2]) == body
+    assert first[0]["title"] == "## F-1" and first[0]["parent_title"] == "## F"
+    assert [(r["title"], r["content"]) for r in rows if r["doc_id"] in (2, 3)] == [("## H-1", "## H\n\n" + "A" * 1200), ("t" * 1000, "t" * 1000 + "x")]
+    assert [(r["title"], len(r["content"])) for r in rows if r["doc_id"] == 4] == [("chunk-1", 700), ("chunk-2", 700)]
+    assert [r["content"] for r in rows if r["doc_id"] == 5] == [None]
+    merged = chunking.merge_short(split.where("doc_id = 1"), 600, 1000).orderBy("part").collect()
     assert [r["parent_title"] for r in merged] == ["## F", "## F", "## G"]
     close = spark.createDataFrame([(1, 1, 0, "a", "p", "one"), (1, 1, 1, "b", "p", "p two"), (1, 2, 0, "c", "q", "three")], "doc_id long, part int, sub int, title string, parent_title string, content string")
     assert [r["content"] for r in chunking.merge_short(close).orderBy("part").collect()] == ["one\n\ntwo", "three"]
@@ -26,7 +30,9 @@ def test_long_sections_are_split_and_short_ones_merged(spark):
 
 def test_split_text_prefers_earlier_separators():
     assert chunking.split_text("aa bb. cc dd", 7) == ["aa bb", ". cc dd"]
-    assert chunking.split_text("x" * 25, 10) == ["x" * 10, "x" * 10, "x" * 5]
+    assert chunking.split_text("x" * 25, 10) == ["x" * 25]  # a run without a separator stays whole
+    assert chunking.split_text("a" * 1200 + "\n\nbb", 1000) == ["a" * 1200, "bb"]
+    assert chunking.split_text("aa. bb. " + "c" * 9 + ". dd", 7) == ["aa. bb", ".", "c" * 9, ". dd"]
     assert chunking.split_text("  ", 10) == []
 
 
@@ -162,3 +168,71 @@ def test_unresolved_and_picked(spark):
     assert [tuple(r) for r in evaluation.unresolved(rows).collect()] == [(1, True)]
     ids = spark.createDataFrame([(2,), (9,)], "id int")
     assert sorted((r["id"], r["found"]) for r in evaluation.picked(rows, ids).collect()) == [(2, True), (9, False)]
+
+
+def test_cached_values_live_across_midnight_and_batches(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    rng = random.Random(1)
+    calls = [("n", rng.choice("ab"), rng.randrange(80_000, 95_000), i) for i in range(3000)] + [("n", "c", 86_390, 9000), ("n", "c", 86_430, 9001), ("n", "c", 86_451, 9002)]
+    want, stored = {}, {}
+    for name, key, at, ident in sorted(calls, key=lambda c: (c[1], c[2], c[3])):
+        hit = key in stored and at - stored[key] <= 60
+        want[ident] = hit
+        if not hit:
+            stored[key] = at
+    df = spark.createDataFrame(calls, "namespace string, key string, at long, call_id long").withColumn("ts", F.timestamp_seconds("at"))
+    assert {r["call_id"]: r["hit"] for r in operations.cached(df, 60).collect()} == want
+    assert [want[i] for i in (9000, 9001, 9002)] == [False, True, False]
+
+
+def test_similar_cached_values_above_the_threshold(spark):
+    from pyspark.sql import functions as F
+
+    unit = lambda *x: [v / sum(a * a for a in x) ** 0.5 for v in x]
+    cache = spark.createDataFrame([("a", 1, unit(1.0, 0.0), None), ("a", 2, unit(1.0, 0.4), None), ("b", 3, unit(1.0, 0.01), None), ("a", 4, unit(0.0, 1.0), 5), ("a", 100, unit(0.99, 0.1), None)], "namespace string, key long, embedding array<double>, expires int")
+    asked = spark.createDataFrame([(100, "a", unit(1.0, 0.01)), (200, "a", unit(0.0, 1.0)), (300, "b", unit(0.5, 1.0))], "query_id long, namespace string, embedding array<double>")
+    got = {r["query_id"]: r["key"] for r in retrieval.similar_cached(cache, asked, now=F.lit(4)).collect()}
+    assert got == {100: 1, 200: 4}
+    assert {r["query_id"] for r in retrieval.similar_cached(cache, asked, now=F.lit(6)).collect()} == {100}
+
+
+def test_query_lists_are_distinct_and_leave_the_original_out(spark):
+    rows = [("q", ["a", "q", "a", "", None], "h"), ("q", None, ""), ("q", ["q"], None)]
+    df = spark.createDataFrame(rows, "q string, r array<string>, h string")
+    made = lambda several: [r[0] for r in df.select(retrieval.query_list(df.q, df.r, df.h, several)).collect()]
+    assert made(True) == [["a", "q,h"], [], []] and made(False) == [["q,h"], [], []]
+
+
+def test_terms_of_the_lexicon(spark):
+    rows = ["龙井方向", "灵隐周边", "｜鼓浪屿｜", "九寨县", "某古镇", "3号", "abc", "西湖"]
+    df = spark.createDataFrame([(t,) for t in rows], "t string")
+    got = df.select(mentions.normalised("t").alias("n")).withColumn("ok", mentions.valid_term("n")).collect()
+    assert [r["n"] for r in got][:3] == ["龙井", "灵隐", "鼓浪屿"]
+    assert [r["ok"] for r in got] == [True, True, True, False, False, False, False, True]
+
+
+def test_latency_of_ties_negatives_and_zeros(spark):
+    import random
+
+    from lodestrata.operators import evaluation
+
+    rng = random.Random(4)
+    rows = [(g, v) for g, n in (("a", 1), ("b", 2), ("c", 501), (None, 7)) for v in [rng.choice([0.0, -1.5, 2.0, rng.uniform(-5, 900), rng.expovariate(0.01)]) for _ in range(n)]] + [("d", None)]
+    got = {r["g"]: (r["n"], r["p50"], r["p95"], r["most"]) for r in evaluation.latency(spark.createDataFrame(rows, "g string, v double"), "g", "v").collect()}
+    for g in ("a", "b", "c", None):
+        v = sorted(x for k, x in rows if k == g)
+        assert got[g] == (len(v), v[round(0.5 * (len(v) - 1))], v[round(0.95 * (len(v) - 1))], v[-1])
+    assert "d" not in got
+
+
+def test_regression_cases_and_report(spark):
+    from lodestrata.operators import evaluation
+
+    cases = spark.createDataFrame([(1, ["core"]), (2, ["a", "b"]), (3, ["c"]), (4, None)], "id int, tags array<string>")
+    ids = lambda **k: sorted(r["id"] for r in evaluation.regression_cases(cases, **k).collect())
+    assert ids(tags=["b"]) == [2] and ids(tags=[], impact="x", core=True, impacts={"x": ["c"]}) == [1, 3] and ids(tags=[], impact="all") == [1, 2, 3, 4]
+    lines = [r["text"] for r in evaluation.report(spark.createDataFrame([("b", 0.5), ("a", None)], "name string, share double")).orderBy("line").collect()]
+    assert lines == ["# report", "", "| name | share |", "|---|---|", "| a |  |", "| b | 0.5 |"]
