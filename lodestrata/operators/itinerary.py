@@ -11,21 +11,35 @@ from ..functions.text import chinese_number, col
 RELAXED = ("慢节奏", "赶景点", "景点资源较少", "以品尝本地小吃", "以当地美食与街巷", "以寻味探店", "美食与休闲", "街角漫步")
 FOLLOWS = {"proposed": (), "regression_passed": ("proposed",), "rejected": ("proposed",), "approved": ("regression_passed",), "gray_released": ("approved",), "rolled_back": ("approved", "gray_released")}
 
+_DATE = r"20\d{2}-\d{2}-\d{2}"
 _DAY = r"第([一二三四五六七八九十两\d]{1,3})天|[Dd][Aa][Yy]\s*(\d{1,2})"
 
 
 def day_parts(texts: DataFrame) -> DataFrame:
-    """``texts(id, text)`` to ``id, part, label, body``: cut at "day N" titles; one part where there are none."""
+    """``texts(id, text)`` to ``id, part, label, body``: cut at "day N" titles, else at dates, else one part.
+
+    A date with less than 40 characters to the next one is part of a range and cuts nothing.
+    """
     marks = F.split(F.regexp_replace("text", f"(?={_DAY})", "\x01"), "\x01")
-    parts = texts.select("id", F.posexplode(marks).alias("i", "body"))
+    has_title = F.coalesce(F.col("text").rlike(_DAY), F.lit(False))
+    parts = texts.where(has_title).select("id", F.posexplode(marks).alias("i", "body"))
     cn, digits = F.regexp_extract("body", f"^(?:{_DAY})", 1), F.regexp_extract("body", f"^(?:{_DAY})", 2)
-    titled = (cn != "") | (digits != "")
-    w = Window.partitionBy("id")
-    rows = parts.withColumn("titled", titled).withColumn("any", F.max(F.col("titled").cast("int")).over(w)).where(F.col("titled") | (F.col("any") == 0))
+    rows = parts.where((cn != "") | (digits != ""))
     number = F.coalesce(F.when(cn != "", chinese_number(cn)), digits.try_cast("int"))
-    place = F.row_number().over(w.orderBy("i"))
-    label = F.when(F.col("any") == 0, "行程").otherwise(F.concat(F.lit("第"), F.coalesce(number, place).cast("string"), F.lit("天")))
-    return rows.select("id", place.alias("part"), label.alias("label"), "body")
+    place = F.row_number().over(Window.partitionBy("id").orderBy("i"))
+    titled = rows.select("id", place.alias("part"), F.concat(F.lit("第"), F.coalesce(number, place).cast("string"), F.lit("天")).alias("label"), "body")
+
+    dates = F.split(F.regexp_replace("text", f"(?={_DATE})", "\x01"), "\x01")
+    cut = texts.where(~has_title).select("id", F.coalesce("text", F.lit("")).alias("text"), F.posexplode(F.coalesce(dates, F.array(F.lit("")))).alias("i", "body"))
+    w = Window.partitionBy("id").orderBy("i")
+    dated = F.col("body").rlike(f"^{_DATE}")
+    starts = cut.withColumn("starts", dated & ((F.length("body") - 10 >= 40) | F.lead("i").over(w).isNull()))
+    group = F.sum(F.col("starts").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    grouped = starts.withColumn("part", group).withColumn("parts", F.max("part").over(Window.partitionBy("id")))
+    # a date that cuts nothing stays with the part before it; what comes before the first cut goes, if there is one
+    kept = grouped.where((F.col("parts") == 0) | (F.col("part") > 0)).groupBy("id", "part", "parts").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "body"))), lambda x: x["body"]), "").alias("body"))
+    label = F.when(F.col("parts") == 0, "行程").otherwise(F.substring("body", 1, 10))
+    return titled.unionByName(kept.select("id", F.greatest("part", F.lit(1)).cast("int").alias("part"), label.alias("label"), "body"))
 
 
 def keep_codes(text: Column | str, known: Column | str) -> Column:

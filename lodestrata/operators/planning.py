@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.places import haversine
+from ..functions.routing import generic_place, in_box
 
 
 def split_days(pois: DataFrame, key: str, order: list, days: int) -> DataFrame:
@@ -84,3 +85,45 @@ def primary_or_backup(requests: DataFrame, primary: DataFrame, backup: DataFrame
 def itinerary_dates(plans: DataFrame) -> DataFrame:
     """Days of ``plans(plan_id, start, days, items)`` numbered from 0 with their dates, those beyond ``days`` left out."""
     return plans.select("plan_id", "start", "days", F.posexplode("items").alias("day_index", "item")).where(F.col("day_index") < F.col("days")).select("plan_id", "day_index", F.date_add("start", F.col("day_index")).alias("date"), "item")
+
+
+def trip_budget(entries: DataFrame, key: str = "plan_id") -> DataFrame:
+    """Sums of ``entries(key, kind, cost)`` by kind and in all; costs that are no numbers count 0."""
+    cost = F.coalesce(F.col("cost").cast("string").try_cast("double"), F.lit(0.0))
+    part = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, cost)), F.lit(0.0)).alias(kind)
+    kinds = ("attractions", "hotels", "meals", "transport")
+    sums = entries.groupBy(key).agg(*map(part, kinds))
+    return sums.withColumn("total", F.col("attractions") + F.col("hotels") + F.col("meals") + F.col("transport"))
+
+
+def with_distances(pois: DataFrame, distances: DataFrame, keep: bool = False) -> DataFrame:
+    """POIs with the distance row of their location, the last by ``place`` where there are several; without one they go, unless ``keep``."""
+    rows = distances.where("origin is not null and origin <> ''").groupBy("origin").agg(F.max_by(F.struct("distance_m", "duration_s"), "place").alias("d"))
+    joined = pois.join(rows, pois["location"] == rows["origin"], "left" if keep else "inner")
+    return joined.select(*(pois[c] for c in pois.columns), F.col("d.distance_m").alias("distance_m"), F.col("d.duration_s").alias("duration_s"))
+
+
+def located(asked: DataFrame, primary: DataFrame, backup: DataFrame) -> DataFrame:
+    """``id, name, latitude, longitude, loc_source`` of ``asked(id, destination, city, latitude, longitude)``, without those that nothing locates.
+
+    The destination, unless it is generic, then the city: each by ``primary``,
+    else by ``backup`` ``(place, latitude, longitude)``; at last the given
+    coordinates, if they are in the country.
+    """
+    place = F.when(~generic_place("destination") & (F.coalesce("destination", F.lit("")) != ""), F.col("destination"))
+    rows = asked.withColumn("first", place)
+    found = []
+    for side, column in (("p1", "first"), ("b1", "first"), ("p2", "city"), ("b2", "city")):
+        source = (primary if side[0] == "p" else backup).select(F.col("place").alias(f"{side}_place"), F.struct("latitude", "longitude", F.lit("primary" if side[0] == "p" else "backup").alias("source")).alias(side))
+        rows = rows.join(source.dropDuplicates([f"{side}_place"]), rows[column] == F.col(f"{side}_place"), "left")
+        found.append(side)
+    given = F.when(in_box("latitude", "longitude"), F.struct("latitude", "longitude", F.lit("fallback").alias("source")))
+    name = F.coalesce(F.nullif("destination", F.lit("")), "city")
+    out = rows.withColumn("at", F.coalesce(*found, given)).where("at is not null")
+    return out.select("id", name.alias("name"), F.col("at.latitude").alias("latitude"), F.col("at.longitude").alias("longitude"), F.col("at.source").alias("loc_source"))
+
+
+def usable(pois: DataFrame) -> DataFrame:
+    """POIs with a name and a location or an address."""
+    filled = lambda c: F.trim(F.coalesce(F.col(c), F.lit(""))) != ""
+    return pois.where(filled("name") & (filled("location") | filled("address")))

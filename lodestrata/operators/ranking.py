@@ -69,3 +69,15 @@ def source_list(docs: DataFrame, most: int = 5) -> DataFrame:
 def sentence_budget(query_terms: Column, tokens: int = 512, per_char: float = 1.3, least: int = 50) -> Column:
     """Characters of a candidate that fit beside a question in a pair of ``tokens``."""
     return F.greatest(F.lit(least), ((tokens - query_terms - 4) / per_char).cast("int"))
+
+
+def candidates(local: DataFrame, web: DataFrame, plan: Column, policy: str = "both") -> DataFrame:
+    """Local and web candidates ``(query_id, ...)`` of each question: with the policy "kb" no web ones, and none for a plan that has local ones.
+
+    ``plan`` is a condition on ``query_id``.
+    """
+    if policy == "kb":
+        return local
+    has_local = local.select("query_id").distinct()
+    kept = web.where(~plan).unionByName(web.where(plan).join(has_local, "query_id", "left_anti"))
+    return local.unionByName(kept)

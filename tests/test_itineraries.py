@@ -88,3 +88,17 @@ def test_map_points_and_markdown(spark):
     assert [(r["plan_id"], r["day"], [p["name"] for p in r["points"]]) for r in itinerary.map_points(points).collect()] == [(1, 0, ["a"])]
     days = spark.createDataFrame([(1, 0, "2024-01-01", 1, "y"), (1, 0, "2024-01-01", 0, "x"), (1, 1, "2024-01-02", 0, "z")], "plan_id long, day int, date string, place int, item string")
     assert itinerary.plan_markdown(days).first()["markdown"] == "## 第1天 2024-01-01\n\n- x\n- y\n\n## 第2天 2024-01-02\n\n- z"
+
+
+def test_days_are_cut_at_dates_where_there_are_no_titles(spark):
+    from lodestrata.operators import itinerary
+
+    day = lambda d: f"2026-09-{d} " + "go here and there, " * 3
+    rows = [(1, "trip 2026-09-11→2026-09-13\n" + day(11) + day(12) + day(13)), (2, "no date at all"), (3, None), (4, "intro 第一天 a 2026-09-11 第2天 b"), (5, "2026-09-11→2026-09-12")]
+    got = {}
+    for r in itinerary.day_parts(spark.createDataFrame(rows, "id int, text string")).orderBy("id", "part").collect():
+        got.setdefault(r["id"], []).append((r["part"], r["label"], r["body"]))
+    assert got[1] == [(1, "2026-09-11", day(11)), (2, "2026-09-12", day(12)), (3, "2026-09-13", day(13))]
+    assert got[2] == [(1, "行程", "no date at all")] and got[3] == [(1, "行程", "")]
+    assert got[4] == [(1, "第1天", "第一天 a 2026-09-11 "), (2, "第2天", "第2天 b")]
+    assert got[5] == [(1, "2026-09-12", "2026-09-12")]
