@@ -1,18 +1,23 @@
 """Brown class-based n-gram language model.
 
-Tokens are the words of a text and an end token. The commonest words and the
-end are clustered by exchange: each moves to the class where it raises the
-likelihood of class bigrams most, again and again. Other words, the tail, fall
-into classes by shape (first byte and length). A token costs
+Tokens are the words of a text and an end token. Words are clustered by
+exchange: each moves to the class where it raises the likelihood of class
+bigrams most, again and again. The commonest words and the end are exchanged
+one after another, which gives the classes their shape; then all words that
+occur ``least`` times or more, in sweeps: their neighbours' classes are counted
+in Spark, and tasks find each word's best class against the counts of all
+classes, half of the words at a time, until few move. Rarer and unknown words
+fall into classes by shape (first byte and length). A token costs
 
     log10 P(class | class before) + log10 P(token | class)
 
 with the transition interpolated with the frequency of the class and the
-emission smoothed by an added constant, unknown tail words included.
+emission smoothed by an added constant, unknown words included.
 
 The corpus is gathered in Spark: word counts by a grouped sum, class bigrams as
-matrices that tasks add up, and the counts of tail words by a join, so nothing
-but tables of fixed size (``common`` words, ``classes``) reaches the driver.
+matrices that tasks add up, the classes beside each word by a grouped sum, and
+the counts of rare words by a join, so nothing but tables of fixed size (at
+most ``COMMON`` words, ``CLASSES`` and ``SHAPES``) reaches the driver.
 
 Rows: a null or empty text is the end token alone; repeated rows are learned
 from and scored each; without training rows all counts are 0 and every token
@@ -32,8 +37,10 @@ from pyspark.sql import functions as F
 
 from .common import Words, byte_slices, map_arrow, stage, sum_blobs
 
-#: Sizes of the tables that are broadcast, and of the class model.
+#: Sizes of the tables that are broadcast, and of the class model; words that are exchanged one after another, and sweeps over them.
 COMMON, CLUSTERED, CLASSES, SHAPES, SWEEPS = 1 << 18, 1024, 64, 64, 4
+#: Occurrences that a word needs to be exchanged; sweeps over all of them at most, and the share of moves that ends them.
+LEAST, ROUNDS, FEW_MOVES = 4, 3, 0.01
 #: Added to counts: of tokens in the base model, of words in their class; share of the class frequency in a transition.
 BASE_ADD, EMIT_ADD, BACKOFF = 0.1, 0.1, 0.02
 #: Distinct words that a task adds up before it sends them on.
@@ -195,7 +202,130 @@ def cluster(counts: np.ndarray, movable: int, classes: int = CLASSES, sweeps: in
     return own
 
 
-def score(docs: DataFrame, training: Column) -> DataFrame:
+def _classes_of(words: Words, number: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(classes, rows, word numbers or -1) of all tokens, an end closing each row; ``own`` has the class of each common word and of the end."""
+    inside = np.where(number >= 0, own[number], CLASSES + _shape(words))
+    ends = words.first[1:]
+    return np.insert(inside, ends, own[-1]), np.insert(words.doc, ends, np.arange(words.rows)), np.insert(number, ends, -1)
+
+
+def contexts(docs: DataFrame, hashes: np.ndarray, own: np.ndarray, wanted: np.ndarray) -> tuple[DataFrame, np.ndarray]:
+    """(``word, side, class, c``, class bigrams) under the classes ``own``.
+
+    ``side`` 0 counts the classes after each of the ``wanted`` words, 1 those
+    before it, 2 the word after itself. The bigrams of all classes come as rows
+    of word -1 and are summed here.
+    """
+    k = CLASSES + SHAPES
+    shared = docs.sparkSession.sparkContext.broadcast((hashes.tobytes(), own, np.concatenate([wanted, [False]])))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        raw, own, wanted = shared.value
+        table, total, held, size = Table(np.frombuffer(raw, np.uint64)), np.zeros(k * k, np.int64), [], 0
+
+        def flush() -> pa.RecordBatch:
+            key, c = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(key // (3 * k)), pa.array((key // k % 3).astype(np.int32)), pa.array((key % k).astype(np.int32)), pa.array(c)], ["word", "side", "class", "c"])
+
+        for batch in batches:
+            for at, n in byte_slices(batch.column(0)):
+                words = Words(batch.column(0).slice(at, n))
+                cls, _, number = _classes_of(words, table.find(words.hash), own)
+                before, word_before = np.concatenate([[own[-1]], cls[:-1]]), np.concatenate([[-1], number[:-1]])
+                total += np.bincount(before * k + cls, minlength=k * k)
+                left, right = wanted[word_before], wanted[number]
+                self_ = right & (number == word_before)
+                held += [word_before[left] * (3 * k) + cls[left], number[right] * (3 * k) + k + before[right], number[self_] * (3 * k) + 2 * k]
+                size += sum(map(len, held[-3:]))
+                if size >= 4 * HELD:
+                    yield flush()
+                    held, size = [], 0
+        if held:
+            yield flush()
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), -1)), pa.array((at // k).astype(np.int32)), pa.array((at % k).astype(np.int32)), pa.array(total[at])], ["word", "side", "class", "c"])
+
+    rows = map_arrow(docs.select("text"), run, "word long, side int, class int, c long").groupBy("word", "side", "class").agg(F.sum("c").alias("c"))
+    rows = stage(rows, "contexts")
+    joint = np.zeros((k, k))
+    for r in rows.where("word = -1").collect():  # a row per pair of classes
+        joint[r["side"], r["class"]] = r["c"]
+    return rows.where("word >= 0"), joint
+
+
+def best_classes(rows: DataFrame, joint: np.ndarray, own: np.ndarray) -> DataFrame:
+    """``word, best``: the class where each word of ``contexts`` raises the likelihood most, all else as it is."""
+    k = CLASSES + SHAPES
+    shared = rows.sparkSession.sparkContext.broadcast((joint, own))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        joint, own = shared.value
+        for batch in batches:
+            words, best = np.asarray(batch.column(0)), np.empty(batch.num_rows, np.int32)
+            for i in range(batch.num_rows):
+                item = batch.column(1)[i].values
+                side, cls, c = (np.asarray(item.field(j)) for j in range(3))
+                after, before = (np.bincount(cls[side == j], c[side == j], k) for j in (0, 1))
+                best[i] = _best(joint, after, before, float(c[side == 2].sum()), own[words[i]])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(best)], ["word", "best"])
+
+    grouped = rows.groupBy("word").agg(F.collect_list(F.struct("side", "class", "c")).alias("items"))  # a word has at most 2 k + 1
+    return map_arrow(grouped, run, "word long, best int")
+
+
+def _best(joint: np.ndarray, after: np.ndarray, before: np.ndarray, itself: float, own: int) -> int:
+    """The class of most gain for a word with classes ``after`` and ``before`` it, taken out of its ``own`` class or shape."""
+    xlogx = lambda x: np.where(x > 0, x * np.log(np.maximum(x, 1e-300)), 0.0)
+    r, c = after.copy(), before.copy()
+    r[own] -= itself
+    c[own] -= itself
+    j, jc, rows, columns = joint[:CLASSES].copy(), joint[:, :CLASSES].T.copy(), joint.sum(axis=1), joint.sum(axis=0)
+    j[:, own] -= before[:CLASSES]
+    jc[:, own] -= after[:CLASSES]
+    if own < CLASSES:
+        j[own] -= after
+        jc[own] -= before
+        j[own, own] += itself
+        jc[own, own] += itself
+    rows[own] -= after.sum()
+    columns[own] -= before.sum()
+    # only classes that stand beside the word change
+    a, b = np.flatnonzero(r), np.flatnonzero(c)
+    gain = (xlogx(j[:, a] + r[a]) - xlogx(j[:, a])).sum(axis=1) + (xlogx(jc[:, b] + c[b]) - xlogx(jc[:, b])).sum(axis=1)
+    d, rd, cd = np.diagonal(j), r[:CLASSES], c[:CLASSES]
+    gain += xlogx(d + rd + cd + itself) - xlogx(d + rd) - xlogx(d + cd) + xlogx(d)
+    rows, columns, out_n, in_n = rows[:CLASSES], columns[:CLASSES], after.sum(), before.sum()
+    gain -= xlogx(rows + out_n) - xlogx(rows) + xlogx(columns + in_n) - xlogx(columns)
+    return int(np.argmax(gain))
+
+
+def exchange(docs: DataFrame, hashes: np.ndarray, own: np.ndarray, exchanged: int, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
+    """(classes, class bigrams) after sweeps over the ``exchanged`` first words: first over those that are in shapes, then over halves of all, until few move."""
+    number = np.arange(len(hashes))
+    for k in range(rounds):
+        wanted = (number < exchanged) & ((own[:-1] >= CLASSES) if k == 0 else (number & 1 == k & 1))
+        rows, joint = contexts(docs, hashes, own, wanted)
+        moved = best_classes(rows, joint, own).toPandas()  # a number for each of at most COMMON words
+        word, best = moved["word"].to_numpy(np.int64), moved["best"].to_numpy(np.int64)
+        new = own[word] != best
+        own = own.copy()
+        own[word[new]] = best[new]
+        if k > 1 and new.sum() <= FEW_MOVES * max(1, len(word)):
+            break
+    return own, contexts(docs, hashes, own, number < 0)[1]
+
+
+def fit(docs: DataFrame, top, parts: int, least: int = LEAST, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
+    """(class of each word of ``top`` and of the end, class bigrams) of training ``docs(text)``; words that occur less than ``least`` times keep their shape."""
+    hashes = top["word"].to_numpy(np.int64).view(np.uint64)
+    first = cluster(bigrams(docs, hashes[:CLUSTERED], parts), CLUSTERED + 1)
+    n = min(CLUSTERED, len(hashes))
+    own = np.concatenate([CLASSES + top["shape"].to_numpy(np.int64), [first[CLUSTERED]]])
+    own[:n] = first[:n]
+    return exchange(docs, hashes, own, int((top["c"].to_numpy() >= least).sum()), rounds)
+
+
+def score(docs: DataFrame, training: Column, least: int = LEAST, rounds: int = ROUNDS) -> DataFrame:
     """``docs(doc_id, text)`` to ``doc_id, n_tokens, n_known, train_tokens, base_score, score``; learns from the rows where ``training`` holds."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -208,25 +338,16 @@ def score(docs: DataFrame, training: Column) -> DataFrame:
     hashes = top["word"].to_numpy(np.int64).view(np.uint64)
     c_top = top["c"].to_numpy(np.float64)
 
-    pairs = bigrams(train, hashes[:CLUSTERED], parts)
-    n_clustered = min(CLUSTERED, len(hashes))
-    movable = np.arange(CLUSTERED + 1 + SHAPES)
-    own = np.zeros(len(movable), np.int64)
-    own[: CLUSTERED + 1] = cluster(pairs, CLUSTERED + 1)[: CLUSTERED + 1]
-    own[CLUSTERED + 1 :] = CLASSES + np.arange(SHAPES)
+    own, joint = fit(train, top, parts, least, rounds)
     k = CLASSES + SHAPES
-    member = np.zeros((len(movable), k))
-    member[movable, own] = 1
-    joint = member.T @ pairs @ member
     share = (joint.sum(axis=0) + 1) / (joint.sum() + k)
     row = joint.sum(axis=1, keepdims=True)
     follow = np.where(row > 0, (1 - BACKOFF) * joint / np.maximum(row, 1) + BACKOFF * share, share)
-    # words of each class, and their tokens; a shape holds one unknown word more
-    distinct = member[: n_clustered].sum(axis=0) + member[CLUSTERED]
-    tail_types = counts.groupBy("shape").agg(F.count("*").alias("n")).collect()  # SHAPES rows
-    common_shape = np.bincount(top["shape"].to_numpy(np.int64)[:n_clustered], minlength=SHAPES)
-    for r in tail_types:
-        distinct[CLASSES + r["shape"]] += r["n"] - common_shape[r["shape"]]
+    # words of each class; a shape holds words that are not common, and one unknown word more
+    distinct = np.bincount(own, minlength=k).astype(float)
+    in_top = np.bincount(top["shape"].to_numpy(np.int64), minlength=SHAPES)
+    for r in counts.groupBy("shape").agg(F.count("*").alias("n")).collect():  # SHAPES rows
+        distinct[CLASSES + r["shape"]] += r["n"] - in_top[r["shape"]]
     distinct[CLASSES:] += 1
     in_class = joint.sum(axis=0)
     floor = np.log10(np.maximum(in_class + EMIT_ADD * distinct, EMIT_ADD))  # of each class: log10 of what emissions are divided by
@@ -234,16 +355,16 @@ def score(docs: DataFrame, training: Column) -> DataFrame:
     shared = spark.sparkContext.broadcast((hashes.tobytes(), c_top, own, np.log10(follow), floor, n_docs))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw, c_of, classes, transition, below, ends = shared.value
+        raw, c_of, own, transition, below, ends = shared.value
         table, known = Table(np.frombuffer(raw, np.uint64)), len(c_of)
         base_of = np.log10(c_of + BASE_ADD)
         emit_of = np.log10(c_of + EMIT_ADD)
         for batch in batches:
             for at, n in byte_slices(batch.column(1)):
                 words = Words(batch.column(1).slice(at, n))
-                symbol, row_of, number = _symbols(words, table)
-                cls = classes[symbol]
-                before = np.concatenate([[classes[CLUSTERED]], cls[:-1]])
+                number = table.find(words.hash)
+                cls, row_of, _ = _classes_of(words, number, own)
+                before = np.concatenate([[own[-1]], cls[:-1]])
                 cost = transition[before, cls] - below[cls]
                 model = np.bincount(row_of, cost, n) + np.log10(ends + EMIT_ADD)  # the end's own emission
                 have = number >= 0

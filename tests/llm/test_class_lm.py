@@ -3,6 +3,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from helpers import SF
@@ -26,8 +27,8 @@ def test_counts_and_base_score_equal_brute_force(spark):
     assert better > 0.9 * len(docs)
 
 
-def test_probabilities_add_up():
-    """Words in alternation: classes find the pattern, and what follows is likelier than chance."""
+def test_classes_find_an_alternation():
+    """Words in alternation: classes find the pattern."""
     rng = np.random.default_rng(0)
     counts = np.zeros((9, 9))
     text = [w for _ in range(2000) for w in (rng.integers(0, 4), 4 + rng.integers(0, 4))]
@@ -37,6 +38,67 @@ def test_probabilities_add_up():
     assert len(set(own[:4])) == 1 and len(set(own[4:8])) == 1 and own[0] != own[4] and own[8] == 2
 
 
+def plain(docs, held, spark):
+    """(words' classes, log10 P(token | token before) of a pair) from the operator's classes alone, counted anew."""
+    train = [t for i, t in docs.items() if not held(i)]
+    df = spark.createDataFrame([(t,) for t in train], "text string").repartition(3)
+    top = class_lm.common_words(class_lm.word_counts(df), class_lm.COMMON).toPandas().sort_values(["c", "word"], ascending=[False, True])
+    own, _ = class_lm.fit(df, top, 4)
+    texts = [(t or "").encode().lower().split() for t in docs.values()]
+    every = sorted({w for t in texts for w in t})
+    found = class_lm.Words(pa.array([b" ".join(every).decode()]))
+    at = class_lm.Table(top["word"].to_numpy(np.int64).view(np.uint64)).find(found.hash)
+    shape = class_lm.CLASSES + class_lm._shape(found)
+    cls = {w: int(own[a]) if a >= 0 else int(s) for w, a, s in zip(every, at, shape)} | {None: int(own[-1])}
+    runs = [[None, *(t or "").encode().lower().split(), None] for t in train]
+    joint, c = Counter((cls[a], cls[b]) for r in runs for a, b in zip(r, r[1:])), Counter(w for r in runs for w in r[1:])
+    n_in, n_out, total = Counter(), Counter(), sum(joint.values())
+    for (a, b), n in joint.items():
+        n_out[a] += n
+        n_in[b] += n
+    members = Counter(cls[w] for w in c)
+    k = class_lm.CLASSES + class_lm.SHAPES
+
+    def cost(a, b):
+        x, y = cls[a], cls[b]
+        share = (n_in[y] + 1) / (total + k)
+        follow = (1 - class_lm.BACKOFF) * joint[x, y] / n_out[x] + class_lm.BACKOFF * share if n_out[x] else share
+        return math.log10(follow) + math.log10((c[b] + class_lm.EMIT_ADD) / (n_in[y] + class_lm.EMIT_ADD * (members[y] + (y >= class_lm.CLASSES))))
+
+    return cls, cost, c, members
+
+
+def test_score_equals_a_plain_version_and_probabilities_sum_to_one(spark):
+    rng = np.random.default_rng(3)
+    docs = {i: " ".join(f"{'ab'[k % 2]}{rng.zipf(1.5) % 3000}" for k in range(int(rng.integers(0, 60)))) for i in range(300)}
+    held = lambda i: i % 7 == 0
+    cls, cost, c, members = plain(docs, held, spark)
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(4)
+    for r in class_lm.score(df, F.col("doc_id") % 7 != 0).collect():
+        tokens = [None, *docs[r["doc_id"]].encode().lower().split(), None]
+        assert math.isclose(r["score"], sum(cost(a, b) for a, b in zip(tokens, tokens[1:])), rel_tol=1e-9), r
+    # after any word, seen words and one unknown word of each shape have probability one together
+    unknown = [(y, next((w for w in cls if cls[w] == y and not c[w]), None)) for y in range(class_lm.CLASSES, class_lm.CLASSES + class_lm.SHAPES)]
+    for before in (None, *list(c)[:3]):
+        seen = sum(10 ** cost(before, w) for w in c)
+        assert seen < 1 and sum(10 ** cost(before, w) for _, w in unknown if w is not None) <= 1 - seen + 1e-9
+
+
+def test_words_find_the_class_of_their_place(spark):
+    """Words beyond the first exchange are put beside the words that they stand for."""
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"{'xy'[k % 2]}{rng.integers(0, 900)}" for k in range(40)) for _ in range(700)]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    top = class_lm.common_words(class_lm.word_counts(df), class_lm.COMMON).toPandas().sort_values(["c", "word"], ascending=[False, True])
+    own, joint = class_lm.fit(df, top, 4)
+    words = class_lm.Words(pa.array([" ".join([f"{a}{i}" for a in "xy" for i in range(900)])]))
+    number = class_lm.Table(top["word"].to_numpy(np.int64).view(np.uint64)).find(words.hash)
+    assert len(top) > class_lm.CLUSTERED and (number >= 0).all() and (own[:-1] < class_lm.CLASSES).mean() > 0.99
+    x, y = set(own[number[:900]]), set(own[number[900:]])
+    assert sum(np.isin(own[number[:900]], list(x & y))) < 20
+    assert joint.sum() == len(texts) * 41
+
+
 def test_odd_rows(odd_docs, no_docs):
     got = class_lm.score(odd_docs, F.col("doc_id") % 2 == 1).collect()
     assert len(got) == odd_docs.count()
