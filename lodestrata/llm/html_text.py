@@ -9,7 +9,8 @@ body as CB and LCB, the density is
 with counts of zero taken as one. A node's density sum adds the densities of
 its children. The element that can hold blocks and has the largest sum holds the main text; the smallest
 density on its path to the body is the threshold, and subtrees beside the path
-that reach it belong to the text as well. Menus, adverts, notices and the
+that reach it belong to the text as well, as does a headline before it if it
+has none. Menus, adverts, notices and the
 like are cut out by element or role before. Elements that only a class name or
 id speaks against, and forms, are cut out if they are made of links or controls
 or the page has its text elsewhere (``prune``).
@@ -43,6 +44,9 @@ SCOPE = frozenset("article aside blockquote body details div dl fieldset figure
 HOLDERS = frozenset("article blockquote body center dd details div dl figure main ol section table tbody td tr ul".split())
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 NOISE_WORDS = frozenset("ad ads adv advert adverts advertisement adsense banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr masthead menu modal nav navbar navigation newsletter notice pager pagination popup promo promoted promotion related respond share sharing sidebar social sponsor sponsored subscribe toolbar widget".split())
+#: Words that stand beside those in the name of an element that is no text; an id with any other word may be made from a heading.
+PLACE_WORDS = frozenset("area bar bars block bottom box button buttons center col column container content footer form global group header holder inline inner item items left level link links list main menu mobile module outer page panel posts articles stories topics primary reader right row secondary section side signup site slot subnav tab tabs thread top trail unit user view wrap wrapper zone".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CONTROLS = frozenset("button select textarea input".split())
 #: Characters of a form for each of its controls up to which it consists mainly of controls.
 LABEL = 50
@@ -77,7 +81,15 @@ def is_noise(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
 
 
 def is_named_noise(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
-    return tag not in ("html", "body", "article", "main") and any(name in ("class", "id") and value and not NOISE_WORDS.isdisjoint(NAME_PART.findall(value.lower())) for name, value in attrs)
+    """Whether a class has a word for noise, or an id no other words than those and words of place; headings and paragraphs are text whatever their name."""
+    if tag in ("html", "body", "article", "main", "p") or tag in HEADINGS:
+        return False
+    for name, value in attrs:
+        if name in ("class", "id") and value:
+            parts = NAME_PART.findall(value.lower())
+            if not NOISE_WORDS.isdisjoint(parts) and (name == "class" or all(x in NOISE_WORDS or x in PLACE_WORDS for x in parts)):
+                return True
+    return False
 
 
 class Tree(HTMLParser):
@@ -123,7 +135,7 @@ class Tree(HTMLParser):
                 node = node.parent
             if node is not None:
                 node.controls += 1
-        if is_noise(tag, attrs):
+        if is_noise(tag, attrs) and not (tag == "header" and self.is_open("article")):  # an article's own header holds its title
             if tag not in VOID:
                 self.noise.append(tag)
             return
@@ -197,6 +209,16 @@ def measure(root: Node) -> list[Node]:
     return order
 
 
+def has_headline(top: Node) -> bool:
+    todo = [top]
+    while todo:
+        node = todo.pop()
+        if node.tag == "h1":
+            return True
+        todo += [c for c in node.children if type(c) is Node]
+    return False
+
+
 def prune(root: Node) -> None:
     """Cut out the elements named as noise and the forms that do not hold the main text.
 
@@ -243,20 +265,11 @@ def prune(root: Node) -> None:
         most = max([most, *changed.values()])
         return found
 
-    def headline_in(top: Node) -> bool:
-        todo = [top]
-        while todo:
-            node = todo.pop()
-            if node.tag == "h1":
-                return True
-            todo += [c for c in node.children if type(c) is Node]
-        return False
-
     todo, gone = sorted(visit(root), key=words), set()
     while todo:
         node = todo.pop()  # the longest of those at hand
         wanted = node.chars > 2 * node.link_chars and words(node) > 10 * most
-        if wanted and (words(node) > text * (4 if headlines else 1) or not headlines and headline_in(node)):
+        if wanted and (words(node) > text * (4 if headlines else 1) or not headlines and has_headline(node)):
             suspects.discard(node)
             todo = sorted([*todo, *visit(node)], key=words)
         else:
@@ -278,11 +291,14 @@ def chosen(root: Node) -> list[Node]:
         path.add(node)
         threshold = min(threshold, node.density)
         node = node.parent
-    kept, todo = [], [root]
+    kept, todo, before = [], [root], not has_headline(best)
     while todo:
         node = todo.pop()
         if node is best:
             kept.append(node)
+            before = False
+        elif before and node.tag == "h1" and node.chars > 2 * node.link_chars:
+            kept.append(node)  # the title beside the text
         elif node in path:
             todo += [c for c in reversed(node.children) if type(c) is Node]
         elif node.chars and node.density >= threshold and node.link_chars * 2 < node.chars:

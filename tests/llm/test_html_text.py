@@ -40,6 +40,18 @@ def test_wrappers_named_like_noise_keep_the_text(wrapper, inner):
     assert text(f'<{wrapper}><input name=q><div class="share"><a href=x>Tell friends</a></div>{story}<div class="related"><a href=y>Other story</a></div></{wrapper.split()[0]}>') == "Title here\nA first paragraph of some length, and more.\nA second paragraph, which is long as well."
 
 
+@pytest.mark.parametrize("main,want", [
+    ('<article><h1>Title</h1><p>One paragraph of text, long enough.</p><h2 id="related-work">Related work</h2><p>Another paragraph of it here.</p><h2 id="share-prices">Share prices</h2><p>They rose again today.</p></article>',
+     "Title\nOne paragraph of text, long enough.\nRelated work\nAnother paragraph of it here.\nShare prices\nThey rose again today."),
+    ('<article><h1>Title</h1><p>One paragraph of text, long enough.</p><section id="social-policy"><h2>Social policy</h2><p>Another paragraph of it here.</p></section></article>', "Title\nOne paragraph of text, long enough.\nSocial policy\nAnother paragraph of it here."),
+    ('<article><header><h1>Title</h1></header><p>One paragraph of text, long enough.</p><p>Another paragraph of it here.</p></article>', "Title\nOne paragraph of text, long enough.\nAnother paragraph of it here."),
+    ('<h1>Title</h1><div class=text><p>One paragraph of text, long enough.</p><p>Another paragraph of it here.</p><p>And a third one, at the end.</p></div>', "Title\nOne paragraph of text, long enough.\nAnother paragraph of it here.\nAnd a third one, at the end."),
+    ('<article><h1>Title</h1><p>One paragraph of text, long enough.</p><p>Another paragraph of it here.</p></article><div id="sidebar-left"><p>Words beside the text.</p></div><div id="reader-comments"><p>First! Well said.</p></div><div id="site-nav"><a href=/a>All</a></div>', "Title\nOne paragraph of text, long enough.\nAnother paragraph of it here."),
+])
+def test_headings_and_sections_with_names_from_their_text_stay(main, want):
+    assert text(main) == want
+
+
 def test_long_comments_are_still_left_out():
     comments = '<div id="comments">' + "<p>A reader wrote a long comment here.</p>" * 8 + "</div>"
     want = "Title here\nA first paragraph of some length, and more.\nA second paragraph, which is long as well."
