@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import routing as R
-from ..operators import evaluation, mentions, planning, ranking
+from ..operators import chunking, evaluation, mentions, planning, ranking
 from ..sources.store import staged
 from .registry import query, table
 from .serving import _JUDGED, _judged
@@ -183,3 +183,25 @@ SELECT * FROM r UNION ALL SELECT * FROM (VALUES (0, '# verdicts'), (1, ''), (2,
 def metrics_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = evaluation.confusion(_judged(spark, sf_dir), ["lang"]).select("lang", "tp", "fp", F.col("unresolved").alias("open"))
     return evaluation.report(counts, "verdicts")
+
+
+@query("""WITH a AS (SELECT n_nationkey AS attraction_id, n_name AS name, r_name AS city, 10.0 + n_nationkey AS lng FROM nation JOIN region ON r_regionkey = n_regionkey),
+p AS (SELECT s_suppkey AS poi_id, CASE s_suppkey % 3 WHEN 0 THEN n_name || ' ' || s_name WHEN 1 THEN substr(n_name, 1, 4) ELSE s_name END AS name, r_name AS city FROM supplier JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionkey)
+SELECT attraction_id, min(poi_id) AS poi_id FROM a JOIN p ON a.city = p.city AND (contains(a.name, p.name) OR contains(p.name, a.name)) GROUP BY attraction_id""")
+def places_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first POI of an attraction's city whose name contains the other's; none lies near."""
+    nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
+    homes = nation.join(region, F.col("r_regionkey") == F.col("n_regionkey"))
+    a = homes.select(F.col("n_nationkey").alias("attraction_id"), F.col("n_name").alias("name"), F.col("r_name").alias("city"), (F.lit(10.0) + F.col("n_nationkey")).alias("lng"), F.lit(20.0).alias("lat"))
+    k = F.col("s_suppkey")
+    name = F.when(k % 3 == 0, F.concat_ws(" ", "n_name", "s_name")).when(k % 3 == 1, F.substring("n_name", 1, 4)).otherwise(F.col("s_name"))
+    p = table(spark, sf_dir, "supplier").join(homes, F.col("s_nationkey") == F.col("n_nationkey")).select(k.alias("poi_id"), k.alias("poi_rank"), name.alias("name"), F.col("r_name").alias("city"), F.lit(-120.0).alias("lng"), F.lit(-50.0).alias("lat"))
+    return planning.nearest_match(a, p)
+
+
+@query("""WITH h AS (SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations)
+SELECT conv_id AS doc_id, substr(string_agg('[' || role || ']' || chr(10) || text, chr(10) || chr(10) ORDER BY n), 1, 400) AS context FROM h WHERE n <= 5 GROUP BY conv_id""")
+def chunk_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as documents of many chunks: the first five, cut at 400 characters."""
+    chunks = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("part"), F.col("role").alias("title"), F.col("text").alias("content"))
+    return chunking.context(chunks, first=5, most=400)
