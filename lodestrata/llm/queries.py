@@ -70,7 +70,8 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.encode("text", "utf-8").alias("payload"))
-    return progressive_jpeg.digests(progressive_jpeg.encode_column(texts)).withColumnRenamed("id", "doc_id")
+    media = progressive_jpeg.store(texts, f"{shared_dir(spark)}/media-{uuid.uuid4().hex}")
+    return progressive_jpeg.digests(media).withColumnRenamed("id", "doc_id")
 
 
 def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
