@@ -25,6 +25,16 @@ def json_to_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", chunking.json_sections(F.col("props"), title).alias("markdown"))
 
 
+@query("""SELECT user_id, '# user ' || user_id || chr(10) || chr(10) || string_agg('## 记录 ' || n || chr(10) || '- id: ' || event_id || chr(10) || '- type: ' || event_type, chr(10) || chr(10) ORDER BY n) AS markdown
+FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events) GROUP BY user_id""")
+def json_records_to_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events of a user as a list of JSON objects."""
+    record = F.to_json(F.struct(F.col("event_id").alias("id"), F.col("event_type").alias("type")))
+    lists = table(spark, sf_dir, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", record.alias("r")))).alias("rows"))
+    text = F.concat(F.lit("["), F.array_join(F.transform("rows", lambda x: x["r"]), ","), F.lit("]"))
+    return lists.select("user_id", chunking.json_sections(text, F.concat(F.lit("user "), F.col("user_id").cast("string"))).alias("markdown"))
+
+
 @query("""SELECT doc_id, '# ' || source || chr(10) || chr(10) || text AS markdown FROM documents""")
 def text_to_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", chunking.plain_markdown(F.col("source"), F.col("text")).alias("markdown"))

@@ -43,7 +43,7 @@ def test_table_chunks(spark):
 
 def test_json_sections(spark):
     df = spark.createDataFrame([('{"b": 1, "a": "x"}',), ("not json",)], "t string")
-    assert [r[0] for r in df.select(chunking.json_sections(F.col("t"), F.lit("T"))).collect()] == ["# T\n\n## a\n\nx\n\n## b\n\n1", ""]
+    assert [r[0] for r in df.select(chunking.json_sections(F.col("t"), F.lit("T"))).collect()] == ["# T\n\n## b\n\n1\n\n## a\n\nx", ""]
 
 
 def test_fusion_keeps_first_seen_on_ties(spark):
@@ -236,3 +236,14 @@ def test_regression_cases_and_report(spark):
     assert ids(tags=["b"]) == [2] and ids(tags=[], impact="x", core=True, impacts={"x": ["c"]}) == [1, 3] and ids(tags=[], impact="all") == [1, 2, 3, 4]
     lines = [r["text"] for r in evaluation.report(spark.createDataFrame([("b", 0.5), ("a", None)], "name string, share double")).orderBy("line").collect()]
     assert lines == ["# report", "", "| name | share |", "|---|---|", "| a |  |", "| b | 0.5 |"]
+
+
+def test_json_of_every_kind(spark):
+    from pyspark.sql import functions as F
+
+    rows = ['[{"景点名称": "兵马俑", "票价": 120}, "free", 7, {"b": {"c": [1]}, "a": null}]', '{"主题": "x", "a": [1, 2]}', "12", '"word"', "no json", "", None, "[]"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "i int, t string")
+    got = [r["m"] for r in df.withColumn("m", chunking.json_sections(F.col("t"), F.lit("T"))).orderBy("i").collect()]
+    assert got[0] == '# T\n\n## 记录 1\n- 景点名称: 兵马俑\n- 票价: 120\n\n## 记录 2\nfree\n\n## 记录 3\n7\n\n## 记录 4\n- b: {"c":[1]}\n- a: '
+    assert got[1] == "# T\n\n## 主题\n\nx\n\n## a\n\n[1,2]"
+    assert got[2:] == ["# T\n\n12", "# T\n\nword", "", "", "", "# T\n\n"]
