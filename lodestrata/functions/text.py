@@ -90,6 +90,25 @@ def masked(text: Column | str, words: tuple[str, ...] = ()) -> tuple[Column, dic
     return out, hits
 
 
+def masked_parts(parts: Column | str, words: tuple[str, ...] = ()) -> Column:
+    """The parts ``(type, text)`` of a message with the text ones masked; pictures and others as they are."""
+    return F.transform(col(parts), lambda p: F.when((p["type"] == "text") & p["text"].isNotNull(), p.withField("text", masked(p["text"], words)[0])).otherwise(p))
+
+
+def clause(text: Column | str) -> Column:
+    """What comes before the first mark that ends a clause."""
+    return F.trim(F.regexp_extract(col(text), r"^([^，。；、,.;!！?？\n]*)", 1))
+
+
+def image_contexts(text: Column | str, around: int = 100) -> Column:
+    """Markdown images as ``(target, before, after)``, with up to ``around`` characters on either side."""
+    image = r"!\[[^\]]*\]\(([^)\s]+)[^)]*\)"
+    found = F.regexp_extract_all(col(text), F.lit(rf"(?s)({image})"), F.lit(1))
+    pieces = F.split(col(text), image, -1)
+    one = lambda m, i: F.struct(F.regexp_extract(m, image, 1).alias("target"), F.right(F.get(pieces, i), F.lit(around)).alias("before"), F.left(F.get(pieces, i + 1), F.lit(around)).alias("after"))
+    return F.transform(found, one)
+
+
 def image_references(text: Column | str) -> Column:
     """Targets of Markdown images, distinct, in order."""
     return F.array_distinct(F.regexp_extract_all(col(text), F.lit(r"!\[[^\]]*\]\(([^)\s]+)[^)]*\)"), F.lit(1)))

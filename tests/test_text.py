@@ -97,3 +97,17 @@ def test_more_text_rules(spark):
     assert value(spark, text.headings("t"), t="# 西湖、灵隐\nx\n## 西湖") == ["西湖", "灵隐"]
     ways = {"rail": "高铁|火车", "fly": "飞机"}
     assert [value(spark, text.preference("t", ways, "想坐|乘坐"), t=t) for t in ("我想坐飞机去", "飞机好吗，想坐高铁", "高铁", None)] == ["fly", "rail", None, None]
+
+
+def test_parts_of_messages_are_masked_and_pictures_left(spark):
+    rows = [([("text", "mail a@b.cn now"), ("image_url", "a@b.cn"), ("text", None)],), ([],), (None,)]
+    df = spark.createDataFrame(rows, "parts array<struct<type:string,text:string>>")
+    got = [r["m"] and [tuple(p) for p in r["m"]] for r in df.select(text.masked_parts("parts").alias("m")).collect()]
+    assert got == [[("text", "mail 〔邮箱〕 now"), ("image_url", "a@b.cn"), ("text", None)], [], None]
+
+
+def test_clauses_and_pictures_with_their_surroundings(spark):
+    df = spark.createDataFrame([(" West Lake, then on", "abc ![x](p.png) def ![](q.jpg \"t\")"), ("one", "none"), (None, None)], "c string, t string")
+    got = df.select(text.clause("c").alias("c"), text.image_contexts("t", 3).alias("i")).collect()
+    assert [r["c"] for r in got] == ["West Lake", "one", None]
+    assert [r["i"] and [tuple(x) for x in r["i"]] for r in got] == [[("p.png", "bc ", " de"), ("q.jpg", "ef ", "")], [], None]
