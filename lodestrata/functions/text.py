@@ -218,3 +218,10 @@ def preference(question: Column | str, ways: dict[str, str], hints: str, near: i
     for name, pattern in reversed(ways.items()):
         rule = F.when(after.rlike(pattern), name).otherwise(rule)
     return rule
+
+
+def repeated(terms: Column, text: Column | str, least: int = 2) -> Column:
+    """The terms that occur ``least`` times or more in a text, in their order; empty ones go."""
+    t = col(text)
+    times = lambda w: (F.length(t) - F.length(F.replace(t, w, F.lit("")))) / F.length(w)
+    return F.filter(terms, lambda w: (w != "") & (times(w) >= least))

@@ -25,7 +25,13 @@ def sessions(messages: DataFrame) -> DataFrame:
 
 
 def history_text(messages: DataFrame, most: int = 160) -> DataFrame:
-    """``conv_id, history``: one ``role: text`` line a message, long texts shortened and marked."""
+    """``conv_id, history``: one ``role: text`` line a message, long texts shortened and marked.
+
+    A user's message is told by its ``rewritten_query``, where the table has one.
+    """
+    if "rewritten_query" in messages.columns:
+        told = F.when(F.col("role") == "user", F.coalesce(F.nullif("rewritten_query", F.lit("")), F.col("text"))).otherwise(F.col("text"))
+        messages = messages.withColumn("text", told)
     short = F.when(F.length("text") > most, F.concat(F.substring("text", 1, most), F.lit(SHORTENED))).otherwise(F.col("text"))
     ordered = F.array_sort(F.collect_list(F.struct("turn", F.concat("role", F.lit(": "), short).alias("line"))))
     return messages.groupBy("conv_id").agg(F.array_join(F.transform(ordered, lambda x: x["line"]), "\n").alias("history"))

@@ -127,3 +127,12 @@ def usable(pois: DataFrame) -> DataFrame:
     """POIs with a name and a location or an address."""
     filled = lambda c: F.trim(F.coalesce(F.col(c), F.lit(""))) != ""
     return pois.where(filled("name") & (filled("location") | filled("address")))
+
+
+def capped_union(hits: DataFrame, fallback: DataFrame, key: str, order: list[str], least: int = 5, most: int = 12) -> DataFrame:
+    """The first ``most`` hits of each key; keys with fewer than ``least`` get those of ``fallback`` behind them. The cap is the feature."""
+    few = hits.groupBy(key).agg(F.count("*").alias("__n"))
+    rest = fallback.join(few.where(F.col("__n") >= least), key, "left_anti")
+    both = hits.withColumn("__side", F.lit(0)).unionByName(rest.withColumn("__side", F.lit(1)))
+    place = F.row_number().over(Window.partitionBy(key).orderBy("__side", *order))
+    return both.withColumn("__n", place).where(F.col("__n") <= most).drop("__n", "__side")

@@ -183,3 +183,18 @@ def keyed_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
     replace_by_key(events.where("kind = 'vi:ew/..'"), path, "kind")
     removed, _ = revoke(spark, path, "kind", "click")
     return spark.read.parquet(path).agg(F.count("*").alias("left_rows"), F.count_distinct("kind").alias("kinds")).withColumn("removed", F.lit(removed).cast("long"))
+
+
+@query("""SELECT n_nationkey, substr(sha256(substr(repeat(n_name, 40000), 1, 131072) || right(repeat(n_name, 40000), 131072)), 1, 8) AS fingerprint FROM nation WHERE length(n_name) * 40000 > 262144
+UNION ALL SELECT n_nationkey, substr(sha256(repeat(n_name, 40000)), 1, 8) FROM nation WHERE length(n_name) * 40000 <= 262144""")
+def long_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts around the size from which only both ends count."""
+    return table(spark, sf_dir, "nation").select("n_nationkey", T.fingerprint(F.repeat("n_name", F.lit(40_000))).alias("fingerprint"))
+
+
+@query(r"""WITH w AS (SELECT doc_id, text, list_distinct(regexp_extract_all(substr(text, 1, 200), '[a-z]{5,}')) AS ts FROM documents)
+SELECT doc_id, array_to_string(list_filter(ts, lambda t: (length(text) - length(replace(text, t, ''))) / length(t) >= 2), ',') AS terms FROM (SELECT doc_id, text, list_sort(ts) AS ts FROM w)""")
+def repeated_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of a text's head that come again in it."""
+    head = F.array_sort(F.array_distinct(F.regexp_extract_all(F.substring("text", 1, 200), F.lit("([a-z]{5,})"), F.lit(1))))
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(T.repeated(head, "text"), ",").alias("terms"))

@@ -131,3 +131,13 @@ def keyword_union_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     path = F.when(F.col("o_orderstatus") == "F", 0).when(F.col("o_orderstatus") == "O", 1).otherwise(2)
     return best(table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", path.alias("path")), ["o_custkey"], ["path", "o_orderkey"], 12).drop("rank")
+
+
+@query("""WITH h AS (SELECT o_custkey, o_orderkey FROM orders WHERE o_orderstatus = 'F'), n AS (SELECT o_custkey, count(*) AS c FROM h GROUP BY o_custkey),
+u AS (SELECT *, 0 AS side FROM h UNION ALL SELECT o_custkey, o_orderkey, 1 FROM orders LEFT JOIN n USING (o_custkey) WHERE o_orderstatus <> 'F' AND coalesce(c, 0) < 5)
+SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY side, o_orderkey) AS n FROM u) WHERE n <= 12""")
+def places_with_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keyword hits of a city, and generic ones where there are fewer than five."""
+    rows = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderstatus")
+    hits, others = rows.where("o_orderstatus = 'F'").drop("o_orderstatus"), rows.where("o_orderstatus <> 'F'").drop("o_orderstatus")
+    return planning.capped_union(hits, others, "o_custkey", ["o_orderkey"])
