@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import wraps
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
@@ -28,6 +29,7 @@ from pyspark.sql import functions as F
 
 from lodestrata.llm import decontamination, jaccard_join, line_dedup, packing, toxicity
 from lodestrata.llm.common import shared_dir, table
+from lodestrata.session import tune
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,12 +60,25 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=0)
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("toxicity", drop_toxic),
-    ("line_dedup", drop_repeated_lines),
-    ("near_duplicates", drop_near_duplicates),
-    ("decontamination", drop_contaminated),
-    ("packing", pack_sequences),
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def _tuned(stage: Stage) -> Stage:
+    """``stage`` in a session tuned as the registered queries tune it: texts are long, so Arrow batches are bounded by bytes."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        return stage(tune(spark), docs, sf_dir)
+
+    return run
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", _tuned(drop_toxic)),
+    ("line_dedup", _tuned(drop_repeated_lines)),
+    ("near_duplicates", _tuned(drop_near_duplicates)),
+    ("decontamination", _tuned(drop_contaminated)),
+    ("packing", _tuned(pack_sequences)),
 ]
 
 #: SQL cannot express the stages; tests hold them against plain versions.
