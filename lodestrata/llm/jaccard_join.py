@@ -311,7 +311,7 @@ def _overlaps(pairs: DataFrame, segments: DataFrame) -> DataFrame:
     return both.select("a", "b", "na", "nb", "limit", "fragment", F.coalesce("sa", none).alias("sa"), F.coalesce("sb", none).alias("sb"))
 
 
-def links(docs: DataFrame, size: int = 5, percent: int = 80, rounds: int = 4) -> tuple[DataFrame, DataFrame]:
+def links(docs: DataFrame, size: int = 5, percent: int = 80, rounds: int = 3) -> tuple[DataFrame, DataFrame]:
     """(classes, edges) of ``docs(doc_id, text)``.
 
     ``classes(doc_id, n, set_id, first_id)`` has every row, with the id of its
@@ -472,15 +472,15 @@ def _grouped(classes: DataFrame, labels: DataFrame) -> DataFrame:
     return classes.where("set_id is not null").join(found, "set_id", "left").withColumn("group", F.coalesce("joined", "set_id")).drop("joined")
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, rounds: int = 4) -> DataFrame:
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, rounds: int = 3) -> DataFrame:
     """``docs(doc_id, text)`` to ``doc_id, n_shingles, component_id``: the smallest id that links reach."""
     classes, _, labels = _join(docs, size, percent, rounds)
-    least = _grouped(classes, labels).groupBy("group").agg(F.min("first_id").alias("component_id"))
-    linked = labels.join(stage(least, "least"), labels["component"] == least["group"]).select(F.col("id").alias("set_id"), "component_id")
+    least = stage(_grouped(classes, labels).groupBy("group").agg(F.min("first_id").alias("component_id")), "least")
+    linked = labels.join(least, labels["component"] == least["group"]).select(F.col("id").alias("set_id"), "component_id")
     return classes.join(linked, "set_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "first_id").alias("component_id"))
 
 
-def keep_first(docs: DataFrame, size: int = 5, percent: int = 80, rounds: int = 4) -> DataFrame:
+def keep_first(docs: DataFrame, size: int = 5, percent: int = 80, rounds: int = 3) -> DataFrame:
     """The rows of ``docs``, all columns as they are, without those that links join with a row of smaller id.
 
     Of rows with one id, the text of least hash comes first, and of rows equal
