@@ -9,7 +9,9 @@ go to the library as they are. Words are told apart by 64-bit hashes.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +31,54 @@ def _room(x: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+#: Words that need no normalisation but lower case: printable ASCII without apostrophes and bars, and composed Latin letters.
+_SIMPLE = re.compile("[!-&(-{}~À-ÖØ-öø-ÿ]+").fullmatch
+#: Kinds of bytes of such words, spaces between them included: digits stand alone, letters and other characters make runs.
+_SPACE_KIND, _DIGIT, _LETTER, _OTHER = range(4)
+_KIND = np.full(256, _OTHER, np.uint8)
+_KIND[0x20], _KIND[ord("0") : ord("9") + 1], _KIND[ord("a") : ord("z") + 1], _KIND[0x80:] = _SPACE_KIND, _DIGIT, _LETTER, _LETTER
+#: The characters that stand for bytes: those that print as themselves, the others in order from 256 on; spaces stay.
+_CHARACTER = np.arange(256, dtype="<u4")
+_UNPRINTED = [b for b in range(256) if not (0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or 0xAE <= b)]
+_CHARACTER[_UNPRINTED] = 256 + np.arange(len(_UNPRINTED))
+_CHARACTER[0x20] = 0x20
+
+
+class _Pieces:
+    """The library's merges alone, for words already cut into pieces: what it normalises and cuts itself costs more than merging does."""
+
+    def __init__(self, config: dict):
+        from tokenizers import Tokenizer
+
+        suffix = config["model"]["end_of_word_suffix"]
+        self.library = Tokenizer.from_str(json.dumps(config | {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "post_processor": None, "added_tokens": []}))
+        vocabulary = config["model"]["vocab"]
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
+
+    @classmethod
+    def of(cls, path: str) -> _Pieces | None:
+        """For files that lower-case, cut runs of letters, single digits and runs of others, and mark word ends; None for others."""
+        with open(path, encoding="utf-8") as f:
+            config = json.load(f)
+        kinds = lambda part, many: [x["type"] for x in (config.get(part) or {}).get(many, [])]
+        cut = next((x["pattern"].get("Regex", "") for x in (config.get("pre_tokenizer") or {}).get("pretokenizers", []) if x["type"] == "Split"), "")
+        known = kinds("normalizer", "normalizers") == ["NFC", "Replace", "Lowercase"] and kinds("pre_tokenizer", "pretokenizers") == ["Split", "ByteLevel"]
+        known = known and cut == r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+" and config["model"].get("end_of_word_suffix")
+        return cls(config) if known else None
+
+    def encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words in a row, and how many each has."""
+        data = np.frombuffer(" ".join(words).lower().encode(), np.uint8)
+        kind = _KIND[data]
+        cut = np.flatnonzero((kind[1:] != _SPACE_KIND) & (kind[:-1] != _SPACE_KIND) & ((kind[1:] != kind[:-1]) | (kind[1:] == _DIGIT))) + 1
+        pieces = np.diff(np.concatenate([[0], np.searchsorted(cut, np.flatnonzero(kind == _SPACE_KIND)), [len(cut)]])) + 1
+        plain = np.insert(_CHARACTER[data], cut, 0x20).tobytes().decode("utf-32-le")
+        ids = np.array(self.library.encode_batch_fast([plain], add_special_tokens=False)[0].ids, np.uint32)
+        ends = np.flatnonzero(self.ends[ids]) + 1
+        return ids, np.diff(np.concatenate([[0], ends[np.cumsum(pieces) - 1]]))
+
+
 class Encoder:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -38,6 +88,7 @@ class Encoder:
         special = self.library.get_added_tokens_decoder()
         self.special = [t.content for t in special.values()]
         self.mark, self.mark_id = next(((t.content, i) for i, t in special.items() if t.special), ("", -1))
+        self.pieces = _Pieces.of(path)
         self.words, self.ids = 0, 0
         self.hash, self.start, self.length, self.met = (np.zeros(1 << 16, t) for t in (np.uint64, np.int64, np.int32, np.int32))
         self.flat = np.zeros(1 << 18, np.uint32)
@@ -85,9 +136,17 @@ class Encoder:
         self.rehash(len(self.slots))
 
     def learn(self, words: list[str], hashes: np.ndarray) -> None:
-        """Encode new words, many in one call with a special token between them."""
-        ids, lengths = [], []
-        for i in range(0, len(words), 4096):
+        """Encode new words: simple ones as pieces, others by the library, many in one call with a special token between them."""
+        ids, lengths = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        simple = np.array([_SIMPLE(w) is not None for w in words], bool) if self.pieces else np.zeros(len(words), bool)
+        order = np.concatenate([np.flatnonzero(simple), np.flatnonzero(~simple)])
+        hashes, words = hashes[order], [words[i] for i in order.tolist()]
+        n = int(simple.sum())
+        for i in range(0, n, 4096):
+            found, length = self.pieces.encode(words[i : min(i + 4096, n)])
+            ids.append(found)
+            lengths.append(length)
+        for i in range(n, len(words), 4096):
             part = words[i : i + 4096]
             if self.mark:
                 found = np.array(self.library.encode_batch_fast([self.mark.join(part)], add_special_tokens=False)[0].ids, np.uint32)
