@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, byte_slices, map_arrow, stage, sum_blobs
+from .common import Words, byte_slices, list_column, map_arrow, stage, sum_blobs
 
 #: Sizes of the tables that are broadcast, and of the class model; words that are exchanged one after another, and sweeps over them.
 COMMON, CLUSTERED, CLASSES, SHAPES, SWEEPS = 1 << 18, 1024, 64, 64, 4
@@ -99,18 +99,35 @@ def common_words(counts: DataFrame, most: int) -> DataFrame:
 
 
 class Table:
-    """Numbers of the common words: a sorted array of hashes, for look-ups of whole columns."""
+    """Numbers of the common words: an open-addressed table of their hashes, for look-ups of whole columns."""
 
     def __init__(self, hashes: np.ndarray):
-        self.order = np.argsort(hashes)
-        self.sorted = hashes[self.order]
+        size = 1 << max(10, (4 * len(hashes)).bit_length())
+        self.keys, self.slots = np.zeros(size, np.uint64), np.full(size, -1, np.int32)
+        numbers, at = np.arange(len(hashes)), self.place(hashes)
+        while len(numbers):
+            free = self.slots[at] < 0
+            self.slots[at[free]] = numbers[free]
+            won = self.slots[at] == numbers  # of several for one place, one has it
+            self.keys[at[won]] = hashes[numbers[won]]
+            numbers, at = numbers[~won], (at[~won] + 1) & (size - 1)
+
+    def place(self, h: np.ndarray) -> np.ndarray:
+        return (h >> np.uint64(24)).astype(np.int64) & (len(self.slots) - 1)
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """The number of each word, or -1."""
-        if not len(self.sorted):
-            return np.full(len(h), -1)
-        at = np.minimum(np.searchsorted(self.sorted, h), len(self.sorted) - 1)
-        return np.where(self.sorted[at] == h, self.order[at], -1)
+        at = self.place(h)
+        out = self.slots[at]
+        other = np.flatnonzero((out >= 0) & (self.keys[at] != h))
+        at = at[other]
+        while len(other):
+            at = (at + 1) & (len(self.slots) - 1)
+            found = self.slots[at]
+            out[other] = found
+            on = (found >= 0) & (self.keys[at] != h[other])
+            other, at = other[on], at[on]
+        return out.astype(np.int64)
 
 
 def _symbols(words: Words, table: Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -209,35 +226,56 @@ def _classes_of(words: Words, number: np.ndarray, own: np.ndarray) -> tuple[np.n
     return np.insert(inside, ends, own[-1]), np.insert(words.doc, ends, np.arange(words.rows)), np.insert(number, ends, -1)
 
 
-def contexts(docs: DataFrame, hashes: np.ndarray, own: np.ndarray, wanted: np.ndarray) -> tuple[DataFrame, np.ndarray]:
-    """(``word, side, class, c``, class bigrams) under the classes ``own``.
+def numbered(docs: DataFrame, hashes: np.ndarray) -> DataFrame:
+    """``tokens`` of each text of ``docs``: numbers of common words, then of shapes, then of the end, which closes each list."""
+    shared = docs.sparkSession.sparkContext.broadcast(hashes.tobytes())
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = np.frombuffer(shared.value, np.uint64)
+        table = Table(known)
+        for batch in batches:
+            for at, n in byte_slices(batch.column(0)):
+                words = Words(batch.column(0).slice(at, n))
+                number = table.find(words.hash)
+                inside = np.where(number >= 0, number, len(known) + _shape(words))
+                tokens = np.insert(inside, words.first[1:], len(known) + SHAPES).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([list_column(tokens, np.diff(words.first) + 1)], ["tokens"])
+
+    return map_arrow(docs.select("text"), run, "tokens array<int>")
+
+
+def contexts(tokens: DataFrame, own: np.ndarray, wanted: np.ndarray) -> tuple[DataFrame, np.ndarray]:
+    """(``word, side, class, c``, class bigrams) of ``numbered`` tokens under the classes ``own``.
 
     ``side`` 0 counts the classes after each of the ``wanted`` words, 1 those
     before it, 2 the word after itself. The bigrams of all classes come as rows
     of word -1 and are summed here.
     """
     k = CLASSES + SHAPES
-    shared = docs.sparkSession.sparkContext.broadcast((hashes.tobytes(), own, np.concatenate([wanted, [False]])))
+    every = np.concatenate([own[:-1], CLASSES + np.arange(SHAPES), own[-1:]])
+    shared = tokens.sparkSession.sparkContext.broadcast((every, np.concatenate([wanted, np.zeros(SHAPES + 1, bool)])))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw, own, wanted = shared.value
-        table, total, held, size = Table(np.frombuffer(raw, np.uint64)), np.zeros(k * k, np.int64), [], 0
+        own, wanted = shared.value
+        end, total, held, size = len(own) - 1, np.zeros(k * k, np.int64), [], 0
 
         def flush() -> pa.RecordBatch:
             key, c = np.unique(np.concatenate(held), return_counts=True)
             return pa.RecordBatch.from_arrays([pa.array(key // (3 * k)), pa.array((key // k % 3).astype(np.int32)), pa.array((key % k).astype(np.int32)), pa.array(c)], ["word", "side", "class", "c"])
 
         for batch in batches:
-            for at, n in byte_slices(batch.column(0)):
-                words = Words(batch.column(0).slice(at, n))
-                cls, _, number = _classes_of(words, table.find(words.hash), own)
-                before, word_before = np.concatenate([[own[-1]], cls[:-1]]), np.concatenate([[-1], number[:-1]])
+            flat, last = np.asarray(batch.column(0).flatten()).astype(np.int64), end
+            for at in range(0, len(flat), HELD):
+                number = flat[at : at + HELD]
+                word_before = np.concatenate([[last], number[:-1]])
+                last = number[-1]
+                cls, before = own[number], own[word_before]
                 total += np.bincount(before * k + cls, minlength=k * k)
                 left, right = wanted[word_before], wanted[number]
                 self_ = right & (number == word_before)
                 held += [word_before[left] * (3 * k) + cls[left], number[right] * (3 * k) + k + before[right], number[self_] * (3 * k) + 2 * k]
                 size += sum(map(len, held[-3:]))
-                if size >= 4 * HELD:
+                if size >= 8 * HELD:
                     yield flush()
                     held, size = [], 0
         if held:
@@ -245,7 +283,7 @@ def contexts(docs: DataFrame, hashes: np.ndarray, own: np.ndarray, wanted: np.nd
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), -1)), pa.array((at // k).astype(np.int32)), pa.array((at % k).astype(np.int32)), pa.array(total[at])], ["word", "side", "class", "c"])
 
-    rows = map_arrow(docs.select("text"), run, "word long, side int, class int, c long").groupBy("word", "side", "class").agg(F.sum("c").alias("c"))
+    rows = map_arrow(tokens, run, "word long, side int, class int, c long").groupBy("word", "side", "class").agg(F.sum("c").alias("c"))
     rows = stage(rows, "contexts")
     joint = np.zeros((k, k))
     for r in rows.where("word = -1").collect():  # a row per pair of classes
@@ -299,12 +337,12 @@ def _best(joint: np.ndarray, after: np.ndarray, before: np.ndarray, itself: floa
     return int(np.argmax(gain))
 
 
-def exchange(docs: DataFrame, hashes: np.ndarray, own: np.ndarray, exchanged: int, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
+def exchange(tokens: DataFrame, own: np.ndarray, exchanged: int, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
     """(classes, class bigrams) after sweeps over the ``exchanged`` first words: first over those that are in shapes, then over halves of all, until few move."""
-    number = np.arange(len(hashes))
+    number = np.arange(len(own) - 1)
     for k in range(rounds):
         wanted = (number < exchanged) & ((own[:-1] >= CLASSES) if k == 0 else (number & 1 == k & 1))
-        rows, joint = contexts(docs, hashes, own, wanted)
+        rows, joint = contexts(tokens, own, wanted)
         moved = best_classes(rows, joint, own).toPandas()  # a number for each of at most COMMON words
         word, best = moved["word"].to_numpy(np.int64), moved["best"].to_numpy(np.int64)
         new = own[word] != best
@@ -312,7 +350,7 @@ def exchange(docs: DataFrame, hashes: np.ndarray, own: np.ndarray, exchanged: in
         own[word[new]] = best[new]
         if k > 1 and new.sum() <= FEW_MOVES * max(1, len(word)):
             break
-    return own, contexts(docs, hashes, own, number < 0)[1]
+    return own, contexts(tokens, own, number < 0)[1]
 
 
 def fit(docs: DataFrame, top, parts: int, least: int = LEAST, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
@@ -322,7 +360,8 @@ def fit(docs: DataFrame, top, parts: int, least: int = LEAST, rounds: int = ROUN
     n = min(CLUSTERED, len(hashes))
     own = np.concatenate([CLASSES + top["shape"].to_numpy(np.int64), [first[CLUSTERED]]])
     own[:n] = first[:n]
-    return exchange(docs, hashes, own, int((top["c"].to_numpy() >= least).sum()), rounds)
+    tokens = stage(numbered(docs, hashes), "numbered")  # texts are cut into words once for all sweeps
+    return exchange(tokens, own, int((top["c"].to_numpy() >= least).sum()), rounds)
 
 
 def score(docs: DataFrame, training: Column, least: int = LEAST, rounds: int = ROUNDS) -> DataFrame:
