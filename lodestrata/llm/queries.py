@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from . import class_lm, packing, progressive_jpeg, token_files, toxicity
 from .common import shared_dir, table
+from .content_sort import exact_duplicates
 from .decontamination import contamination
 from .html_text import extract
 from .jaccard_join import near_duplicates
@@ -78,8 +79,12 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages"))
 
 
+def op13_content_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_duplicates(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_jaccard_join, op2_class_lm, op3_line_dedup, op4_decontamination, op5_toxicity, op6_token_files, op7_token_counts, op8_packing, op9_progressive_jpeg, op10_html_text)}
+    return {f.__name__: f for f in (op1_jaccard_join, op2_class_lm, op3_line_dedup, op4_decontamination, op5_toxicity, op6_token_files, op7_token_counts, op8_packing, op9_progressive_jpeg, op10_html_text, op13_content_sort)}
 
 
 OP3_SQL = r"""
@@ -132,5 +137,12 @@ FROM doc_words LEFT JOIN per_doc ON doc_words.doc_id = per_doc.doc_id
 """
 
 
+OP13_SQL = r"""
+WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS x FROM documents),
+g AS (SELECT doc_id, sha256(x) AS text_sha256, min(doc_id) OVER (PARTITION BY x) AS keep_id, count(*) OVER (PARTITION BY x) AS group_size, row_number() OVER (PARTITION BY x ORDER BY doc_id NULLS LAST) AS place FROM t)
+SELECT doc_id, keep_id, CAST(group_size AS BIGINT) AS group_size, place = 1 AS kept, text_sha256 FROM g
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_dedup": OP3_SQL, "op4_decontamination": OP4_SQL}
+    return {"op3_line_dedup": OP3_SQL, "op4_decontamination": OP4_SQL, "op13_content_sort": OP13_SQL}
