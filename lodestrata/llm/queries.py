@@ -7,6 +7,7 @@ keeps the digest columns of the contract.
 from __future__ import annotations
 
 import uuid
+import zlib
 from collections.abc import Callable
 
 import public_tokenizers
@@ -20,6 +21,7 @@ from .decontamination import contamination
 from .html_text import extract
 from .jaccard_join import near_duplicates
 from .line_dedup import dedup_lines
+from .periodic_runs import periodic_runs
 from .token_counts import count_tokens
 
 
@@ -79,12 +81,33 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages"))
 
 
+def periodic_tail(doc_id: int | None, n: int) -> tuple[int, int] | None:
+    """Where the words of one document in ten (by its id) begin to repeat, and after how many words."""
+    h = zlib.crc32(str(doc_id).encode())
+    if doc_id is None or h % 10:
+        return None
+    g = h // 10
+    a = g % n
+    return a, 1 + (n - a) // (3 + g % 8)
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs(table(spark, sf_dir, "documents"), tail=periodic_tail)
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n")))
+    longest = F.array_min(F.transform("runs", lambda r: F.struct((-r["length"]).alias("n"), r["start"].alias("start"), r["period"].alias("period"))))
+    found = found.withColumn("longest", longest)
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), F.col("longest.start").alias("start"), (-F.col("longest.n")).alias("length"), F.col("longest.period").alias("period"),
+        F.floor(-1000 * F.col("longest.n") / F.col("longest.period")).alias("exponent_milli"), F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 def op13_content_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_jaccard_join, op2_class_lm, op3_line_dedup, op4_decontamination, op5_toxicity, op6_token_files, op7_token_counts, op8_packing, op9_progressive_jpeg, op10_html_text, op13_content_sort)}
+    return {f.__name__: f for f in (op1_jaccard_join, op2_class_lm, op3_line_dedup, op4_decontamination, op5_toxicity, op6_token_files, op7_token_counts, op8_packing, op9_progressive_jpeg, op10_html_text, op11_periodic_runs, op13_content_sort)}
 
 
 OP3_SQL = r"""
