@@ -22,6 +22,7 @@ from .html_text import extract
 from .jaccard_join import near_duplicates
 from .line_dedup import dedup_lines
 from .periodic_runs import periodic_runs
+from .spelling import spelling_variants
 from .token_counts import count_tokens
 
 
@@ -102,12 +103,16 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(table(spark, sf_dir, "documents"), misspelt=31)
+
+
 def op13_content_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_jaccard_join, op2_class_lm, op3_line_dedup, op4_decontamination, op5_toxicity, op6_token_files, op7_token_counts, op8_packing, op9_progressive_jpeg, op10_html_text, op11_periodic_runs, op13_content_sort)}
+    return {f.__name__: f for f in (op1_jaccard_join, op2_class_lm, op3_line_dedup, op4_decontamination, op5_toxicity, op6_token_files, op7_token_counts, op8_packing, op9_progressive_jpeg, op10_html_text, op11_periodic_runs, op12_spelling_variants, op13_content_sort)}
 
 
 OP3_SQL = r"""
