@@ -95,11 +95,6 @@ def masked_parts(parts: Column | str, words: tuple[str, ...] = ()) -> Column:
     return F.transform(col(parts), lambda p: F.when((p["type"] == "text") & p["text"].isNotNull(), p.withField("text", masked(p["text"], words)[0])).otherwise(p))
 
 
-def clause(text: Column | str) -> Column:
-    """What comes before the first mark that ends a clause."""
-    return F.trim(F.regexp_extract(col(text), r"^([^，。；、,.;!！?？\n]*)", 1))
-
-
 def image_contexts(text: Column | str, around: int = 100) -> Column:
     """Markdown images as ``(target, before, after)``, with up to ``around`` characters on either side."""
     image = r"!\[[^\]]*\]\(([^)\s]+)[^)]*\)"
@@ -197,19 +192,6 @@ def has_material(title: Column | str, text: Column | str, tokens: Column | str,
     return F.exists(col(tokens), lambda k: F.coalesce(col(title), F.lit("")).contains(k) | (F.size(F.split(F.coalesce(col(text), F.lit("")), F.concat(F.lit(r"\Q"), k, F.lit(r"\E")), -1)) > least))
 
 
-def place_like(name: Column | str, longest: int = 10) -> Column:
-    """Whether a short text may be a place: 2 to ``longest`` characters, some of them Chinese, no sentence marks or digits."""
-    n = F.trim(F.coalesce(col(name), F.lit("")))
-    return F.length(n).between(2, longest) & n.rlike(r"[\u4e00-\u9fa5]") & ~n.rlike(r"[\d，。！？；：、（）()]")
-
-
-def headings(text: Column | str) -> Column:
-    """Terms of Markdown headings and bold leads, distinct, in order: candidates of a lexicon."""
-    found = F.regexp_extract_all(col(text), F.lit(r"(?m)^\s*#{1,6}\s+(.+?)\s*$"), F.lit(1))
-    parts = F.flatten(F.transform(found, lambda h: F.split(h, r"[\s,，、/|｜:：]+")))
-    return F.array_distinct(F.filter(parts, lambda p: p != ""))
-
-
 def preference(question: Column | str, ways: dict[str, str], hints: str, near: int = 12) -> Column:
     """The way that a question asks for: the first of ``ways`` (name to pattern) within ``near`` characters from a hint, else null."""
     q = F.coalesce(col(question), F.lit(""))

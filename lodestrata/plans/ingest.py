@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import lexicon_values as V
 from ..functions import text as T
 from ..operators import chunking, mentions
 from ..sources.store import replace_by_key, revoke, scratch
@@ -162,16 +163,97 @@ def file_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", T.route("url").alias("route"))
 
 
-_CHINESE = ((1, "灵隐之后去西湖"), (2, "西湖 西湖 西湖"), (3, ""), (4, "西湖龙井茶"), (5, "明天再说"))
-_LEXICON = ("西湖", "灵隐", "龙井", "西湖龙井")
+@query(r"""WITH lex AS (SELECT DISTINCT term FROM (SELECT unnest(regexp_extract_all(text, '[\p{L}\p{N}]{8,}')) AS term FROM benchmark) UNION SELECT substr(term, 3) FROM (SELECT unnest(regexp_extract_all(text, '[\p{L}\p{N}]{8,}')) AS term FROM benchmark)),
+f AS (SELECT doc_id, term, instr(text, term) AS at0 FROM documents, lex WHERE contains(text, term))
+SELECT doc_id, list(term ORDER BY at0, term) AS terms FROM f GROUP BY doc_id""")
+def pool_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of a pool and shorter ones within them: all that occur in a text stay."""
+    names = table(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit(r"([\p{L}\p{N}]{8,})"), F.lit(1))).alias("term"))
+    return mentions.mentions(table(spark, sf_dir, "documents"), names.unionByName(names.select(F.expr("substring(term, 3)").alias("term"))), maximal=False)
 
 
-@query(f"""WITH d AS (SELECT * FROM (VALUES {", ".join(f"({i}, '{t}')" for i, t in _CHINESE)}) v(doc_id, text)), x AS (SELECT unnest([{", ".join(f"'{t}'" for t in _LEXICON)}]) AS term),
+_CHINESE = ((-1, "灵隐之后去西湖"), (-2, "西湖 西湖 西湖"), (-3, ""), (-4, "西湖龙井茶"), (-5, "明天再说"))
+_LEXICON = ("西湖", "灵隐", "龙井", "西湖龙井", "ention", "tion")
+
+
+@query(f"""WITH d AS (SELECT * FROM (VALUES {", ".join(f"({i}, '{t}')" for i, t in _CHINESE)}) v(doc_id, text) UNION ALL SELECT doc_id, text FROM documents), x AS (SELECT unnest([{", ".join(f"'{t}'" for t in _LEXICON)}]) AS term),
 f AS (SELECT doc_id, term, instr(text, term) AS at0 FROM d, x WHERE contains(text, term)), m AS (SELECT * FROM f a WHERE NOT EXISTS (SELECT 1 FROM f b WHERE b.doc_id = a.doc_id AND b.term <> a.term AND contains(b.term, a.term)))
 SELECT doc_id, list(term ORDER BY at0, term) AS terms FROM m GROUP BY doc_id""")
 def mention_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Terms within runs of Chinese characters."""
-    return mentions.mentions(spark.createDataFrame(_CHINESE, "doc_id int, text string"), spark.createDataFrame([(t,) for t in _LEXICON], "term string"))
+    """Terms within runs of Chinese characters and of letters."""
+    texts = spark.createDataFrame(_CHINESE, "doc_id long, text string").unionByName(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return mentions.mentions(texts, spark.createDataFrame([(t,) for t in _LEXICON], "term string"))
+
+
+#: Letters as Chinese characters, some of which rule terms out: the given tables have no Chinese text.
+_AS_HAN = ("abcdefghijklmnopqrstuvwxyz", "西湖灵隐鼓浪屿峨眉山龙井岳麓泰华京北的线区圈附近越最")
+_KINDS = {"en": "游记攻略", "fr": "酒店信息", "de": "景点信息", "es": " 线路推荐 "}
+
+_HAN_SQL = "translate(lower({}), '" + "', '".join(_AS_HAN) + "')"
+_QUOTED = lambda words: "|".join(w.replace("'", "''") for w in words)
+_ADMIN_SQL = f"regexp_matches(t, '^(?:{_QUOTED(V.PROVINCES)})?(?:{_QUOTED((*V.CITIES, *V.PROVINCES, *V.REGIONS))})$')"
+_VALID_SQL = rf"""length(t) BETWEEN 2 AND 6 AND NOT regexp_matches(t, '[0-9]') AND regexp_matches(t, '[\x{{4e00}}-\x{{9fff}}]') AND t NOT IN ('{"', '".join(V.NOISE_WORDS)}') AND NOT {_ADMIN_SQL}
+  AND NOT regexp_matches(t, '(?:{_QUOTED(V.METAPHOR_ENDS + V.AREA_ENDS)})$') AND NOT regexp_matches(t, '{_QUOTED(V.SENTENCE_MARKS + V.STRUCTURE_WORDS + V.GENERIC_WORDS)}')"""
+_TERM_SQL = rf"""trim(regexp_replace(regexp_replace(trim({{}}), '^[｜|·・—:："''“”‘’-]+|[｜|·・—:："''“”‘’-]+$', '', 'g'), '^(..+)(?:{_QUOTED(V.AROUND_ENDS)})$', '\1'))"""
+_LEXICON_SQL = rf"""WITH src AS (SELECT {_HAN_SQL.format("text")} AS zh FROM benchmark),
+md AS (SELECT zh, '- 主题：' || split_part(zh, ' ', 1) || '、' || split_part(zh, ' ', 2) || chr(10) || '## ' || replace(zh, '. ', chr(10) || '## ') AS md FROM src),
+lines AS (SELECT md, unnest(string_split(md, chr(10))) AS line FROM md),
+raws AS (SELECT md, line LIKE '- 主题：%' AS topic, unnest(regexp_split_to_array(regexp_replace(line, '^(- 主题：|## )', ''), '[、，,／/｜|（）()\[\]【】\s]+|和|与|及')) AS raw FROM lines WHERE line LIKE '- 主题：%' OR line LIKE '## %'),
+cand AS (SELECT md, {_TERM_SQL.format("raw")} AS t, topic FROM raws),
+lex AS (SELECT DISTINCT t AS term FROM cand WHERE {_VALID_SQL} AND (topic OR (length(md) - length(replace(md, t, ''))) / length(t) >= 2)
+  UNION SELECT t FROM (SELECT {_TERM_SQL.format(_HAN_SQL.format("n_name"))} AS t FROM nation UNION ALL SELECT unnest(['九寨沟', '四川阿坝', '四川成都', '沙溪古镇', '3号'])) WHERE ({_VALID_SQL}) OR {_ADMIN_SQL})"""
+
+
+def _as_han(name: str):
+    return F.translate(F.lower(name), *_AS_HAN)
+
+
+def _places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    zh = _as_han("text")
+    topics = F.concat(F.lit("- 主题："), F.split_part(zh, F.lit(" "), F.lit(1)), F.lit("、"), F.split_part(zh, F.lit(" "), F.lit(2)))
+    sources = table(spark, sf_dir, "benchmark").select(F.concat(topics, F.lit("\n## "), F.replace(zh, F.lit(". "), F.lit("\n## "))).alias("text"))
+    names = table(spark, sf_dir, "nation").select(_as_han("n_name").alias("term")).unionByName(spark.createDataFrame([(t,) for t in ("九寨沟", "四川阿坝", "四川成都", "沙溪古镇", "3号")], "term string"))
+    return mentions.place_lexicon(sources, names)
+
+
+@query(f"{_LEXICON_SQL} SELECT term FROM lex")
+def place_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Terms of the questions' topic lines and headings, and names of nations, as far as the rules let them in."""
+    return _places(spark, sf_dir)
+
+
+def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kinds = F.create_map(*(F.lit(x) for pair in _KINDS.items() for x in pair))
+    there = F.when(F.col("source") == "src1", F.array(F.lit("西湖"))).otherwise(F.array().cast("array<string>"))
+    relations = F.create_map(F.lit("attractions"), there, F.lit("related_attractions"), F.array().cast("array<string>"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.try_element_at(kinds, F.col("lang")).alias("content_type"), _as_han("text").alias("text"), relations.alias("relations"))
+
+
+_PLAN_SQL = f"""{_LEXICON_SQL},
+c AS (SELECT doc_id, CASE lang WHEN 'en' THEN '游记攻略' WHEN 'fr' THEN '酒店信息' WHEN 'es' THEN '线路推荐' END AS content_type, CASE lang WHEN 'fr' THEN 'nearby_attractions' ELSE 'attractions' END AS key, {_HAN_SQL.format("text")} AS zh FROM documents
+  WHERE lang IN ('en', 'fr', 'es') AND (lang = 'fr' OR source IS DISTINCT FROM 'src1')),
+f AS (SELECT doc_id, content_type, key, term, instr(zh, term) AS at0 FROM c, lex WHERE contains(zh, term)),
+m AS (SELECT * FROM f a WHERE NOT EXISTS (SELECT 1 FROM f b WHERE b.doc_id = a.doc_id AND b.term <> a.term AND contains(b.term, a.term))),
+plan AS (SELECT doc_id, content_type, key, list(term ORDER BY at0, term) AS terms FROM m GROUP BY ALL)"""
+
+
+@query(f"{_PLAN_SQL} SELECT doc_id, content_type, key, terms FROM plan")
+def relation_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places that fill the empty relations of the documents."""
+    return mentions.backfill_plan(_chunks(spark, sf_dir), _places(spark, sf_dir))
+
+
+@query(f"""{_PLAN_SQL}, n AS (SELECT trim(k) AS content_type, count(*) AS chunks, count(*) FILTER (source = 'src1') AS filled FROM (SELECT CASE lang WHEN 'en' THEN '游记攻略' WHEN 'fr' THEN '酒店信息' WHEN 'de' THEN '景点信息' WHEN 'es' THEN '线路推荐' END AS k, source FROM documents) GROUP BY 1)
+SELECT n.content_type, chunks, filled, coalesce(p.planned, 0) AS planned, round(coalesce(p.planned, 0) / chunks, 4) AS share FROM n LEFT JOIN (SELECT content_type, count(*) AS planned FROM plan GROUP BY 1) p ON n.content_type = p.content_type""")
+def backfill_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chunks = _chunks(spark, sf_dir).withColumn("content_type", F.trim("content_type"))
+    return mentions.backfill_coverage(chunks, mentions.backfill_plan(chunks, _places(spark, sf_dir)))
+
+
+@query(f"{_PLAN_SQL} SELECT term, count(*) AS n FROM (SELECT unnest(terms) AS term FROM plan) GROUP BY term ORDER BY n DESC, term LIMIT 40")
+def most_filled_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report's forty commonest places."""
+    return mentions.top_terms(relation_backfill(spark, sf_dir))
 
 
 @query("""SELECT count(*) AS left_rows, count(DISTINCT event_type) AS kinds, (SELECT count(*) FROM events WHERE event_type = 'click') AS removed FROM (SELECT event_type FROM events WHERE event_type NOT IN ('click', 'view') UNION ALL SELECT 'vi:ew/..' FROM events WHERE event_type = 'view')""")
@@ -192,9 +274,9 @@ def long_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "nation").select("n_nationkey", T.fingerprint(F.repeat("n_name", F.lit(40_000))).alias("fingerprint"))
 
 
-@query(r"""WITH w AS (SELECT doc_id, text, list_distinct(regexp_extract_all(substr(text, 1, 200), '[a-z]{5,}')) AS ts FROM documents)
+@query(r"""WITH w AS (SELECT doc_id, text, list_distinct(regexp_extract_all(text, '[a-z]{9,}')) AS ts FROM documents)
 SELECT doc_id, array_to_string(list_filter(ts, lambda t: (length(text) - length(replace(text, t, ''))) / length(t) >= 2), ',') AS terms FROM (SELECT doc_id, text, list_sort(ts) AS ts FROM w)""")
 def repeated_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words of a text's head that come again in it."""
-    head = F.array_sort(F.array_distinct(F.regexp_extract_all(F.substring("text", 1, 200), F.lit("([a-z]{5,})"), F.lit(1))))
-    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(T.repeated(head, "text"), ",").alias("terms"))
+    """Long words of a text that come again in it."""
+    words = F.array_sort(F.array_distinct(F.regexp_extract_all("text", F.lit("([a-z]{9,})"), F.lit(1))))
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(T.repeated(words, "text"), ",").alias("terms"))

@@ -206,14 +206,6 @@ def test_query_lists_are_distinct_and_leave_the_original_out(spark):
     assert made(True) == [["a", "q,h"], [], []] and made(False) == [["q,h"], [], []]
 
 
-def test_terms_of_the_lexicon(spark):
-    rows = ["龙井方向", "灵隐周边", "｜鼓浪屿｜", "九寨县", "某古镇", "3号", "abc", "西湖"]
-    df = spark.createDataFrame([(t,) for t in rows], "t string")
-    got = df.select(mentions.normalised("t").alias("n")).withColumn("ok", mentions.valid_term("n")).collect()
-    assert [r["n"] for r in got][:3] == ["龙井", "灵隐", "鼓浪屿"]
-    assert [r["ok"] for r in got] == [True, True, True, False, False, False, False, True]
-
-
 def test_latency_of_ties_negatives_and_zeros(spark):
     import random
 

@@ -93,8 +93,6 @@ def test_more_text_rules(spark):
     assert value(spark, text.replaced_images("t", links), t="x ![](a.png) ![b](b.png)") == "x ![a cat](http://h/a.png) ![b](b.png)"
     gate = lambda title, body: value(spark, text.has_material(F.lit(title), F.lit(body), F.array(F.lit("西湖"))))
     assert gate("西湖", "") and gate("", "西湖与西湖") and not gate("", "西湖") and not gate(None, None)
-    assert [value(spark, text.place_like("t"), t=t) for t in ("西湖", "湖", "abc", "一二三四五六七八九十一", "去。玩", None)] == [True, False, False, False, False, False]
-    assert value(spark, text.headings("t"), t="# 西湖、灵隐\nx\n## 西湖") == ["西湖", "灵隐"]
     ways = {"rail": "高铁|火车", "fly": "飞机"}
     assert [value(spark, text.preference("t", ways, "想坐|乘坐"), t=t) for t in ("我想坐飞机去", "飞机好吗，想坐高铁", "高铁", None)] == ["fly", "rail", None, None]
 
@@ -106,8 +104,7 @@ def test_parts_of_messages_are_masked_and_pictures_left(spark):
     assert got == [[("text", "mail 〔邮箱〕 now"), ("image_url", "a@b.cn"), ("text", None)], [], None]
 
 
-def test_clauses_and_pictures_with_their_surroundings(spark):
-    df = spark.createDataFrame([(" West Lake, then on", "abc ![x](p.png) def ![](q.jpg \"t\")"), ("one", "none"), (None, None)], "c string, t string")
-    got = df.select(text.clause("c").alias("c"), text.image_contexts("t", 3).alias("i")).collect()
-    assert [r["c"] for r in got] == ["West Lake", "one", None]
+def test_pictures_with_their_surroundings(spark):
+    df = spark.createDataFrame([("abc ![x](p.png) def ![](q.jpg \"t\")",), ("none",), (None,)], "t string")
+    got = df.select(text.image_contexts("t", 3).alias("i")).collect()
     assert [r["i"] and [tuple(x) for x in r["i"]] for r in got] == [[("p.png", "bc ", " de"), ("q.jpg", "ef ", "")], [], None]
