@@ -7,13 +7,18 @@ body as CB and LCB, the density is
     C / T * log( C * T / (LC * LT), base ln( C * LC / (C - LC) + LCB / CB * C + e ) )
 
 with counts of zero taken as one. A node's density sum adds the densities of
-its children. The element that can hold blocks and has the largest sum holds the main text; the smallest
-density on its path to the body is the threshold, and subtrees beside the path
-that reach it belong to the text as well, as does a headline before it if it
-has none. Menus, adverts, notices and the
-like are cut out by element or role before. Elements that only a class name or
-id speaks against, and forms, are cut out if they are made of links or controls
-or the page has its text elsewhere (``prune``).
+its children. The element that can hold blocks and has the largest sum holds
+the main text; the smallest density on its path to the body is the threshold,
+and subtrees beside the path that reach it belong to the text as well. An
+article or main element that holds a good part of the words outside it bounds
+the choice: it is the subtree then. A text without a headline takes the nearest
+one before it, and paragraphs that follow it in a box of their own stay.
+
+Menus, adverts, notices and the like are cut out by element or role before;
+reader comments by a whole name or by their heading, whatever their length.
+Elements whose whole class name or id means noise, and forms, are cut out if
+they are made of links or controls or the page has its text elsewhere
+(``prune``); those with such a word among others only if made of links.
 
 Rows: a null or empty page, or one without text, gives ""; unclosed elements
 are closed by the rules of HTML; repeated rows each keep a row; an empty table
@@ -44,22 +49,30 @@ SCOPE = frozenset("article aside blockquote body details div dl fieldset figure
 HOLDERS = frozenset("article blockquote body center dd details div dl figure main ol section table tbody td tr ul".split())
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 NOISE_WORDS = frozenset("ad ads adv advert adverts advertisement adsense banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr masthead menu modal nav navbar navigation newsletter notice pager pagination popup promo promoted promotion related respond share sharing sidebar social sponsor sponsored subscribe toolbar widget".split())
-#: Words that stand beside those in the name of an element that is no text; an id with any other word may be made from a heading.
-PLACE_WORDS = frozenset("area bar bars block bottom box button buttons center col column container content footer form global group header holder inline inner item items left level link links list main menu mobile module outer page panel posts articles stories topics primary reader right row secondary section side signup site slot subnav tab tabs thread top trail unit user view wrap wrapper zone".split())
+#: Words that stand beside those in the name of an element that is no text; a name with any other word may be made from a heading.
+PLACE_WORDS = frozenset("js wp desktop large small sticky fixed overlay area bar bars block bottom box button buttons center col column container content footer form global group header holder inline inner item items left level link links list main menu mobile module outer page panel posts articles stories topics primary reader right row secondary section side signup site slot subnav tab tabs thread top trail unit user view wrap wrapper zone".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CONTROLS = frozenset("button select textarea input".split())
 #: Characters of a form for each of its controls up to which it consists mainly of controls.
 LABEL = 50
+#: Whole names of what readers wrote, and headings above it.
+COMMENT_NAME = re.compile(r"(?:(?:reader|user|post|article|page|blog|entry|site|view|all)s?[-_]?)?comments?(?:[-_]?(?:list|area|section|wrap|wrapper|container|box|thread|block|form|item|respond|reply))?|(?:comment[-_])?respond|disqus(?:[-_]?thread)?|comments?[-_]\d+")
+COMMENT_HEADING = re.compile(r"(?:\d+ )?(?:(?:reader|user|readers'|leser)[- ]?)?(?:comments?|kommentare?|commentaires?|comentarios?|leave a (?:comment|reply))(?: ?\(?\d+\)?)?:?", re.I)
+#: Share of the words outside it from which an article or main element bounds the choice.
+BOUND = 0.1
+NOT_TEXT = re.compile("©|copyright|all rights reserved", re.I)
+SENTENCE_END = re.compile("[.!?…。！？][\"'”’»)]*$")
 SPACE = re.compile(r"\s+")
 NAME_PART = re.compile(r"[a-z]+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "named", "controls", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "parent", "children", "named", "hinted", "comment", "controls", "chars", "tags", "link_chars", "link_tags", "density", "total")
 
     def __init__(self, tag: str, parent: Node | None):
         self.tag, self.parent, self.children = tag, parent, []  # children: nodes and strings, in page order
-        self.named, self.controls = False, 0  # whether a class name or id says noise; controls in a form
+        self.named = self.hinted = self.comment = False  # whether a name means noise, has a word for it, or means comments
+        self.controls = 0  # in a form
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
 
@@ -80,16 +93,18 @@ def is_noise(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
     return False
 
 
-def is_named_noise(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
-    """Whether a class has a word for noise, or an id no other words than those and words of place; headings and paragraphs are text whatever their name."""
-    if tag in ("html", "body", "article", "main", "p") or tag in HEADINGS:
-        return False
-    for name, value in attrs:
-        if name in ("class", "id") and value:
-            parts = NAME_PART.findall(value.lower())
-            if not NOISE_WORDS.isdisjoint(parts) and (name == "class" or all(x in NOISE_WORDS or x in PLACE_WORDS for x in parts)):
-                return True
-    return False
+def names(tag: str, attrs: list[tuple[str, str | None]]) -> tuple[bool, bool, bool]:
+    """What class names and id say: a whole name means noise (a word for it, and no others but words of place), has such a word, means comments. Headings and paragraphs are text whatever their name."""
+    named = hinted = comment = False
+    if tag not in ("html", "body", "p") and tag not in HEADINGS:
+        for name, value in attrs:
+            for one in value.lower().split() if name in ("class", "id") and value else ():
+                parts = [x for x in NAME_PART.findall(one) if len(x) > 1]
+                comment |= COMMENT_NAME.fullmatch(one) is not None
+                if tag not in ("article", "main") and not NOISE_WORDS.isdisjoint(parts):
+                    hinted = True
+                    named |= all(x in NOISE_WORDS or x in PLACE_WORDS for x in parts)
+    return named, hinted, comment
 
 
 class Tree(HTMLParser):
@@ -100,7 +115,7 @@ class Tree(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.root = self.at = Node("body", None)
-        self.suspects = False
+        self.suspects = self.doubts = False
         self.noise: list[str] = []  # open elements from the outermost noise on
 
     def close_to(self, tags: Iterable[str], scope: frozenset[str]) -> None:
@@ -139,14 +154,13 @@ class Tree(HTMLParser):
             if tag not in VOID:
                 self.noise.append(tag)
             return
-        named = is_named_noise(tag, attrs)
         if tag in VOID:
-            if not named:
-                self.at.children.append(Node(tag, self.at))
+            self.at.children.append(Node(tag, self.at))
             return
         node = Node(tag, self.at)
-        node.named = named
-        self.suspects |= named or tag == "form"
+        node.named, node.hinted, node.comment = names(tag, attrs)
+        self.suspects |= node.named or tag == "form"
+        self.doubts |= node.hinted or node.comment or tag in HEADINGS
         self.at.children.append(node)
         self.at = node
 
@@ -280,32 +294,110 @@ def prune(root: Node) -> None:
         node.chars = node.tags = node.link_chars = node.link_tags = 0
 
 
+def words_in(node: Node) -> str:
+    return " ".join(blocks([node]))
+
+
+def cut_comments(root: Node) -> None:
+    """Cut out what readers wrote, by whole names or from a heading that says so to the next of its level, and boxes made of links whose name has a word for noise.
+
+    A box that has all the text, or the only headline, is no comment.
+    """
+    order = measure(root)
+    headlines = sum(n.tag == "h1" for n in order)
+    gone: set[Node] = set()
+    for node in order:
+        if node.comment and node.chars < root.chars and not (headlines == 1 and has_headline(node)):
+            gone.add(node)
+        elif node.hinted and node.link_chars * 2 > node.chars:
+            gone.add(node)
+        elif node.tag in HEADINGS and node.tag != "h1" and 0 < node.chars < 60 and COMMENT_HEADING.fullmatch(words_in(node)):
+            after = node.parent.children[node.parent.children.index(node) :]
+            end = next((k for k, c in enumerate(after) if k and type(c) is Node and c.tag in HEADINGS and c.tag <= node.tag), len(after))
+            rest = [c for c in after[:end] if type(c) is Node]
+            if any(c.chars for c in rest[1:]) and sum(c.chars for c in rest) < root.chars:
+                gone.update(rest)
+                for i in range(node.parent.children.index(node), node.parent.children.index(node) + end):
+                    if type(node.parent.children[i]) is str:
+                        node.parent.children[i] = " "
+    for node in {n.parent for n in gone if n.parent is not None}:
+        node.children = [c for c in node.children if c not in gone]
+    for node in order:
+        node.chars = node.tags = node.link_chars = node.link_tags = 0
+
+
+def bounding(order: list[Node]) -> Node | None:
+    """The article or main element that holds the text: of the articles the one with most of their words, else the main element around them."""
+    own = lambda n: n.chars - n.link_chars
+    root = order[0]
+    found = [n for n in order if n.tag in ("article", "main") and n.chars > 2 * n.link_chars]
+    articles = [n for n in found if n.tag == "article" and not any(up.tag == "article" for up in above(n))]
+    mains = [n for n in found if n.tag == "main"]
+    best, main = max(articles, key=own, default=None), max(mains, key=own, default=None)
+    if best is not None and main in above(best) and 2 * own(best) < own(main):
+        best = None
+    if best is not None and 2 * own(best) < sum(map(own, articles)):
+        best = None  # a list of articles
+    best = best or main
+    return best if best is not None and own(best) >= BOUND * (own(root) - own(best)) and own(best) > 0 else None
+
+
+def above(node: Node) -> Iterator[Node]:
+    while node.parent is not None:
+        node = node.parent
+        yield node
+
+
 def chosen(root: Node) -> list[Node]:
     """The subtrees that hold the main text, in page order."""
     order = measure(root)
-    best = max((n for n in order if n is root or n.tag in HOLDERS), key=lambda n: n.total)  # the outermost of equals
-    if best.total <= 0:
+    bound = bounding(order)
+    best = bound or max((n for n in order if n is root or n.tag in HOLDERS), key=lambda n: n.total)  # the outermost of equals
+    if best.total <= 0 and bound is None:
         best = root
-    path, node, threshold = {root}, best, best.density
-    while node is not None:
+    path, threshold = {best, root}, best.density
+    for node in above(best):
         path.add(node)
         threshold = min(threshold, node.density)
-        node = node.parent
-    kept, todo, before = [], [root], not has_headline(best)
+    kept, todo, title, wanted = [], [root], None, not has_headline(best)
     while todo:
         node = todo.pop()
         if node is best:
+            if wanted and title is not None and title not in kept:
+                kept.append(title)
             kept.append(node)
-            before = False
-        elif before and node.tag == "h1" and node.chars > 2 * node.link_chars:
-            kept.append(node)  # the title beside the text
-        elif node in path:
+            wanted = False
+        elif wanted and node.tag in HEADINGS and node.chars > 2 * node.link_chars and (node.tag == "h1" or title is None or title.tag != "h1"):
+            title = node  # the nearest headline before the text
+        elif node in path or wanted and any(type(c) is Node for c in node.children) and has_heading(node) and (bound is not None or not belongs(node, threshold)):
             todo += [c for c in reversed(node.children) if type(c) is Node]
-        elif node.chars and node.density >= threshold and node.link_chars * 2 < node.chars:
+        elif bound is None and (belongs(node, threshold) or node.parent is best.parent and best in kept and ends_text(node)):
             kept.append(node)
     return kept
 
 
+def belongs(node: Node, threshold: float) -> bool:
+    return node.chars > 0 and node.density >= threshold and node.link_chars * 2 < node.chars
+
+
+def ends_text(node: Node) -> bool:
+    """Whether a box after the text holds paragraphs of sentences, and no legal notice."""
+    if not node.chars or node.link_chars * 2 >= node.chars or not (node.tag == "p" or any(type(c) is Node and c.tag == "p" for c in node.children)):
+        return False
+    text = words_in(node)
+    return SENTENCE_END.search(text) is not None and not NOT_TEXT.search(text)
+
+
+def has_heading(top: Node) -> bool:
+    todo = [top]
+    while todo:
+        node = todo.pop()
+        if node.tag in HEADINGS:
+            return True
+        todo += [c for c in node.children if type(c) is Node]
+    return False
+
+
 def blocks(nodes: list[Node]) -> list[str]:
     """The texts of the blocks below ``nodes``, in page order, white space turned into single spaces."""
     out: list[str] = []
@@ -342,6 +434,8 @@ def main_text(html: str | None) -> str:
     tree = Tree()
     tree.feed(html)
     tree.close()
+    if tree.doubts:
+        cut_comments(tree.root)
     if tree.suspects:
         prune(tree.root)
     return "\n".join(blocks(chosen(tree.root)))

@@ -87,3 +87,86 @@ def test_odd_rows(spark):
     pages = spark.createDataFrame([(1, None, None, "t"), (2, "u", "", "t"), (3, "u", "<p>x</p>", "t"), (3, "u", "<p>x</p>", "t")], "page_id long, url string, html string, text string")
     assert sorted(map(str, html_text.extract(pages).collect())) == sorted(map(str, [html_text.extract(pages).where(f"page_id = {i}").first() for i in (1, 2, 3, 3)]))
     assert html_text.extract(pages).count() == 4 and html_text.extract(pages.limit(0)).count() == 0
+
+
+TWO = "<p>A first paragraph of some length, and more.</p><p>A second paragraph, which is long as well.</p>"
+TWO_TEXT = "A first paragraph of some length, and more.\nA second paragraph, which is long as well."
+READERS = "<p>A reader wrote a long comment here, and went on for a while about it.</p>" * 12
+
+
+@pytest.mark.parametrize("body,want", [
+    (f"<div id=main><h1>Title</h1>{TWO}</div><div id=comments>{READERS}</div>", f"Title\n{TWO_TEXT}"),
+    (f"<div><h1>Title</h1></div><div id=main>{TWO}</div><div id=comments>{READERS}</div>", f"Title\n{TWO_TEXT}"),
+    (f"<div id=main>{TWO}</div><div id=comments>{READERS}</div>", TWO_TEXT),
+    (f"<div id=main>{TWO}</div><ol class='comment-list x'>{READERS}</ol><div id=respond><h3>Leave a reply</h3><p>Your words here.</p></div>", TWO_TEXT),
+    (f"<div id=main>{TWO}</div><div id=disqus_thread>{READERS}</div>", TWO_TEXT),
+    (f"<article><h1>Title</h1>{TWO}</article><section><h2>Comments</h2><p>One reader said something here, at length.</p><p>Another one answered to that, and more.</p></section>", f"Title\n{TWO_TEXT}"),
+    (f"<article><h1>Title</h1>{TWO}</article>" + f"<article class=comment>{READERS}</article>" * 3, f"Title\n{TWO_TEXT}"),
+    (f"<article><h1>Title</h1>{TWO}<h2>12 Comments</h2>{READERS}</article>", f"Title\n{TWO_TEXT}"),
+    (f"<div class=story><h1>Title</h1>{TWO}<section><h3>Comments (12)</h3>{READERS}</section></div>", f"Title\n{TWO_TEXT}"),
+    (f"<div><h1>Title</h1></div><div>{TWO * 3}</div>", "Title\n" + "\n".join([TWO_TEXT] * 3)),
+    (f"<div>{TWO * 3}</div><div><p>It ends here.</p></div>", "\n".join([TWO_TEXT] * 3) + "\nIt ends here."),
+    (f"<div>{TWO * 3}</div><div><p>Copyright 2020 by us. All rights reserved.</p></div>", "\n".join([TWO_TEXT] * 3)),
+    (f"<div class=page><h1>Title</h1>{TWO}<section class='social-policy'><h2>Social policy</h2><p>On it.</p></section><div class='notice-of-intent'><p>We intend to.</p></div></div>", f"Title\n{TWO_TEXT}\nSocial policy\nOn it.\nWe intend to."),
+    (f"<div class=elementor-widget>{TWO}</div><div class=elementor-widget>{TWO}</div>", f"{TWO_TEXT}\n{TWO_TEXT}"),
+    (f"<article><h1>Title</h1>{TWO}<section><h2>Discussion</h2><p>We discuss it.</p></section></article>", f"Title\n{TWO_TEXT}\nDiscussion\nWe discuss it."),
+    (f"<main><h1>Title</h1><p>Lead in words.</p><article>{TWO * 2}</article></main>", None),
+    (f"<div id=comments><h1>Title</h1>{TWO}</div>", f"Title\n{TWO_TEXT}"),
+    (f"<div class='entry'><h2>Sub</h2>{TWO}</div><div class='widget-area'><p>Some widget with plain words in it.</p></div>", f"Sub\n{TWO_TEXT}"),
+    (f"<div class='post'><h1>Title</h1>{TWO}</div><div class='x-share-y2'><a href=1>Tell a friend</a> <a href=2>Send it</a></div>", f"Title\n{TWO_TEXT}"),
+])
+def test_everyday_pages(body, want):
+    """With and without article elements, and reader comments by name and by heading."""
+    page = f"<html><head><title>x</title></head><body><nav><a href=/>Home</a><a href=/b>News</a></nav>{body}<footer>me</footer></body></html>"
+    got = html_text.main_text(page)
+    if want is None:
+        assert got.startswith("Title\n") and got.endswith("\n".join([TWO_TEXT] * 2))
+    else:
+        assert got == want
+
+
+def plain_density(node, top):
+    """The published formula, counted anew for each node."""
+    import math
+
+    def counts(n):
+        c = t = lc = lt = 0
+        for k in n.children:
+            if isinstance(k, str):
+                c += len(k.replace(" ", "").replace("\n", ""))
+            else:
+                kc, kt, klc, klt = counts(k)
+                c, t, lc, lt = c + kc, t + kt + 1, lc + klc, lt + klt + (k.tag == "a")
+        return c, t, c if n.tag == "a" else lc, lt
+
+    (c, t, lc, lt), (cb, _, lcb, _) = counts(node), counts(top)
+    if not c:
+        return 0.0
+    base = math.log(c * max(1, lc) / max(1, c - lc) + lcb / max(1, cb) * c + math.e)
+    if base == pytest.approx(1):
+        return c / max(1, t)  # without a base, characters a tag
+    return c / max(1, t) * max(0.0, math.log(c * max(1, t) / (max(1, lc) * max(1, lt)), base))
+
+
+def test_densities_equal_the_published_formula():
+    import random
+
+    rng = random.Random(8)
+    for _ in range(30):
+        html, opened = "", []
+        for _ in range(rng.randrange(5, 120)):
+            kind = rng.random()
+            if kind < 0.4:
+                opened.append(rng.choice(["div", "section", "a", "span", "li", "b"]))
+                html += f"<{opened[-1]}>"
+            elif kind < 0.6 and opened:
+                html += f"</{opened.pop()}>"
+            else:
+                html += " ".join("word"[: rng.randrange(1, 5)] for _ in range(rng.randrange(9))) + "\n"
+        tree = html_text.Tree()
+        tree.feed(html)
+        tree.close()
+        order = html_text.measure(tree.root)
+        for node in order:
+            assert node.density == pytest.approx(plain_density(node, tree.root))
+            assert node.total == pytest.approx(sum(plain_density(k, tree.root) for k in node.children if not isinstance(k, str)))
