@@ -2,21 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
-
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import terms
 from ..sources.store import staged
+from .vectors import nearest
 
 #: Fixed values of BM25 and of reciprocal-rank fusion.
 K1, B, EPSILON = 1.5, 0.75, 0.25
 RRF_K = 60
-#: Query vectors that one block holds; blocks are broadcast one by one.
-BLOCK = 4096
 
 
 def postings(docs: DataFrame) -> DataFrame:
@@ -52,48 +48,10 @@ def best(rows: DataFrame, by: list[str], order: list, top: int) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("rank") <= top)
 
 
-def dense(vectors: DataFrame, queries: DataFrame, top: int = 10) -> DataFrame:
-    """``query_id, vec_id, score, rank``: exact inner products of ``queries(query_id, embedding)`` with ``vectors(vec_id, embedding)``.
-
-    Query vectors are taken in blocks of fixed size; every task multiplies its
-    rows with a block and keeps the best of each query, so what is shuffled is
-    at most ``top`` rows a query and task.
-    """
-    numbered = queries.select("query_id", "embedding").where("embedding is not null").orderBy("query_id")
-    found = None
-    for ids, matrix, _ in _blocks(numbered.withColumn("grp", F.lit(None).cast("string"))):
-        shared = vectors.sparkSession.sparkContext.broadcast((ids, matrix))
-
-        def run(batches: Iterable[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            ids, matrix = shared.value
-            kept_score, kept_id = np.full((len(ids), 0), -np.inf), np.zeros((len(ids), 0), np.int64)
-            for b in batches:
-                v = np.asarray(b.column(1).flatten(), np.float64).reshape(b.num_rows, -1)
-                score = np.hstack([kept_score, np.round(matrix @ v.T, 12)])
-                ident = np.hstack([kept_id, np.broadcast_to(np.asarray(b.column(0)), (len(ids), b.num_rows))])
-                order = np.lexsort((ident, -score), axis=1)[:, :top]
-                kept_score, kept_id = np.take_along_axis(score, order, 1), np.take_along_axis(ident, order, 1)
-            n = kept_id.shape[1]
-            if n:
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n)), pa.array(kept_id.ravel()), pa.array(kept_score.ravel())], ["query_id", "vec_id", "score"])
-
-        part = vectors.select("vec_id", "embedding").where("embedding is not null").mapInArrow(run, "query_id long, vec_id long, score double")
-        found = part if found is None else found.union(part)
-    if found is None:
-        found = vectors.sparkSession.createDataFrame([], "query_id long, vec_id long, score double")
-    return best(found, ["query_id"], [F.desc("score"), F.asc("vec_id")], top)
-
-
-def _blocks(queries: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray, list]]:
-    rows: list = []
-    cut = lambda: (np.array([r[0] for r in rows]), np.array([r[1] for r in rows], float), [r[2] for r in rows])
-    for r in queries.toLocalIterator():
-        rows.append(r)
-        if len(rows) == BLOCK:
-            yield cut()
-            rows = []
-    if rows:
-        yield cut()
+def dense(vectors: DataFrame, queries: DataFrame, top: int = 10, allowed: DataFrame | None = None) -> DataFrame:
+    """``query_id, vec_id, score, rank``: exact inner products of ``queries(query_id, embedding)`` with ``vectors(vec_id, embedding)``, or of those whose ids are in ``allowed(vec_id)``."""
+    ungrouped = lambda df, key: df.select(key, F.lit(None).cast("string").alias("grp"), "embedding")
+    return nearest(ungrouped(vectors, "vec_id"), ungrouped(queries, "query_id"), top, allowed=allowed).drop("grp")
 
 
 def sparse(vectors: DataFrame, queries: DataFrame, top: int = 10) -> DataFrame:
@@ -134,39 +92,12 @@ def first_seen(rows: DataFrame, key: list[str], order: list) -> DataFrame:
 
 
 def near(vectors: DataFrame, queries: DataFrame, at_least: float, same: bool) -> DataFrame:
-    """``query_id, vec_id, grp, score``: of each batch of ``vectors(vec_id, grp, embedding)`` the nearest to each of ``queries(query_id, grp, embedding)``, if it scores ``at_least``.
+    """``query_id, vec_id, grp, score``: the nearest of ``vectors(vec_id, grp, embedding)`` to each of ``queries(query_id, grp, embedding)``, if it scores ``at_least``.
 
     The nearest of each group of vectors, or with ``same`` of the query's own
-    group. Vectors of the query's own id are left out with ``same``. Queries
-    are taken in blocks of fixed size, as in ``dense``.
+    group, where vectors of the query's own id are left out.
     """
-    found = None
-    for ids, matrix, groups in _blocks(queries.select("query_id", "embedding", F.col("grp").cast("string")).where("embedding is not null").orderBy("query_id")):
-        shared = vectors.sparkSession.sparkContext.broadcast((ids, matrix, np.array(groups, object)))
-
-        def run(batches: Iterable[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            ids, matrix, asked = shared.value
-            for b in batches:
-                own, group = np.asarray(b.column(0)), np.array(b.column(2).to_pylist(), object)
-                score = np.round(matrix @ np.asarray(b.column(1).flatten(), np.float64).reshape(b.num_rows, -1).T, 12)
-                keep = score >= at_least
-                if same:
-                    keep &= (asked[:, None] == group[None, :]) & (ids[:, None] != own[None, :])
-                q, v = np.nonzero(keep)
-                names, code = np.unique(group[v].astype(str), return_inverse=True)
-                order = np.lexsort((own[v], -score[q, v], code, q))
-                q, v, code = q[order], v[order], code[order]
-                first = np.ones(len(q), bool)
-                first[1:] = (q[1:] != q[:-1]) | (code[1:] != code[:-1])
-                q, v = q[first], v[first]
-                yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(own[v]), pa.array(group[v].tolist(), pa.string()), pa.array(score[q, v])], ["query_id", "vec_id", "grp", "score"])
-
-        rows = vectors.select("vec_id", "embedding", F.col("grp").cast("string").alias("grp")).where("embedding is not null")
-        part = rows.mapInArrow(run, "query_id long, vec_id long, grp string, score double")
-        found = part if found is None else found.union(part)
-    if found is None:
-        found = vectors.sparkSession.createDataFrame([], "query_id long, vec_id long, grp string, score double")
-    return best(found, ["query_id"] if same else ["query_id", "grp"], [F.desc("score"), F.asc("vec_id")], 1).drop("rank")
+    return nearest(vectors, queries, 1, at_least, per_group=not same, same=same).drop("rank")
 
 
 def similar_cached(cache: DataFrame, queries: DataFrame, at_least: float = 0.92, now: Column | None = None) -> DataFrame:

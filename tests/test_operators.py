@@ -60,8 +60,7 @@ def test_bm25_of_nothing(spark):
     assert retrieval.bm25(docs.limit(0), queries).count() == 0
 
 
-def test_dense_blocks(spark, monkeypatch):
-    monkeypatch.setattr(retrieval, "BLOCK", 2)
+def test_dense(spark):
     v = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(7)] + [(99, None)], "vec_id long, embedding array<float>")
     q = spark.createDataFrame([(i, [1.0, float(-i)]) for i in range(5)], "query_id long, embedding array<float>")
     got = retrieval.dense(v, q, 2).collect()
