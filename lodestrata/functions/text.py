@@ -30,7 +30,7 @@ def terms(text: Column | str) -> Column:
     """Words for keyword search: lower-cased runs of two or more letters or digits, without stop words, and the pairs of characters of longer Chinese runs, which have no spaces."""
     found = F.regexp_extract_all(F.lower(col(text)), F.lit(r"([\p{L}\p{N}]{2,})"), F.lit(1))
     words = F.filter(F.coalesce(found, F.array().cast("array<string>")), lambda w: ~w.isin(*STOPWORDS))
-    pairs = F.regexp_extract_all(col(text), F.lit(rf"(?=({HAN}{{2}}))(?:(?<={HAN})|(?={HAN}{{3}}))"), F.lit(1))
+    pairs = F.when(col(text).rlike(HAN), F.regexp_extract_all(col(text), F.lit(rf"(?=({HAN}{{2}}))(?:(?<={HAN})|(?={HAN}{{3}}))"), F.lit(1)))
     return F.concat(words, F.coalesce(pairs, F.array().cast("array<string>")))
 
 

@@ -2,45 +2,26 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import terms
-from ..sources.store import staged
+from ..sources.store import scratch
+from .keyword_index import KeywordIndex, build, search
 from .vectors import nearest
 
-#: Fixed values of BM25 and of reciprocal-rank fusion.
-K1, B, EPSILON = 1.5, 0.75, 0.25
+#: Fixed value of reciprocal-rank fusion.
 RRF_K = 60
 
 
-def postings(docs: DataFrame) -> DataFrame:
-    """``docs(doc_id, text)`` to ``term, doc_id, tf, dl``: the inverted index."""
-    words = docs.select("doc_id", terms("text").alias("w")).select("doc_id", F.size("w").alias("dl"), F.explode("w").alias("term"))
-    return words.groupBy("term", "doc_id", "dl").agg(F.count("*").alias("tf"))
-
-
-def bm25(docs: DataFrame, queries: DataFrame, top: int = 5, allowed: DataFrame | None = None) -> DataFrame:
-    """``query_id, doc_id, score, rank`` of the best ``top`` documents of each query.
-
-    A query's repeated words count each time. Negative weights of very common
-    words become a share of the mean weight. ``allowed(doc_id)`` filters after
-    scoring, so statistics cover the whole corpus.
-    """
-    index = staged(postings(docs), "postings")  # read for its counts, its weights and its scores
-    # lengths add up to the counts of the index, so the texts are read once
-    stats = docs.agg(F.count("*").alias("n")).crossJoin(index.agg(F.sum("tf").alias("total"))).select("n", (F.col("total") / F.col("n")).alias("avgdl"))
-    df = index.groupBy("term").agg(F.count("*").alias("df"))
-    raw = df.crossJoin(F.broadcast(stats)).select("term", "n", "avgdl", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
-    mean = raw.agg(F.avg("raw").alias("mean"))
-    idf = raw.crossJoin(F.broadcast(mean)).select("term", "avgdl", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
-    asked = queries.select("query_id", F.explode(terms("text")).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times")).join(idf, "term")
-    weight = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scored = index.join(asked, "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("times") * weight).alias("score")).where("score > 0")
-    if allowed is not None:
-        scored = scored.join(allowed, "doc_id", "left_semi")
-    return best(scored, ["query_id"], [F.desc(F.round("score", 9)), F.asc("doc_id")], top)
+def bm25(docs: DataFrame | KeywordIndex, queries: DataFrame, top: int = 5, allowed: DataFrame | None = None) -> DataFrame:
+    """``query_id, doc_id, score, rank`` of the best ``top`` documents of each query, by an index or by one made for this call from ``docs(doc_id, text)``."""
+    if not isinstance(docs, KeywordIndex):
+        docs = build(docs, f"{scratch(docs.sparkSession)}/keywords-{uuid.uuid4().hex}")
+    return search(docs, queries, top, allowed)
 
 
 def best(rows: DataFrame, by: list[str], order: list, top: int) -> DataFrame:
@@ -122,7 +103,7 @@ def query_list(rewritten: Column, rewrites: Column, answer: Column, several: boo
     return F.array_distinct(F.filter(every, lambda q: q.isNotNull() & (q != "") & (q != rewritten)))
 
 
-def multi_query(docs: DataFrame, asked: DataFrame, top: int = 5) -> DataFrame:
+def multi_query(docs: DataFrame | KeywordIndex, asked: DataFrame, top: int = 5) -> DataFrame:
     """``query_id, doc_id, path, rank``: each document once for a question, by the first of its queries that finds it.
 
     ``asked(query_id, queries)`` holds a list of queries; all lists are searched in one join.

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import STOPWORDS, terms
-from ..operators import ranking, retrieval
-from ..sources.store import staged
-from .registry import query, table
+from ..operators import keyword_index, ranking, retrieval
+from ..sources.store import scratch, staged
+from .registry import query, table, version
 
 _STOP = ", ".join(f"'{w}'" for w in STOPWORDS)
 _TERMS = f"list_filter(regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}]{{2,}}'), lambda w: w NOT IN ({_STOP}))"
@@ -32,6 +34,18 @@ scored AS (
 _BM25 = _bm25_sql()
 
 
+_indexes: dict[tuple[str, str], keyword_index.KeywordIndex] = {}
+
+
+def _index(spark: SparkSession, sf_dir: str) -> keyword_index.KeywordIndex:
+    """The keyword index of the documents: one for all queries of an application, as long as the table's files stay the same."""
+    docs = table(spark, sf_dir, "documents")
+    key = (spark.sparkContext.applicationId, version(docs))
+    if key not in _indexes:
+        _indexes[key] = keyword_index.build(docs, f"{scratch(spark)}/keywords-{uuid.uuid4().hex}")
+    return _indexes[key]
+
+
 def _queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
@@ -39,7 +53,7 @@ def _queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {_BM25}
 SELECT query_id, doc_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM scored) WHERE rank <= 5""")
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.bm25(table(spark, sf_dir, "documents"), _queries(spark, sf_dir)).withColumn("score", F.round("score", 6))
+    return retrieval.bm25(_index(spark, sf_dir), _queries(spark, sf_dir)).withColumn("score", F.round("score", 6))
 
 
 @query(f"""WITH {_BM25}
@@ -48,7 +62,7 @@ FROM scored JOIN documents USING (doc_id) WHERE source IN ('src0', 'src3', 'src7
 def bm25_allowed_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     allowed = docs.where(F.col("source").isin("src0", "src3", "src7")).select("doc_id")
-    return retrieval.bm25(docs, _queries(spark, sf_dir), allowed=allowed).withColumn("score", F.round("score", 6))
+    return retrieval.bm25(_index(spark, sf_dir), _queries(spark, sf_dir), allowed=allowed).withColumn("score", F.round("score", 6))
 
 
 @query(f"""WITH {_BM25}
@@ -56,7 +70,7 @@ SELECT query_id, doc_id, round(score, 6) AS score, rank, lang FROM (SELECT *, ro
 def bm25_language_after_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The filter comes after the first five, so fewer may be left."""
     docs = table(spark, sf_dir, "documents")
-    hits = retrieval.bm25(docs, _queries(spark, sf_dir)).withColumn("score", F.round("score", 6))
+    hits = retrieval.bm25(_index(spark, sf_dir), _queries(spark, sf_dir)).withColumn("score", F.round("score", 6))
     return hits.join(docs.select("doc_id", "lang"), "doc_id").where("lang = 'fr'").select("query_id", "doc_id", "score", "rank", "lang")
 
 
@@ -101,16 +115,10 @@ q AS (SELECT query_id, term, count(*) / n AS y FROM (SELECT query_id, len(w) AS
 sparse AS (SELECT query_id, doc_id, sum(x * y) AS score FROM d JOIN q USING (term) GROUP BY query_id, doc_id)"""
 
 
-def _shares(df: DataFrame, key: str) -> DataFrame:
-    words = df.select(key, terms("text").alias("w"))
-    each = words.select(key, F.size("w").alias("n"), F.explode("w").alias("term")).groupBy(key, "term", "n").agg(F.count("*").alias("c"))
-    return each.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("term", F.col("c") / F.col("n")))).alias("weights"))
-
-
 @query(f"""WITH {_SPARSE}
 SELECT query_id, doc_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM sparse) WHERE rank <= 10""")
 def sparse_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.sparse(_shares(table(spark, sf_dir, "documents"), "doc_id"), _shares(_queries(spark, sf_dir), "query_id"), 10).withColumn("score", F.round("score", 6))
+    return keyword_index.shares(_index(spark, sf_dir), _queries(spark, sf_dir), 10).withColumn("score", F.round("score", 6))
 
 
 _LISTS = f"""WITH {_BM25}, {_SPARSE},
@@ -119,8 +127,8 @@ b AS (SELECT query_id, doc_id, score, rank FROM (SELECT *, row_number() OVER (PA
 
 
 def _two_lists(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    docs, asked = table(spark, sf_dir, "documents"), _queries(spark, sf_dir)
-    return retrieval.bm25(docs, asked, 10), retrieval.sparse(_shares(docs, "doc_id"), _shares(asked, "query_id"), 10)
+    index, asked = _index(spark, sf_dir), _queries(spark, sf_dir)
+    return retrieval.bm25(index, asked, 10), keyword_index.shares(index, asked, 10)
 
 
 @query(f"""{_LISTS},
@@ -158,7 +166,7 @@ c AS (SELECT *, min(CASE WHEN drop > 2 OR drop / (score + 1e-7) > 2 THEN rank EN
 
 @query(f"{_CLIFF} SELECT query_id, doc_id, score, rank FROM c WHERE cut IS NULL OR rank <= cut")
 def cliff_truncation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = retrieval.bm25(table(spark, sf_dir, "documents"), _queries(spark, sf_dir), 20).withColumn("score", F.round("score", 6))
+    hits = retrieval.bm25(_index(spark, sf_dir), _queries(spark, sf_dir), 20).withColumn("score", F.round("score", 6))
     return ranking.cliff_cut(hits)
 
 
@@ -173,21 +181,22 @@ SELECT t.query_id, t.rank, coalesce(new_id, doc_id) AS doc_id, CASE WHEN new_id
 def source_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     kinds = docs.select("doc_id", F.when(F.col("lang") == "en", "web").otherwise("local").alias("kind"))
-    full = staged(retrieval.bm25(docs, _queries(spark, sf_dir), 20).join(kinds, "doc_id").select("query_id", "doc_id", "rank", "kind"), "ranked")
+    full = staged(retrieval.bm25(_index(spark, sf_dir), _queries(spark, sf_dir), 20).join(kinds, "doc_id").select("query_id", "doc_id", "rank", "kind"), "ranked")
     return ranking.quota(full.where("rank <= 10"), full)
 
 
-_LIST = "SELECT item_id * 10 + path AS query_id, text FROM (SELECT item_id, unnest([0, 1]) AS path, unnest([substr(text, 1, 60), text || ',' || substr(text, 61, 80)]) AS text FROM benchmark WHERE length(text) > 60)"
+_LIST = """SELECT item_id * 10 AS query_id, split_part(text, '. ', 1) AS text FROM benchmark WHERE split_part(text, '. ', 1) <> text
+UNION ALL SELECT item_id * 10 + 1, text || ',' || split_part(text, '. ', 2) FROM benchmark WHERE split_part(text, '. ', 2) <> ''"""
 
 
 @query(f"""WITH {_bm25_sql(_LIST)},
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM scored)
 SELECT query_id, doc_id, path, rank FROM (SELECT query_id // 10 AS query_id, doc_id, CAST(query_id % 10 AS INT) AS path, rank, row_number() OVER (PARTITION BY query_id // 10, doc_id ORDER BY query_id % 10, rank) AS n FROM r WHERE rank <= 5) WHERE n = 1""")
 def multi_query_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Questions searched by the start of their text and by the text with an assumed answer; the repeat of the original goes."""
-    text = F.col("text")
-    queries = retrieval.query_list(text, F.array(F.substring(text, 1, 60), text, F.substring(text, 1, 60), F.lit("")), F.substring(text, 61, 80))
-    return retrieval.multi_query(table(spark, sf_dir, "documents"), _queries(spark, sf_dir).where(F.length("text") > 60).select("query_id", queries.alias("queries")))
+    """Questions searched by their first sentence and by the text with an assumed answer, their second one; the repeat of the original goes."""
+    text, first, second = F.col("text"), F.split_part("text", F.lit(". "), F.lit(1)), F.split_part("text", F.lit(". "), F.lit(2))
+    queries = retrieval.query_list(text, F.array(first, text, first, F.lit("")), second)
+    return retrieval.multi_query(_index(spark, sf_dir), _queries(spark, sf_dir).select("query_id", queries.alias("queries")))
 
 
 @query(None)
@@ -195,7 +204,7 @@ def condensed_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Best document of each question, condensed to 400 characters. Sentence ends need look-behind, which the checking SQL lacks."""
     docs = table(spark, sf_dir, "documents")
     asked = _queries(spark, sf_dir)
-    hits = retrieval.bm25(docs, asked, 1).join(docs.select("doc_id", "text"), "doc_id").join(asked.select("query_id", F.col("text").alias("question")), "query_id")
+    hits = retrieval.bm25(_index(spark, sf_dir), asked, 1).join(docs.select("doc_id", "text"), "doc_id").join(asked.select("query_id", F.col("text").alias("question")), "query_id")
     return ranking.condense(hits.select(F.col("query_id").alias("id"), "question", "text"), 400)
 
 
@@ -206,7 +215,7 @@ o AS (SELECT query_id, web, name, min(rank) AS place FROM k GROUP BY ALL)
 SELECT query_id, list(name ORDER BY web, place, name) AS sources FROM o GROUP BY query_id""")
 def answer_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, pages = table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages")
-    hits = retrieval.bm25(docs, _queries(spark, sf_dir), 5).join(docs.select("doc_id", F.col("source").alias("title")), "doc_id").join(pages.select(F.col("page_id").alias("doc_id"), "url"), "doc_id", "left")
+    hits = retrieval.bm25(_index(spark, sf_dir), _queries(spark, sf_dir), 5).join(docs.select("doc_id", F.col("source").alias("title")), "doc_id").join(pages.select(F.col("page_id").alias("doc_id"), "url"), "doc_id", "left")
     return ranking.source_list(hits.withColumn("kind", F.when(F.col("url").isNotNull(), "web").otherwise("local")))
 
 
@@ -217,15 +226,33 @@ def local_and_web(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: A few sentences in Chinese, which the given tables lack.
-_CHINESE = ((1, "灵隐之后去西湖，西湖边有断桥"), (2, "西湖龙井茶产自杭州西湖景区"), (3, "兵马俑在西安，离机场很远"), (4, "West Lake 西湖 in Hangzhou"), (5, "鼓浪屿是厦门的小岛"), (6, ""))
-_CHINESE_ASKED = ((1, "西湖有什么"), (2, "西安兵马俑怎么去"), (3, "lake 杭州"))
+_CHINESE = ((-1, "灵隐之后去西湖，西湖边有断桥"), (-2, "西湖龙井茶产自杭州西湖景区"), (-3, "兵马俑在西安，离机场很远"), (-4, "West Lake 西湖 in Hangzhou"), (-5, "鼓浪屿是厦门的小岛"), (-6, ""))
+_CHINESE_ASKED = ((-1, "西湖有什么"), (-2, "西安兵马俑怎么去"), (-3, "lake 杭州"))
 _VALUES = lambda rows: ", ".join(f"({i}, '{t}')" for i, t in rows)
 _PAIR_TERMS = f"list_concat({_TERMS}, list_filter(flatten(list_transform(regexp_extract_all(coalesce(text, ''), '[\\x{{4E00}}-\\x{{9FFF}}]{{3,}}'), lambda r: list_transform(range(1, length(r)), lambda i: substr(r, i, 2)))), lambda w: true))"
 
 
-@query(f"""WITH {_bm25_sql(f"SELECT * FROM (VALUES {_VALUES(_CHINESE_ASKED)}) v(query_id, text)", f"SELECT doc_id, '' AS source, text FROM (VALUES {_VALUES(_CHINESE)}) v(doc_id, text)", _PAIR_TERMS)}
+@query(f"""WITH {_bm25_sql(f"SELECT * FROM (VALUES {_VALUES(_CHINESE_ASKED)}) v(query_id, text) UNION ALL {_ASKED}", f"SELECT doc_id, '' AS source, text FROM (VALUES {_VALUES(_CHINESE)}) v(doc_id, text) UNION ALL SELECT doc_id, source, text FROM documents", _PAIR_TERMS)}
 SELECT query_id, doc_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM scored) WHERE rank <= 5""")
 def bm25_chinese(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Search in text without spaces, by pairs of characters beside words."""
-    docs, asked = spark.createDataFrame(_CHINESE, "doc_id int, text string"), spark.createDataFrame(_CHINESE_ASKED, "query_id int, text string")
-    return retrieval.bm25(docs, asked).withColumn("score", F.round("score", 6))
+    """Search in texts with and without spaces, by words and pairs of characters: the documents' index with sentences appended."""
+    docs, asked = spark.createDataFrame(_CHINESE, "doc_id long, text string"), spark.createDataFrame(_CHINESE_ASKED, "query_id long, text string")
+    index = keyword_index.build(table(spark, sf_dir, "documents"), f"{scratch(spark)}/keywords-{uuid.uuid4().hex}").append(docs)
+    return retrieval.bm25(index, asked.unionByName(_queries(spark, sf_dir))).withColumn("score", F.round("score", 6))
+
+
+@query(f"""WITH {_VECTORS}
+SELECT query_id, ql AS namespace, vec_id AS key, round(score, 6) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, vec_id) AS rank FROM pairs WHERE ql = el AND vec_id <> query_id AND round(score, 12) >= 0.92) WHERE rank = 1""")
+def semantic_cache_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """At the threshold of the service."""
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("label").alias("namespace"), F.col("vec_id").alias("key"), "embedding")
+    asked = _vector_queries(spark, sf_dir).select("query_id", F.col("label").alias("namespace"), "embedding")
+    return retrieval.similar_cached(vectors, asked).withColumn("similarity", F.round("similarity", 6))
+
+
+@query(f"""WITH {_VECTORS}
+SELECT query_id, vec_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, vec_id) AS rank FROM pairs WHERE el IN (1, 3)) WHERE rank <= 10""")
+def dense_allowed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest among the confirmed subjects' vectors, chosen before the ranking."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return retrieval.dense(vectors, _vector_queries(spark, sf_dir), 10, allowed=vectors.where("label IN (1, 3)").select("vec_id")).withColumn("score", F.round("score", 6))
