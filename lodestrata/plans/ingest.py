@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from ..functions import lexicon_values as V
 from ..functions import text as T
 from ..operators import chunking, mentions
-from ..sources.store import replace_by_key, revoke, scratch
+from ..sources import files
+from ..sources.files import pages_as_markdown
+from ..sources.store import replace_by_key, revoke, scratch, staged
 from .registry import query, table
 
 
@@ -280,3 +282,47 @@ def repeated_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Long words of a text that come again in it."""
     words = F.array_sort(F.array_distinct(F.regexp_extract_all("text", F.lit("([a-z]{9,})"), F.lit(1))))
     return table(spark, sf_dir, "documents").select("doc_id", F.array_join(T.repeated(words, "text"), ",").alias("terms"))
+
+
+_MD = r"regexp_extract(html, '(?s)<article>(.*?)</article>', 1)"
+_MD = rf"regexp_replace({_MD}, '\s+', ' ', 'g')"
+_MD = rf"replace(replace({_MD}, '*', '\*'), '_', '\_')"
+_MD = rf"regexp_replace({_MD}, '<h1>(.*?)</h1>', chr(10) || chr(10) || '# \1' || chr(10) || chr(10), 'g')"
+_MD = rf"regexp_replace({_MD}, '<p><b>(.*?)<br>', chr(10) || chr(10) || '**\1**' || chr(10) || chr(10), 'g')"
+_MD = rf"regexp_replace({_MD}, '<br>', '  ' || chr(10), 'g')"
+_MD = rf"regexp_replace({_MD}, '</?p>', chr(10) || chr(10), 'g')"
+_MD = rf"regexp_replace(regexp_replace({_MD}, '<[^>]+>', '', 'g'), ' *\n *', chr(10), 'g')"
+for _a, _b in (("&nbsp;", "chr(160)"), ("&lt;", "'<'"), ("&gt;", "'>'"), ("&quot;", "chr(34)"), ("&amp;", "'&'")):
+    _MD = f"replace({_MD}, '{_a}', {_b})"
+
+
+@query(rf"SELECT page_id, trim(regexp_replace({_MD}, '\n{{3,}}', chr(10) || chr(10), 'g'), chr(10) || ' ') AS markdown FROM pages")
+def page_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole pages as Markdown; the SQL knows the constructs that the given pages have."""
+    return pages_as_markdown(table(spark, sf_dir, "pages")).select("page_id", "markdown")
+
+
+@query("""SELECT c_nationkey, 'sheet1' AS sheet, concat_ws(chr(10), 'c_custkey: ' || c_custkey, 'c_name: ' || c_name, '级别: 五') AS content FROM customer""")
+def mixed_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The customers of each nation as a file, some in UTF-8 and some in GBK, all read as one folder."""
+    path = f"{scratch(spark)}/mixed-{uuid.uuid4().hex}"
+    rows = table(spark, sf_dir, "customer").select("c_custkey", "c_name", F.col("c_nationkey").alias("nation"))
+    gbk = lambda t: t.encode("gbk").decode("latin-1")  # noqa: E731  the writer knows no GBK, but writes these bytes
+    for code, part, spelt in (("UTF-8", "nation % 2 = 0", str), ("ISO-8859-1", "nation % 2 = 1", gbk)):
+        own = rows.where(part).withColumn(spelt("级别"), F.lit(spelt("五")))
+        own.repartition("nation").write.option("header", "true").option("encoding", code).partitionBy("nation").mode("append").csv(path)
+    found = files.table_rows(files.parsed(files.binary(spark, path).where("kind = 'csv'"), rows_most=1 << 30))
+    return found.select(F.regexp_extract("path", r"nation=(\d+)", 1).cast("long").alias("c_nationkey"), "sheet", "content")
+
+
+@query("""SELECT 'region' AS kind, r_regionkey AS key, CAST(NULL AS VARCHAR) AS stage, chr(10) || chr(10) || '## r_name' || chr(10) || r_name || chr(10) AS text FROM region
+UNION ALL SELECT 'supplier', s_nationkey, CASE WHEN count(*) > 1 THEN 'parse' END, CASE WHEN count(*) > 1 THEN '' ELSE chr(10) || chr(10) || '## s_name' || chr(10) || min(s_name) || chr(10) END FROM supplier GROUP BY s_nationkey""")
+def broken_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of one JSON object each, and files of several, which are no JSON: both outputs, texts and quarantine."""
+    path = f"{scratch(spark)}/broken-{uuid.uuid4().hex}"
+    table(spark, sf_dir, "region").select("r_name", F.col("r_regionkey").alias("region")).repartition("region").write.partitionBy("region").json(f"{path}/a")
+    table(spark, sf_dir, "supplier").select("s_name", F.col("s_nationkey").alias("supplier")).repartition("supplier").write.partitionBy("supplier").json(f"{path}/b")
+    read = staged(files.parsed(files.binary(spark, path).where("kind = 'json'")), "read")
+    both = files.documents(read).join(files.quarantine(read).select("path", "stage"), "path", "left")
+    key = lambda i: F.regexp_extract("path", r"(region|supplier)=(\d+)", i)
+    return both.select(key(1).alias("kind"), key(2).cast("long").alias("key"), "stage", F.regexp_replace("text", "^# [^\n]*", "").alias("text"))

@@ -36,7 +36,7 @@ def test_files(spark, tmp_path):
     texts = {r["path"][-5:]: r["text"] for r in files.text(found.where("kind = 'txt'")).collect()}
     assert texts == {"a.txt": "云南", "b.txt": "plain"}
     words = {r["path"][-6:]: r["text"] for r in files.word_documents(found).collect()}
-    assert words == {"c.docx": "## Title\n\nText\n\n| a | b |\n| --- | --- |", "f.docx": ""}
+    assert words == {"c.docx": "# c\n\n## Title\nText\n| a | b |\n|---|---|", "f.docx": ""}
     assert [tuple(r)[1:] for r in files.spreadsheets(found).collect()] == [("Xi", 0, "Xi-第2行", "name: Wall\nlevel: 5A")]
 
 
