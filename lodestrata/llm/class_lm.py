@@ -6,7 +6,8 @@ bigrams most, again and again. The commonest words and the end are exchanged
 one after another, which gives the classes their shape; then all words that
 occur ``least`` times or more, in sweeps: their neighbours' classes are counted
 in Spark, and tasks find each word's best class against the counts of all
-classes, half of the words at a time, until few move. Rarer and unknown words
+classes, half of the words at a time, until a sweep gains
+little or moves few. Rarer and unknown words
 fall into classes by shape (first byte and length). A token costs
 
     log10 P(class | class before) + log10 P(token | class)
@@ -39,10 +40,12 @@ from .common import Words, byte_slices, list_column, map_arrow, stage, sum_blobs
 
 #: Sizes of the tables that are broadcast, and of the class model; words that are exchanged one after another, and sweeps over them.
 COMMON, CLUSTERED, CLASSES, SHAPES, SWEEPS = 1 << 18, 1024, 64, 64, 4
-#: Occurrences that a word needs to be exchanged; sweeps over all of them at most, and the share of moves that ends them.
-LEAST, ROUNDS, FEW_MOVES = 4, 3, 0.01
+#: Occurrences that a word needs to be exchanged; what ends the sweeps over all of them: the likelihood gained a token, the share of moves; sweeps at most.
+LEAST, SMALL_GAIN, FEW_MOVES, ROUNDS = 4, 0.02, 0.01, 12
 #: Added to counts: of tokens in the base model, of words in their class; share of the class frequency in a transition.
 BASE_ADD, EMIT_ADD, BACKOFF = 0.1, 0.1, 0.02
+#: Class counts of words whose gains are computed at once.
+ENTRIES = 1 << 14
 #: Distinct words that a task adds up before it sends them on.
 HELD = 1 << 20
 
@@ -291,6 +294,60 @@ def contexts(tokens: DataFrame, own: np.ndarray, wanted: np.ndarray) -> tuple[Da
     return rows.where("word >= 0"), joint
 
 
+def _xlogx(x: np.ndarray) -> np.ndarray:
+    return x * np.log(np.maximum(x, 1e-300))
+
+
+class _Gains:
+    """Class bigrams, and the class of most gain of many words at once."""
+
+    def __init__(self, joint: np.ndarray):
+        self.joint, self.logs = joint, _xlogx(joint)
+        self.rows, self.columns, self.diagonal = joint.sum(axis=1)[:CLASSES], joint.sum(axis=0)[:CLASSES], np.diagonal(joint)[:CLASSES]
+
+    def best(self, row: np.ndarray, side: np.ndarray, cls: np.ndarray, c: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """The class that raises the likelihood most for each of the words with classes ``own``, each taken out of its own class or shape.
+
+        Entries (``row``, ascending; ``side``, ``cls``, ``c``) are those of
+        ``contexts``; of the joint counts only those beside a word's classes
+        change, in every class by the word's own counts.
+        """
+        n, k = len(own), CLASSES + SHAPES
+        itself = np.bincount(row[side == 2], c[side == 2], n)
+        beside = side < 2
+        dense = np.bincount((row[beside] * 2 + side[beside]) * k + cls[beside], c[beside], n * 2 * k).reshape(n, 2, k)
+        classed = own < CLASSES
+        gain = np.zeros((n, CLASSES))
+        for s, (joint, logs) in enumerate(((self.joint, self.logs), (self.joint.T, self.logs.T))):
+            sel = np.flatnonzero(side == s)
+            at, near, times = row[sel], cls[sel], c[sel]
+            home, same, put = own[at], cls[sel] == own[at], classed[at]
+            counts, counts_logs = joint[:CLASSES, near].T.copy(), logs[:CLASSES, near].T.copy()
+            e, f, g = np.flatnonzero(same), np.flatnonzero(put), np.flatnonzero(same & put)
+            counts[e] -= dense[at[e], 1 - s, :CLASSES]
+            counts[f, home[f]] -= times[f]
+            counts[g, home[g]] += itself[at[g]]
+            counts_logs[e] = _xlogx(counts[e])
+            counts_logs[f, home[f]] = _xlogx(counts[f, home[f]])
+            counts += (times - itself[at] * same)[:, None]
+            if len(sel):
+                first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+                gain[at[first]] += np.add.reduceat(_xlogx(counts) - counts_logs, first)
+        word, each = np.arange(n), dense[:, :, :CLASSES].copy()
+        there = np.flatnonzero(classed)
+        each[there, :, own[there]] -= itself[there, None]
+        d = np.repeat(self.diagonal[None], n, axis=0)
+        d[there, own[there]] -= dense[there, 0, own[there]] + dense[there, 1, own[there]] - itself[there]
+        after, before = each[:, 0], each[:, 1]
+        gain += _xlogx(d + after + before + itself[:, None]) - _xlogx(d + after) - _xlogx(d + before) + _xlogx(d)
+        for total, s in ((self.rows, 0), (self.columns, 1)):
+            mine = dense[:, s].sum(axis=1)
+            rest = np.repeat(total[None], n, axis=0)
+            rest[there, own[there]] -= mine[there]
+            gain -= _xlogx(rest + mine[:, None]) - _xlogx(rest)
+        return np.argmax(gain[word], axis=1)
+
+
 def best_classes(rows: DataFrame, joint: np.ndarray, own: np.ndarray) -> DataFrame:
     """``word, best``: the class where each word of ``contexts`` raises the likelihood most, all else as it is."""
     k = CLASSES + SHAPES
@@ -298,62 +355,57 @@ def best_classes(rows: DataFrame, joint: np.ndarray, own: np.ndarray) -> DataFra
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         joint, own = shared.value
+        gains = _Gains(joint)
         for batch in batches:
             words, best = np.asarray(batch.column(0)), np.empty(batch.num_rows, np.int32)
-            for i in range(batch.num_rows):
-                item = batch.column(1)[i].values
-                side, cls, c = (np.asarray(item.field(j)) for j in range(3))
-                after, before = (np.bincount(cls[side == j], c[side == j], k) for j in (0, 1))
-                best[i] = _best(joint, after, before, float(c[side == 2].sum()), own[words[i]])
+            items = batch.column(1)
+            edge = np.asarray(items.offsets).astype(np.int64)
+            flat = items.flatten()
+            side, cls, c = (np.asarray(flat.field(j)) for j in range(3))
+            edge -= edge[0]
+            at = 0
+            while at < batch.num_rows:  # entries of at most ENTRIES at a time
+                stop = max(at + 1, int(np.searchsorted(edge, edge[at] + ENTRIES, "right")) - 1)
+                part = slice(edge[at], edge[stop])
+                row = np.repeat(np.arange(stop - at), np.diff(edge[at : stop + 1]))
+                best[at:stop] = gains.best(row, side[part].astype(np.int64), cls[part].astype(np.int64), c[part].astype(np.float64), own[words[at:stop]])
+                at = stop
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(best)], ["word", "best"])
 
     grouped = rows.groupBy("word").agg(F.collect_list(F.struct("side", "class", "c")).alias("items"))  # a word has at most 2 k + 1
     return map_arrow(grouped, run, "word long, best int")
 
 
-def _best(joint: np.ndarray, after: np.ndarray, before: np.ndarray, itself: float, own: int) -> int:
-    """The class of most gain for a word with classes ``after`` and ``before`` it, taken out of its ``own`` class or shape."""
-    xlogx = lambda x: np.where(x > 0, x * np.log(np.maximum(x, 1e-300)), 0.0)
-    r, c = after.copy(), before.copy()
-    r[own] -= itself
-    c[own] -= itself
-    j, jc, rows, columns = joint[:CLASSES].copy(), joint[:, :CLASSES].T.copy(), joint.sum(axis=1), joint.sum(axis=0)
-    j[:, own] -= before[:CLASSES]
-    jc[:, own] -= after[:CLASSES]
-    if own < CLASSES:
-        j[own] -= after
-        jc[own] -= before
-        j[own, own] += itself
-        jc[own, own] += itself
-    rows[own] -= after.sum()
-    columns[own] -= before.sum()
-    # only classes that stand beside the word change
-    a, b = np.flatnonzero(r), np.flatnonzero(c)
-    gain = (xlogx(j[:, a] + r[a]) - xlogx(j[:, a])).sum(axis=1) + (xlogx(jc[:, b] + c[b]) - xlogx(jc[:, b])).sum(axis=1)
-    d, rd, cd = np.diagonal(j), r[:CLASSES], c[:CLASSES]
-    gain += xlogx(d + rd + cd + itself) - xlogx(d + rd) - xlogx(d + cd) + xlogx(d)
-    rows, columns, out_n, in_n = rows[:CLASSES], columns[:CLASSES], after.sum(), before.sum()
-    gain -= xlogx(rows + out_n) - xlogx(rows) + xlogx(columns + in_n) - xlogx(columns)
-    return int(np.argmax(gain))
-
-
-def exchange(tokens: DataFrame, own: np.ndarray, exchanged: int, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
-    """(classes, class bigrams) after sweeps over the ``exchanged`` first words: first over those that are in shapes, then over halves of all, until few move."""
-    number = np.arange(len(own) - 1)
+def likelihood(joint: np.ndarray) -> float:
+    """The part of the log likelihood that the classes decide."""
+    return float(_xlogx(joint).sum() - _xlogx(joint.sum(axis=1)).sum() - _xlogx(joint.sum(axis=0)).sum())
+
+
+def exchange(tokens: DataFrame, own: np.ndarray, exchanged: int, rounds: int = ROUNDS, small: float = SMALL_GAIN) -> tuple[np.ndarray, np.ndarray]:
+    """(classes, class bigrams) after sweeps over the ``exchanged`` first words: first over those that are in shapes, then over halves of all.
+
+    The sweeps end when one has raised the likelihood by less than ``small`` a
+    token, or moved few words; ``rounds`` only bounds them.
+    """
+    number, last, before = np.arange(len(own) - 1), None, None
     for k in range(rounds):
         wanted = (number < exchanged) & ((own[:-1] >= CLASSES) if k == 0 else (number & 1 == k & 1))
         rows, joint = contexts(tokens, own, wanted)
+        now = likelihood(joint)
+        if k > 1 and now - last < small * joint.sum():  # words that move at once may overshoot
+            return (own, joint) if now >= last else before
+        last, before = now, (own, joint)
         moved = best_classes(rows, joint, own).toPandas()  # a number for each of at most COMMON words
         word, best = moved["word"].to_numpy(np.int64), moved["best"].to_numpy(np.int64)
         new = own[word] != best
         own = own.copy()
         own[word[new]] = best[new]
-        if k > 1 and new.sum() <= FEW_MOVES * max(1, len(word)):
+        if k > 0 and new.sum() <= FEW_MOVES * max(1, len(word)):
             break
     return own, contexts(tokens, own, number < 0)[1]
 
 
-def fit(docs: DataFrame, top, parts: int, least: int = LEAST, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
+def fit(docs: DataFrame, top, parts: int, least: int = LEAST, rounds: int = ROUNDS, small: float = SMALL_GAIN) -> tuple[np.ndarray, np.ndarray]:
     """(class of each word of ``top`` and of the end, class bigrams) of training ``docs(text)``; words that occur less than ``least`` times keep their shape."""
     hashes = top["word"].to_numpy(np.int64).view(np.uint64)
     first = cluster(bigrams(docs, hashes[:CLUSTERED], parts), CLUSTERED + 1)
@@ -361,10 +413,10 @@ def fit(docs: DataFrame, top, parts: int, least: int = LEAST, rounds: int = ROUN
     own = np.concatenate([CLASSES + top["shape"].to_numpy(np.int64), [first[CLUSTERED]]])
     own[:n] = first[:n]
     tokens = stage(numbered(docs, hashes), "numbered")  # texts are cut into words once for all sweeps
-    return exchange(tokens, own, int((top["c"].to_numpy() >= least).sum()), rounds)
+    return exchange(tokens, own, int((top["c"].to_numpy() >= least).sum()), rounds, small)
 
 
-def score(docs: DataFrame, training: Column, least: int = LEAST, rounds: int = ROUNDS) -> DataFrame:
+def score(docs: DataFrame, training: Column, least: int = LEAST, rounds: int = ROUNDS, small: float = SMALL_GAIN, common: int = COMMON) -> DataFrame:
     """``docs(doc_id, text)`` to ``doc_id, n_tokens, n_known, train_tokens, base_score, score``; learns from the rows where ``training`` holds."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -373,11 +425,11 @@ def score(docs: DataFrame, training: Column, least: int = LEAST, rounds: int = R
     counts = stage(word_counts(train), "words")
     n_docs, (n_words, n_distinct) = train.count(), counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     tokens, vocabulary = n_words + n_docs, n_distinct + (1 if n_docs else 0)
-    top = common_words(counts, COMMON).toPandas().sort_values(["c", "word"], ascending=[False, True])
+    top = common_words(counts, common).toPandas().sort_values(["c", "word"], ascending=[False, True])
     hashes = top["word"].to_numpy(np.int64).view(np.uint64)
     c_top = top["c"].to_numpy(np.float64)
 
-    own, joint = fit(train, top, parts, least, rounds)
+    own, joint = fit(train, top, parts, least, rounds, small)
     k = CLASSES + SHAPES
     share = (joint.sum(axis=0) + 1) / (joint.sum() + k)
     row = joint.sum(axis=1, keepdims=True)

@@ -111,3 +111,45 @@ def test_odd_rows(odd_docs, no_docs):
     assert class_lm.score(no_docs, F.lit(True)).count() == 0
     untrained = class_lm.score(odd_docs, F.lit(False)).collect()
     assert {r["train_tokens"] for r in untrained} == {0} and {r["n_known"] for r in untrained} == {0}
+
+
+def test_gains_equal_recounting_the_likelihood():
+    """The class chosen for a word is one where the likelihood, counted anew with the word moved there, is greatest."""
+    rng = np.random.default_rng(2)
+    k = class_lm.CLASSES + class_lm.SHAPES
+    own = np.concatenate([rng.integers(0, 6, 40), rng.integers(class_lm.CLASSES, k, 20)])
+    text = rng.choice(60, 900, p=rng.dirichlet(np.full(60, 0.5)))
+
+    def joint_of(classes):
+        return np.bincount(classes[text[:-1]] * k + classes[text[1:]], minlength=k * k).reshape(k, k).astype(float)
+
+    entries = []
+    for w in range(60):
+        after, before = text[1:][text[:-1] == w], text[:-1][text[1:] == w]
+        for side, other in ((0, after), (1, before)):
+            entries += [(w, side, c, n) for c, n in zip(*np.unique(own[other], return_counts=True))]
+        if (after == w).sum():
+            entries.append((w, 2, 0, (after == w).sum()))
+    row, side, cls, c = (np.array(x) for x in zip(*entries))
+    best = class_lm._Gains(joint_of(own)).best(row, side, cls, c.astype(float), own)
+    for w in range(60):
+        found = []
+        for to in range(class_lm.CLASSES):
+            moved = own.copy()
+            moved[w] = to
+            found.append(class_lm.likelihood(joint_of(moved)))
+        assert math.isclose(found[best[w]], max(found), rel_tol=1e-9)
+
+
+def test_sweeps_end_by_what_they_gain(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    df = spark.createDataFrame([(" ".join(f"{'xy'[k % 2]}{rng.integers(0, 700)}" for k in range(40)),) for _ in range(300)], "text string").repartition(3)
+    top = class_lm.common_words(class_lm.word_counts(df), class_lm.COMMON).toPandas().sort_values(["c", "word"], ascending=[False, True])
+    seen = []
+    monkeypatch.setattr(class_lm, "likelihood", lambda joint, f=class_lm.likelihood: seen.append((f(joint), joint)) or f(joint))
+    own, joint = class_lm.fit(df, top, 4)
+    assert 2 <= len(seen) < class_lm.ROUNDS
+    per_token = [x / j.sum() for x, j in seen]
+    gains = [b - a for a, b in zip(per_token, per_token[1:])]
+    assert all(g >= class_lm.SMALL_GAIN for g in gains[1:-1]) and joint.sum() == 300 * 41
+    assert per_token[0] < class_lm.likelihood(joint) / joint.sum() + 1e-9
