@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import chinese_number, col
+from .ordered import asof, previous
 
 #: Words of a day that was planned as a relaxed one, and the states of a proposal with those that each may follow.
 RELAXED = ("慢节奏", "赶景点", "景点资源较少", "以品尝本地小吃", "以当地美食与街巷", "以寻味探店", "美食与休闲", "街角漫步")
@@ -109,15 +110,10 @@ def refreshed(checks: DataFrame, versions: DataFrame) -> DataFrame:
 
     The version that a check sees is the greatest up to its time.
     """
-    both = checks.select("client", "ts", F.lit(None).cast("long").alias("version")).unionByName(versions.select(F.lit(None).cast("string").alias("client"), "ts", "version"))
-    stamped = both.withColumn("day", F.date_trunc("day", "ts"))
-    # the greatest version up to a time: within the day, and of the days before
-    in_day = Window.partitionBy("day").orderBy("ts", F.col("version").isNull()).rowsBetween(Window.unboundedPreceding, 0)
-    by_day = stamped.groupBy("day").agg(F.max("version").alias("v")).withColumn("before", F.max("v").over(Window.orderBy("day").rowsBetween(Window.unboundedPreceding, -1))).select("day", "before")
-    seen = stamped.withColumn("own", F.max("version").over(in_day)).join(by_day, "day").withColumn("seen", F.greatest("own", "before")).where("client is not null")
-    last = F.lag("seen").over(Window.partitionBy("client").orderBy("ts"))
-    first = F.row_number().over(Window.partitionBy("client").orderBy("ts")) == 1
-    return seen.select("client", "ts", "seen", (~first & (F.coalesce("seen", F.lit(-1)) > F.coalesce(last, F.lit(-1)))).alias("refresh"))
+    seen = asof(checks.select("client", "ts"), versions.select("ts", F.col("version").alias("seen")), "ts", "seen", greatest=True)
+    both = previous(seen, ["client"], ["ts"], ["seen"])
+    newer = F.col("before").isNotNull() & (F.coalesce("seen", F.lit(-1)) > F.coalesce("before.seen", F.lit(-1)))
+    return both.select("client", "ts", "seen", newer.alias("refresh"))
 
 
 def plan_markdown(days: DataFrame) -> DataFrame:
