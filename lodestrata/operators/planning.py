@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.places import haversine
 from ..functions.routing import generic_place, in_box
+from .mentions import mentions
 
 
 def split_days(pois: DataFrame, key: str, order: list, days: int) -> DataFrame:
@@ -56,7 +57,8 @@ def nearest_match(attractions: DataFrame, pois: DataFrame, most_m: float = 3000.
 
     Both sides are dealt by a grid of ``cell`` degrees, an attraction to its
     cell and those around it, so that distances are taken within neighbouring
-    cells; names are compared within ``city``.
+    cells; names pass an automaton of the other side's names, and meet within
+    ``city``.
     """
     grid = lambda c: F.floor(F.col(c) / cell)
     near = F.sequence(F.lit(-1), F.lit(1))
@@ -64,8 +66,13 @@ def nearest_match(attractions: DataFrame, pois: DataFrame, most_m: float = 3000.
     p = pois.select("poi_id", "poi_rank", F.col("name").alias("poi_name"), F.col("lat").alias("plat"), F.col("lng").alias("plng"), F.col("city").alias("pcity"), grid("lng").alias("gx"), grid("lat").alias("gy"))
     distance = haversine(F.col("lat"), F.col("lng"), F.col("plat"), F.col("plng"))
     by_place = a.join(p, ["gx", "gy"]).where(distance <= most_m).select("attraction_id", "poi_id", "poi_rank")
-    named = (F.col("name") != "") & (F.col("poi_name") != "") & (F.col("name").contains(F.col("poi_name")) | F.col("poi_name").contains(F.col("name")))
-    by_name = attractions.join(p, (F.col("city") == F.col("pcity")) & named).select("attraction_id", "poi_id", "poi_rank")
+    texts = lambda df: df.where("name <> ''").select(F.col("name").alias("doc_id"), F.col("name").alias("text")).distinct()
+    terms = lambda df: df.where("name <> ''").select(F.col("name").alias("term"))
+    inside = mentions(texts(attractions), terms(pois), maximal=False).select(F.col("doc_id").alias("name"), F.explode("terms").alias("poi_name"))
+    around = mentions(texts(pois), terms(attractions), maximal=False).select(F.explode("terms").alias("name"), F.col("doc_id").alias("poi_name"))
+    first = pois.where("name <> ''").groupBy(F.col("name").alias("poi_name"), "city").agg(F.min(F.struct("poi_rank", "poi_id")).alias("p"))
+    named = attractions.select("attraction_id", "name", "city").join(inside.union(around).distinct(), "name").join(first, ["poi_name", "city"])
+    by_name = named.select("attraction_id", "p.poi_id", "p.poi_rank")
     both = by_place.union(by_name)
     return both.groupBy("attraction_id").agg(F.min(F.struct("poi_rank", "poi_id")).alias("m")).select("attraction_id", F.col("m.poi_id").alias("poi_id"))
 

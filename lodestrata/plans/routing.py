@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import lexicon
+from ..functions import lexicon_values as V
 from ..functions import routing as R
 from ..operators import chunking, evaluation, mentions, planning, ranking
 from ..sources.store import staged
@@ -81,14 +83,14 @@ _monthday = lambda d: f"month({d}) || '月' || day({d}) || '日'"
 _ask = lambda name: f"regexp_matches(q, '{R.ASKS[name]}')"
 
 
-@query(f"""WITH s AS (SELECT turn, text AS q, DATE '{_NOW[:10]}' AS d FROM ({_SAID})), t AS (SELECT *, d + CAST({_offset(1)} AS INT) AS g, {_offset(2)} AS a FROM s)
-SELECT turn, CASE WHEN contains(q, '清明') THEN '清明节是二十四节气之一，一般落在公历4月4日至6日之间（' || year(d) || '年具体日期以日历为准）。'
+@query(f"""WITH s AS (SELECT conv_id, turn, text AS q, DATE '{_NOW[:10]}' AS d FROM ({_ALL})), t AS (SELECT *, d + CAST({_offset(1)} AS INT) AS g, {_offset(2)} AS a FROM s)
+SELECT conv_id, turn, CASE WHEN contains(q, '清明') THEN '清明节是二十四节气之一，一般落在公历4月4日至6日之间（' || year(d) || '年具体日期以日历为准）。'
   {" ".join(f"WHEN contains(q, '{n}') THEN year(d) || '年{n}是{m}月{k}日，' || {_weekday(f'make_date(year(d), {m}, {k})')} || '。'" for n, m, k in sorted(R.FESTIVALS, key=lambda f: -len(f[0])))}
   {" ".join(f"WHEN contains(q, '{n}') THEN '{n}是农历{x}，' || year(d) || '年对应的公历日期请以日历为准。'" for n, x in sorted(R.LUNAR, key=lambda f: -len(f[0])))}
   ELSE coalesce(nullif(CASE WHEN {_ask("date")} THEN a || '是' || year(g) || '年' || {_monthday("g")} || CASE WHEN {_ask("weekday")} THEN '，' || {_weekday("g")} ELSE '' END || '。' WHEN {_ask("weekday")} THEN a || '是' || {_weekday("g")} || '。' ELSE '' END
     || CASE WHEN {_ask("clock")} THEN '现在是{_NOW[11:16]}。' ELSE '' END, ''), '今天是' || year(d) || '年' || {_monthday("d")} || '，' || {_weekday("d")} || '。') END AS answer FROM t""")
 def date_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _said(spark).select("turn", R.date_answer("text", F.lit(_NOW).cast("timestamp")).alias("answer"))
+    return _all(spark, sf_dir).select("conv_id", "turn", R.date_answer("text", F.lit(_NOW).cast("timestamp")).alias("answer"))
 
 
 @query(f"""WITH d AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS d FROM orders)
@@ -205,3 +207,19 @@ def chunk_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations as documents of many chunks: the first five, cut at 400 characters."""
     chunks = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("part"), F.col("role").alias("title"), F.col("text").alias("content"))
     return chunking.context(chunks, first=5, most=400)
+
+
+#: Sentences of plans, which the given conversations lack.
+_PLANS = ("上午：前往鼓浪屿需乘轮渡", "游览西湖，参观灵隐寺附近", "前往周边的轮渡码头", "打卡环岛路骑行或散步，登上雷峰塔等", "漫步 Old Town 2, 抵达", "游玩交通与市内行程", "帮我订一间酒店", "能代订门票吗", "我想订票", "")
+_EVERY = f"SELECT conv_id, turn, text FROM conversations UNION ALL SELECT -2, turn, text FROM (VALUES {', '.join(f'({i}, {chr(39)}{s}{chr(39)})' for i, s in enumerate(_PLANS))}) v(turn, text)"
+_CUT = "".join("\\" + c if c in "[]()?/~" else c for c in V.CLAUSE_ENDS)
+
+
+@query(rf"""WITH s AS (SELECT conv_id, turn, coalesce(text, '') AS t FROM ({_EVERY})), r AS (SELECT conv_id, turn, t, regexp_extract_all(t, '{V.PLACE_AFTER}', 1) AS raw FROM s),
+b AS (SELECT conv_id, turn, t, list_distinct(list_filter(list_transform(raw, lambda x: trim(regexp_replace(regexp_replace(trim(x), '^(..[^{_CUT}]*)[{_CUT}].*$', '\1'), '{V.PLACE_TAIL}', ''))), lambda n: length(n) BETWEEN 2 AND 10 AND regexp_matches(n, '[\x{{4e00}}-\x{{9fa5}}]') AND NOT regexp_matches(n, '{V.NOT_A_PLACE}'))) AS places FROM r)
+SELECT conv_id, turn, array_to_string(list_sort(places), ',') AS places, regexp_matches(t, '{V.BOOKING}') AS booking FROM b""".replace("\\\\", "\\"))
+def places_and_bookings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places that sentences say one goes to, and whether they ask to book something."""
+    said = spark.createDataFrame(list(enumerate(_PLANS)), "turn long, text string").select(F.lit(-2).cast("long").alias("conv_id"), "turn", "text")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text").union(said)
+    return rows.select("conv_id", "turn", F.array_join(F.array_sort(lexicon.places_in("text")), ",").alias("places"), lexicon.booking("text").alias("booking"))

@@ -34,11 +34,18 @@ def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("user_id", F.unix_micros("w.start").alias("start_us"), "n")
 
 
-@query("""SELECT event_id, row_number() OVER (PARTITION BY user_id, epoch(ts)::BIGINT // 3600 ORDER BY ts, event_id) <= 2 AS accepted FROM events""")
+@query("""SELECT event_id, accepted FROM (SELECT event_id, row_number() OVER (PARTITION BY user_id, epoch(ts)::BIGINT // 3600 ORDER BY ts, event_id) <= 2 AS accepted, (epoch(ts)::BIGINT // 3600 + 1) * 3600 AS ends FROM events)
+WHERE NOT accepted OR ends < (SELECT epoch(max(ts)) - 86400 FROM events)""")
 def stream_rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    refused = S.drain(S.limited(_stream(spark, sf_dir), "user_id", 2, 3600, late=None), _folder(spark)).select("event_id", "accepted")
-    rest = table(spark, sf_dir, "events").join(refused, "event_id", "left_anti")
-    return refused.unionByName(rest.select("event_id", F.lit(True).alias("accepted")))
+    """Both outcomes from the stream: refusals at once, acceptances of the hours that the watermark, a day behind, has passed."""
+    return S.drain(S.limited(_stream(spark, sf_dir), "user_id", 2, 3600), _folder(spark)).select("event_id", "accepted")
+
+
+@query("""WITH o AS (SELECT event_id, CAST(user_id AS VARCHAR) AS key, ts, lag(event_type) OVER w AS kind, lag(ts) OVER w AS before FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
+SELECT event_id, key, coalesce(kind = 'click' AND epoch_us(ts) - epoch_us(before) <= 1800000000, false) AS pending FROM o WHERE (epoch_us(ts) // 1800000000 + 1) * 1800000 < (SELECT epoch_ms(max(ts)) - 3600000 FROM events)""")
+def stream_pending_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clicks set a mark that the user's next event takes within half an hour."""
+    return S.drain(S.pending_marks(_stream(spark, sf_dir), "user_id", F.col("event_type") == "click"), _folder(spark), timers=True)
 
 
 @query(None)
@@ -49,5 +56,5 @@ def stream_circuit_breaker(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT user_id, event_type, count(*) AS n FROM (SELECT DISTINCT user_id, event_type FROM events) GROUP BY ALL""")
 def stream_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = S.drain(S.once(_stream(spark, sf_dir), ["user_id", "event_type"], "3650 days"), _folder(spark))
+    out = S.drain(S.once(_stream(spark, sf_dir), ["user_id", "event_type"], "7 days"), _folder(spark))
     return out.groupBy("user_id", "event_type").agg(F.count("*").alias("n"))

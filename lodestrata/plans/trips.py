@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import places
-from ..operators import planning
+from ..operators import budgets, planning
 from .registry import query, table
 
 
@@ -141,3 +141,32 @@ def places_with_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderstatus")
     hits, others = rows.where("o_orderstatus = 'F'").drop("o_orderstatus"), rows.where("o_orderstatus <> 'F'").drop("o_orderstatus")
     return planning.capped_union(hits, others, "o_custkey", ["o_orderkey"])
+
+
+_MONEY = lambda x: f"CASE WHEN abs({x} - round({x})) < 0.05 THEN printf('%.0f', {x}) ELSE printf('%.1f', {x}) END"
+
+
+@query(f"""WITH l AS (SELECT l_orderkey AS k, count(*) AS n, CASE WHEN l_orderkey % 3 <> 0 THEN floor(max(l_extendedprice) / 100) END AS hotel, CASE WHEN l_orderkey % 5 <> 0 THEN floor(min(l_extendedprice) / 100) + 0.5 END AS meal,
+  CASE l_orderkey % 4 WHEN 0 THEN 'fly' WHEN 1 THEN 'rail' WHEN 2 THEN 'drive' END AS way, CASE WHEN l_orderkey % 7 <> 0 THEN floor(sum(l_quantity)) END AS fare, CASE WHEN l_orderkey % 11 <> 0 THEN floor(sum(l_quantity) * 2) END AS fuel, l_orderkey % 8 = 3 AS rail FROM lineitem GROUP BY l_orderkey),
+t AS (SELECT o_orderkey, greatest(1, least(30, coalesce(n * (o_orderkey % 9), 0))) AS d0, coalesce(n * (o_orderkey % 9), 0) AS raw, hotel, meal, way, fare, fuel, coalesce(rail, false) AS rail FROM orders LEFT JOIN l ON k = o_orderkey),
+u AS (SELECT *, CAST(CASE WHEN raw = 0 THEN 2 ELSE d0 END AS INT) AS days, coalesce(hotel > 0, false) AS hh, coalesce(meal > 0, false) AS hm FROM t),
+v AS (SELECT *, greatest(1, days - 1) AS nights, CAST(CASE WHEN hh THEN hotel ELSE 400 END AS DOUBLE) AS night, CAST(CASE WHEN hm THEN meal ELSE 60 END AS DOUBLE) AS bite FROM u),
+w AS (SELECT *, night * nights AS stay, bite * 3 * days AS food FROM v)
+SELECT o_orderkey, days, nights, stay + food AS total, '花销估算（人均，按 ' || days || ' 天 ' || nights || ' 晚计，来源逐项标注）：' || chr(10) || '- 交通：' ||
+  CASE WHEN way = 'fly' THEN '机票价格随航司与购票时间浮动，请以航空公司/购票平台实际报价为准' WHEN (way = 'rail' OR way IS NULL AND rail) AND fare > 0 THEN '二等座约 ' || {_MONEY("fare")} || ' 元（单程人均）' WHEN way = 'rail' OR way IS NULL AND rail THEN '班次与票价请以 12306 官方为准'
+    WHEN way = 'drive' AND fuel <> 0 THEN '油费约 ' || {_MONEY("fuel")} || ' 元（按高德全程距离与百公里油耗/油价估算，过路费与停车费另计）' WHEN way = 'drive' THEN '自驾费用请以地图导航与加油站实际为准' WHEN fare > 0 THEN '二等座约 ' || {_MONEY("fare")} || ' 元（单程人均）'
+    WHEN fuel <> 0 THEN '油费约 ' || {_MONEY("fuel")} || ' 元（估算，过路费另计）' ELSE '交通费用请以 12306 / 航司 / 购票平台为准' END ||
+  chr(10) || '- 住宿：人均约 ' || {_MONEY("night")} || ' 元/晚 × ' || nights || ' 晚 ≈ ' || {_MONEY("stay")} || ' 元' || CASE WHEN hh THEN '' ELSE '（预估：按默认单价×住宿晚数，实际以预订为准）' END ||
+  chr(10) || '- 餐饮：人均约 ' || {_MONEY("bite")} || ' 元/餐 × 3 餐 × ' || days || ' 天 ≈ ' || {_MONEY("food")} || ' 元' || CASE WHEN hm THEN '（预估：当地人均单餐来自高德 POI）' ELSE '（预估：按默认单餐单价，实际以消费为准）' END ||
+  chr(10) || '- 门票：各景区票价差异较大，请以景区实际收费为准' || chr(10) || '- 其他：购物、娱乐等按个人实际消费计算' || chr(10) || '合计（人均，不含门票与购物）：约 ' || {_MONEY("(stay + food)")} || ' 元' AS text FROM w""")
+def budget_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Estimates with transport, stay and meals, as users read them."""
+    lines, orders, k = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders"), F.col("l_orderkey")
+    units = lines.groupBy("l_orderkey").agg(F.count("*").alias("n"), F.max("l_extendedprice").alias("most"), F.min("l_extendedprice").alias("least"), F.sum("l_quantity").alias("q"))
+    trips = orders.join(units, orders.o_orderkey == units.l_orderkey, "left")
+    days = F.coalesce((F.col("n") * (F.col("o_orderkey") % 9)).cast("int"), F.lit(0))
+    hotel, meal = F.when(k % 3 != 0, F.floor(F.col("most") / 100).cast("double")), F.when(k % 5 != 0, F.floor(F.col("least") / 100) + 0.5)
+    way = F.when(k % 4 == 0, "fly").when(k % 4 == 1, "rail").when(k % 4 == 2, "drive")
+    fare, fuel = F.when(k % 7 != 0, F.floor("q").cast("double")), F.when(k % 11 != 0, F.floor(F.col("q") * 2).cast("double"))
+    made = trips.select("o_orderkey", budgets.estimate(days, hotel, meal, way, F.lit("二等座"), fare, fuel, k % 8 == 3).alias("b"))
+    return made.select("o_orderkey", "b.days", "b.nights", "b.total", "b.text")

@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
 
 def read_files(spark: SparkSession, path: str, schema, files_per_trigger: int = 1) -> DataFrame:
@@ -22,7 +24,7 @@ def window_counts(events: DataFrame, key: str, width: str = "1 hour", slide: str
 
 
 def sessions(events: DataFrame, key: str, gap: str = "30 minutes", late: str = "1 day") -> DataFrame:
-    """Sessions that end after a gap: the life of a pending mark with a timeout."""
+    """Sessions that end after a gap."""
     return events.withWatermark("ts", late).groupBy(F.session_window("ts", gap).alias("w"), key).agg(F.count("*").alias("n"))
 
 
@@ -97,8 +99,84 @@ def breaker(calls: DataFrame, key: str, failures: int = 5, pause: int = 60) -> D
     return rows.groupBy("key").applyInPandasWithState(step, "event_id long, key string, state string", "run int, opened long", "append", GroupStateTimeout.NoTimeout)
 
 
-def drain(stream: DataFrame, path: str, mode: str = "append") -> DataFrame:
-    """Run a stream over what there is, into Parquet files below ``path``, and read them."""
+class _Marks(StatefulProcessor):
+    """A mark that a row sets, and the next row of its key takes if it comes in time.
+
+    Rows wait in the state until the watermark has passed the period of
+    ``seconds`` that they are in, and then go through in their order, so files
+    may come in any order. A mark that nothing takes is cleared by a timer.
+    """
+
+    def __init__(self, seconds: int):
+        self.life = seconds * 1_000_000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.rows = handle.getListState("rows", "us long, id long, sets boolean")
+        self.mark = handle.getValueState("mark", "us long")
+
+    def wake(self, us: int) -> None:
+        self.handle.registerTimer((us // self.life + 1) * self.life // 1000)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
+        new = [(r["us"], r["event_id"], r["sets"]) for r in rows]
+        self.rows.appendList(new)
+        for us in {us // self.life * self.life for us, _, _ in new}:
+            self.wake(us)
+        return iter(())
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:
+        now = expiredTimerInfo.getExpiryTimeInMs() * 1000
+        held = sorted(tuple(x) for x in self.rows.get()) if self.rows.exists() else []
+        due, later = [x for x in held if x[0] < now], [x for x in held if x[0] >= now]
+        mark = self.mark.get()[0] if self.mark.exists() else None
+        out = []
+        for us, ident, sets in due:
+            out.append(Row(event_id=ident, key=key[0], pending=mark is not None and us - mark <= self.life))
+            mark = us if sets else None
+        if due:
+            self.rows.put(later) if later else self.rows.clear()
+        if mark is None or mark + self.life < now:
+            self.mark.clear()
+        else:
+            self.mark.update((mark,))
+            self.wake(mark + self.life)
+        return iter(out)
+
+    def close(self) -> None:
+        pass
+
+
+def pending_marks(messages: DataFrame, key: str, sets: Column, seconds: int = 1800, late: str = "1 hour") -> DataFrame:
+    """``event_id, key, pending``: whether a message comes upon its key's mark, set by a message before it that ``sets`` holds for, at most ``seconds`` old.
+
+    The mark is used once: the next message takes it, in time or not, and may
+    set a new one. A message is given out when the watermark has passed its
+    period of ``seconds``; later rows than ``late`` are left out. The state of a
+    key is its rows since then and one mark.
+    """
+    rows = messages.where("ts IS NOT NULL").withWatermark("ts", late).select("event_id", "ts", F.unix_micros("ts").alias("us"), F.col(key).cast("string").alias("key"), F.coalesce(sets, F.lit(False)).alias("sets"))
+    return rows.groupBy("key").transformWithState(_Marks(seconds), "event_id long, key string, pending boolean", "append", "EventTime")
+
+
+#: The store that timers and lists need.
+_PROVIDER = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+def drain(stream: DataFrame, path: str, mode: str = "append", timers: bool = False) -> DataFrame:
+    """Run a stream over what there is, into Parquet files below ``path``, and read them; ``timers``: its state needs the store that has them."""
+    if not timers:
+        return _drained(stream, path, mode)
+    conf, (name, provider) = stream.sparkSession.conf, _PROVIDER
+    before = conf.get(name)
+    conf.set(name, provider)
+    try:
+        return _drained(stream, path, mode)
+    finally:
+        conf.set(name, before)
+
+
+def _drained(stream: DataFrame, path: str, mode: str) -> DataFrame:
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/state").trigger(availableNow=True)
     if mode == "append":
         query = writer.format("parquet").option("path", f"{path}/rows").start()

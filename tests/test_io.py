@@ -105,3 +105,20 @@ def test_revoke_takes_names_that_file_systems_dislike(spark, tmp_path):
         assert store.revoke(spark, path, "file", n) == (gone, left)
         assert sorted(r["file"] for r in spark.read.schema(rows.schema).parquet(path).collect()) == sorted(names[names.index(n) + 1 :])
     assert store.revoke(spark, path, "file", "../odd") == (0, 1)
+
+
+def test_marks_are_used_once_and_expire(spark, tmp_path):
+    """Over files whose times interleave, with a row that is too late, and again after a restart."""
+    sets = {1, 3, 5, 6, 9, 12}
+    files = [[(1, "a", "10:00"), (3, "a", "10:20"), (5, "b", "10:00")], [(2, "a", "10:10"), (6, "a", "11:10"), (4, "a", "10:30"), (8, "b", "10:31")], [(7, "a", "11:40"), (9, "a", "12:00"), (10, "b", "15:00")]]
+    write = lambda rows: spark.createDataFrame([(i, k, f"2024-01-01 {t}:00") for i, k, t in rows], "event_id long, k string, t string").select("event_id", "k", F.col("t").cast("timestamp").alias("ts")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    for rows in files[:2]:
+        write(rows)
+    schema = spark.read.parquet(str(tmp_path / "in")).schema
+    run = lambda: events.drain(events.pending_marks(events.read_files(spark, str(tmp_path / "in"), schema), "k", F.col("event_id").isin(*sets), 1800, "2 hours"), str(tmp_path / "out"), timers=True)
+    assert run().count() == 0  # the watermark is at 9:10
+    write(files[2])
+    want = {1: False, 2: True, 3: False, 4: True, 5: False, 8: False, 6: False, 7: True, 9: False}  # the mark of 5 has expired when 8 comes
+    assert {r["event_id"]: r["pending"] for r in run().collect()} == want
+    write([(11, "a", "12:10"), (12, "c", "20:00")])  # 11 is too late by then
+    assert {r["event_id"]: r["pending"] for r in run().collect()} == want | {10: False}
