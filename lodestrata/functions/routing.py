@@ -127,6 +127,11 @@ def date_question(text: Column | str) -> Column:
     return flag("date_word", text) & ~flag("activity", text) & (flag("date_anchor", text) | flag("clock", text) | flag("festival", text))
 
 
+def expands(question: Column | str, subjects: Column | str, short: int = 15) -> Column:
+    """Whether a question is searched by rewrites as well: it is not short, and no subject is confirmed."""
+    return (F.length(F.coalesce(col(question), F.lit(""))) >= short) & (F.coalesce(F.size(col(subjects)), F.lit(0)) <= 0)
+
+
 def transfer_question(text: Column | str) -> Column:
     """From a station or airport into town, without several days."""
     return flag("hub", text) & flag("downtown", text) & ~flag("several_days", text)

@@ -51,3 +51,20 @@ def inherited(messages: DataFrame, domain: str, back: int = 3) -> DataFrame:
     """``inherited_turn``: the latest of the ``back`` messages before each one that is in ``domain``."""
     w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(-back, -1)
     return messages.withColumn("inherited_turn", F.last(F.when(F.col("domain") == domain, F.col("turn")), ignorenulls=True).over(w))
+
+
+def prompt_history(messages: DataFrame, most: int = 160, answers: int | None = None) -> DataFrame:
+    """``conv_id, history``: a line of role, content and subjects for each of ``messages(conv_id, turn, role, text, rewritten_query, item_names)``, by turn.
+
+    A user's content is the rewritten question, others' their text; contents
+    are trimmed, cut after ``most`` characters and marked. ``answers`` is the
+    limit of those that are not the user's, larger where a question points
+    back at them (400).
+    """
+    user = F.coalesce(F.col("role") == "user", F.lit(False))
+    content = F.regexp_replace(F.coalesce(F.when(user, F.col("rewritten_query")).otherwise(F.col("text")), F.lit("")), r"(?U)^\s+|\s+$", "")
+    limit = F.when(user, F.lit(most)).otherwise(F.lit(answers or most))
+    short = F.when(F.length(content) > limit, F.concat(F.substr(content, F.lit(1), limit), F.lit(SHORTENED))).otherwise(content)
+    names = F.array_join(F.coalesce("item_names", F.array().cast("array<string>")), "、")
+    line = F.concat(F.lit("角色:"), F.coalesce("role", F.lit("")), F.lit(",内容:"), short, F.lit(",关联主体: "), names)
+    return messages.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", line.alias("line")))), lambda x: x["line"]), "\n").alias("history"))

@@ -72,6 +72,12 @@ def last_items(rows: DataFrame, key: str, order: str, value: str, n: int = 20) -
     return kept.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct(order, value))), lambda x: x[value]).alias("items"))
 
 
+def interests(rows: DataFrame, key: str, kind: str, value: str, order: list[str]) -> DataFrame:
+    """``key, kind, interests``: the distinct values of each key and kind, in the order in which they came; empty ones go."""
+    first = rows.where(F.coalesce(F.col(value), F.lit("")) != "").groupBy(key, kind, value).agg(F.min(F.struct(*order)).alias("first"))
+    return first.groupBy(key, kind).agg(F.transform(F.array_sort(F.collect_list(F.struct("first", value))), lambda x: x[value]).alias("interests"))
+
+
 def cached(calls: DataFrame, seconds: int) -> DataFrame:
     """``hit`` for each call ``(namespace, key, ts, call_id)``: whether a call of the same key was stored in the last ``seconds``; every miss stores anew.
 

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import routing
 from ..operators import evaluation, history, operations
+from ..sources.snapshots import Snapshots
+from ..sources.store import scratch
 from .registry import query, table
 
 
@@ -181,3 +186,40 @@ def retrieval_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), long_words("text").alias("found"))
     gold = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), long_words("text").alias("gold"))
     return evaluation.retrieval_metrics(found.join(gold, "id"))
+
+
+@query("""WITH m AS (SELECT conv_id, turn, role, CASE WHEN role = 'user' THEN replace(text, 'e', '?') ELSE text END AS t, role <> 'user' AS other, regexp_extract_all(text, '[A-Z][a-z]{8,}') AS names FROM conversations),
+c AS (SELECT conv_id, turn, role, names, regexp_replace(coalesce(t, ''), '^[\\s]+|[\\s]+$', '', 'g') AS t, CASE WHEN other THEN 400 ELSE 160 END AS most FROM m)
+SELECT conv_id, string_agg('角色:' || role || ',内容:' || CASE WHEN length(t) > most THEN substr(t, 1, most) || '…(已截断)' ELSE t END || ',关联主体: ' || array_to_string(names, '、'), chr(10) ORDER BY turn) AS history FROM c GROUP BY conv_id""")
+def prompt_histories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as a prompt has them, answers at the larger limit."""
+    rows = table(spark, sf_dir, "conversations").withColumns({"rewritten_query": F.replace("text", F.lit("e"), F.lit("?")), "item_names": F.regexp_extract_all("text", F.lit("([A-Z][a-z]{8,})"), F.lit(1))})
+    return history.prompt_history(rows, answers=400)
+
+
+@query("""SELECT conv_id, turn, length(coalesce(text, '')) >= 15 AND len(regexp_extract_all(coalesce(text, ''), '[A-Z][a-z]{8,}')) = 0 AS expands FROM conversations""")
+def expanded_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which messages would be searched by rewrites: not short, and without a subject."""
+    names = F.regexp_extract_all("text", F.lit("([A-Z][a-z]{8,})"), F.lit(1))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", routing.expands("text", names).alias("expands"))
+
+
+@query("""WITH f AS (SELECT user_id, event_type AS kind, CAST(floor(value / 20) AS INT)::VARCHAR AS v, min((ts, event_id)) AS first FROM events GROUP BY ALL)
+SELECT user_id, kind, list(v ORDER BY first) AS interests FROM f WHERE v <> '' GROUP BY user_id, kind""")
+def user_interests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").withColumns({"kind": F.col("event_type"), "v": F.floor(F.col("value") / 20).cast("int").cast("string")})
+    return operations.interests(rows, "user_id", "kind", "v", ["ts", "event_id"])
+
+
+@query("""SELECT 'chunks' AS name, source, count(*) AS n, false AS fresh FROM documents WHERE source <> 'src1' GROUP BY source UNION ALL SELECT 'chunks', 'src1', count(*), true FROM documents WHERE source = 'src1' AND n_chars > 500
+UNION ALL SELECT 'items', source, 1, false FROM documents WHERE source <> 'src1' GROUP BY source UNION ALL SELECT 'items', 'src1', 2, true""")
+def replaced_together(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks and items of one source replaced in one commit."""
+    docs = table(spark, sf_dir, "documents")
+    store = Snapshots(spark, f"{scratch(spark)}/snapshots-{uuid.uuid4().hex}")
+    chunks, items = docs.select("source", "doc_id"), docs.select("source").distinct()
+    store.commit({"chunks": chunks.withColumn("fresh", F.lit(False)), "items": items.withColumn("fresh", F.lit(False))})
+    new = docs.where("source = 'src1' AND n_chars > 500").select("source", "doc_id").withColumn("fresh", F.lit(True))
+    store.replace("source", "src1", {"chunks": new, "items": spark.createDataFrame([("src1", True), ("src1", True)], "source string, fresh boolean")})
+    count = lambda name: store.read(name).groupBy("source", "fresh").agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "source", "n", "fresh")
+    return count("chunks").unionByName(count("items"))
