@@ -57,18 +57,29 @@ def compact_blank_lines(text: Column | str) -> Column:
     return F.regexp_replace(col(text), "\n{3,}", "\n\n")
 
 
+def stripped(text: Column | str) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.regexp_replace(col(text), r"(?U)^\s+|\s+$", "")
+
+
+#: Marks of citation, lines that only say "picture", marks before and around a rewritten question, ends of names of places.
+CITATIONS = r"(?U)(?:\s*【(?:第\d+块|\d+)】)+"
+PICTURE_LINE = r"(?mdU)^\s*【?图片】?\s*$"
+NUMBERING = r"(?U)^\s*(?:\d+[.、)]|[-*•])\s*"
+QUOTES = "\"'“”‘’《》 "
+PLACE_ENDS = "(?:自治区|自治州|自治县|地区|省|市|县|区|盟|旗)+$"
+
+
 def clean_answer(text: Column | str) -> Column:
     """Answer text without citation marks and lone picture lines, lines right-trimmed, blank lines compacted."""
-    x = F.regexp_replace(newlines(text), r"\[\d+\]", "")
-    x = F.regexp_replace(x, r"(?m)^[ \t]*图片[ \t]*[:：]?[ \t]*$", "")
-    x = F.regexp_replace(x, r"(?m)[ \t]+$", "")
-    return F.trim(compact_blank_lines(x))
+    x = F.regexp_replace(F.regexp_replace(col(text), CITATIONS, ""), PICTURE_LINE, "")
+    return stripped(compact_blank_lines(F.regexp_replace(x, r"(?mdU)[^\S\n]+$", "")))
 
 
 def clean_rewrite(text: Column | str, most: int = 100) -> Column:
-    """One rewritten question: numbering, bullets and quotes stripped, at most ``most`` characters."""
-    x = F.regexp_replace(F.trim(col(text)), r"^\s*(?:\d+[.)、:：]|[-*•])\s*", "")
-    return F.substring(F.regexp_replace(x, "^[\"'“”‘’「」]+|[\"'“”‘’「」]+$", ""), 1, most)
+    """One rewritten question: numbering, bullets and quotes stripped, at most ``most`` characters; empty for null."""
+    x = F.regexp_replace(stripped(F.coalesce(col(text), F.lit(""))), NUMBERING, "")
+    return F.substring(stripped(F.regexp_replace(x, f"^[{QUOTES}]+|[{QUOTES}]+$", "")), 1, most)
 
 
 def masked(text: Column | str, words: tuple[str, ...] = ()) -> tuple[Column, dict[str, Column]]:
@@ -162,11 +173,12 @@ def json_object(text: Column | str) -> Column:
     return F.try_parse_json(bare)
 
 
-def place_tokens(name: Column | str) -> Column:
-    """A place name and the name without its administrative suffix, of two characters or more."""
-    n = col(name)
-    bare = F.regexp_replace(n, "(特别行政区|自治区|自治州|自治县|地区|省|市|区|县|镇|乡)+$", "")
-    return F.filter(F.array_distinct(F.array(n, F.when(bare == "", n).otherwise(bare))), lambda x: F.length(x) >= 2)
+def place_tokens(*names: Column | str) -> Column:
+    """The parts of place names and the parts without their administrative ends, each of two characters or more, distinct, in order."""
+    parts = F.flatten(F.array(*(F.split(F.coalesce(col(n), F.lit("")), r"(?U)[\s，,、]+", -1) for n in names)))
+    bare = lambda x: F.coalesce(F.nullif(F.regexp_replace(x, PLACE_ENDS, ""), F.lit("")), x)
+    long = F.filter(parts, lambda x: F.length(x) >= 2)
+    return F.array_distinct(F.filter(F.flatten(F.transform(long, lambda x: F.array(x, bare(x)))), lambda x: F.length(x) >= 2))
 
 
 def chinese_number(text: Column | str) -> Column:

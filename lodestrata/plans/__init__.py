@@ -1,3 +1,3 @@
 """Registered queries. Importing the package registers all of them."""
 
-from . import ingest, itineraries, routing, search, serving, streams, trips  # noqa: F401
+from . import ingest, itineraries, routing, rules, search, serving, streams, trips  # noqa: F401

@@ -27,7 +27,8 @@ def test_masks_follow_in_order(spark):
 def test_cleaning(spark):
     assert value(spark, text.newlines("t"), t="a\r\nb\rc") == "a\nb\nc"
     assert value(spark, text.clean_rewrite("t"), t='1. "where to go"') == "where to go"
-    assert value(spark, text.clean_answer("t"), t="a [1]  \n图片\n\n\n\nb") == "a\n\nb"
+    assert [value(spark, text.clean_rewrite("t"), t=t) for t in ("  - 《西湖》 ", "12、“怎么走” ", "3)x", "2024年", None, "a" * 120)] == ["西湖", "怎么走", "x", "2024年", "", "a" * 100]
+    assert value(spark, text.clean_answer("t"), t="a 【1】 【第2块】  \n 【图片】 \n\n\n\nb [1]\u3000\n") == "a\n\nb [1]"
     assert value(spark, text.compact_blank_lines("t"), t="a\n\n\n\nb") == "a\n\nb"
     assert value(spark, text.sentences("t"), t="One. Two! 三。four\nfive") == ["One.", "Two!", "三。", "four", "five"]
 
@@ -60,6 +61,7 @@ def test_numbers_and_places(spark):
     assert [value(spark, text.chinese_number("t"), t=t) for t in ("三", "十", "十二", "二十", "二十三", "两", "7", "x")] == [3, 10, 12, 20, 23, 2, 7, None]
     assert value(spark, text.place_tokens("t"), t="西安市") == ["西安市", "西安"]
     assert value(spark, text.place_tokens("t"), t="市") == []
+    assert value(spark, text.place_tokens("t"), t="内蒙古自治区 呼和浩特市、市区，云龙镇") == ["内蒙古自治区", "内蒙古", "呼和浩特市", "呼和浩特", "市区", "云龙镇"]
     assert value(spark, places.location("t"), t="120.1,30.2") == (120.1, 30.2)
     assert value(spark, places.location("t"), t="120.1") is None
     assert [value(spark, places.minutes("t"), t=t) for t in ("01:30", "26:05", "--", "3:70")] == [90, 1565, None, None]
