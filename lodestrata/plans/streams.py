@@ -50,7 +50,7 @@ def stream_pending_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(None)
 def stream_circuit_breaker(spark: SparkSession, sf_dir: str) -> DataFrame:
-    calls = _stream(spark, sf_dir).withColumn("ok", F.col("value") >= 20)
+    calls = _stream(spark, sf_dir).withColumn("ok", F.col("value") >= 60)
     return S.drain(S.breaker(calls, "event_type"), _folder(spark)).select("event_id", "key", "state")
 
 
