@@ -87,3 +87,14 @@ def test_heading_sections(spark):
         want |= {(page, i + 1, title, "\n".join(lines)) for i, (title, lines) in enumerate(found) if len(lines) > 1 or i + 1 == len(found)}
     got = {(r["doc_id"], r["part"], r["title"], r["content"]) for r in registry.QUERIES["heading_sections"](spark, SF).collect()}
     assert got == want
+
+
+def test_dictionary_words_come_first(spark):
+    from lodestrata.functions import text
+
+    rows = spark.createDataFrame([(1, "call Li Wei 13812345678 or Li, a@b.cn"), (2, None), (3, "Wei")], "id int, t string")
+    got = {r["id"]: r.asDict() for r in text.masked_rows(rows, "t", ("Li", "Li Wei")).collect()}
+    assert got[1] == {"id": 1, "t": "call 〔敏感词〕 〔手机号〕 or 〔敏感词〕, 〔邮箱〕", "n_dict_word": 2, "n_id_card": 0, "n_bank_card": 0, "n_phone": 1, "n_email": 1, "n_money": 0}
+    assert got[2]["t"] is None and got[2]["n_phone"] == 0 and got[3]["t"] == "Wei"
+    whole, hits = text.masked("t", ("Li", "Li Wei"))
+    assert rows.where("id = 1").select(whole).first()[0] == got[1]["t"]
