@@ -47,7 +47,9 @@ def places_verified(spark: SparkSession, sf_dir: str) -> DataFrame:
 n AS (SELECT *, row_number() OVER (PARTITION BY plan_id ORDER BY day, place) AS n FROM g)
 SELECT plan_id, day, string_agg(k, ',' ORDER BY place) AS points FROM n WHERE n <= 5 GROUP BY plan_id, day""")
 def plan_map_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("plan_id"), F.col("l_linenumber").alias("day"), F.col("l_extendedprice").alias("place"), F.col("l_partkey").cast("string").alias("name"), F.when(F.col("l_partkey") % 4 != 0, 1.0).alias("lng"), F.lit(1.0).alias("lat"))
+    """Points of one price follow in the order of the table; the SQL leaves their order open."""
+    place = F.struct("l_extendedprice", "_metadata.file_path", "_metadata.row_index")
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("plan_id"), F.col("l_linenumber").alias("day"), place.alias("place"), F.col("l_partkey").cast("string").alias("name"), F.when(F.col("l_partkey") % 4 != 0, 1.0).alias("lng"), F.lit(1.0).alias("lat"))
     return itinerary.map_points(rows, 5).withColumn("points", F.array_join(F.transform("points", lambda p: p["name"]), ","))
 
 

@@ -102,3 +102,11 @@ def test_days_are_cut_at_dates_where_there_are_no_titles(spark):
     assert got[2] == [(1, "行程", "no date at all")] and got[3] == [(1, "行程", "")]
     assert got[4] == [(1, "第1天", "第一天 a 2026-09-11 "), (2, "第2天", "第2天 b")]
     assert got[5] == [(1, "2026-09-12", "2026-09-12")]
+
+
+def test_points_of_one_price_keep_the_order_of_the_table(spark, tmp_path):
+    from lodestrata.plans import itineraries
+
+    lines = [(1, 1, 5.0, part) for part in (31, 9, 22, 17, 3, 1)] + [(1, 2, 1.0, 2)]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_extendedprice double, l_partkey long").coalesce(1).write.parquet(str(tmp_path / "lineitem.parquet"))
+    assert [tuple(r) for r in itineraries.plan_map_points(spark, str(tmp_path)).select("plan_id", "day", "points").collect()] == [(1, 1, "31,9,22,17,3")]
