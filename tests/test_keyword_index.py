@@ -88,3 +88,18 @@ def test_no_documents_and_no_questions(spark, tmp_path):
     docs = spark.createDataFrame([(1, "a b ccc")], "doc_id long, text string")
     asked = spark.createDataFrame([(1, "ccc")], "query_id long, text string")
     assert retrieval.bm25(docs.limit(0), asked).count() == 0 and retrieval.bm25(docs, asked.limit(0)).count() == 0
+
+
+def test_tasks_keep_the_best_of_each_question_alone(spark, tmp_path, monkeypatch):
+    """So what leaves them does not grow with questions times documents; more questions than are scored at once, and ids that come twice."""
+    monkeypatch.setattr(K, "SPAN", 16)
+    monkeypatch.setattr(K, "ASKED", 4)
+    docs, asked = made(6, 600)
+    have, queries = spark.createDataFrame(docs, "doc_id long, text string").repartition(4), spark.createDataFrame(asked, "query_id long, text string")
+    index = K.build(have, str(tmp_path / "five"))
+    terms = K.asked_terms(queries, index.weights)
+    weighted = terms.selectExpr("query_id", "term", "times * idf AS y", "avgdl")
+    got = K.products(index, weighted, 3)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert max(r["count"] for r in got.groupBy("query_id").count().collect()) <= 3 * parts < len(docs)
+    assert rows(K.best(got, 3)) == brute(docs, asked, 3)
