@@ -46,8 +46,8 @@ LEAST, SMALL_GAIN, FEW_MOVES, ROUNDS = 4, 0.02, 0.01, 12
 BASE_ADD, EMIT_ADD, BACKOFF = 0.1, 0.1, 0.02
 #: Class counts of words whose gains are computed at once.
 ENTRIES = 1 << 14
-#: Distinct words that a task adds up before it sends them on.
-HELD = 1 << 20
+#: Words or counts that a task holds before it adds them up and sends them on; sorting them takes several times their 8 bytes in each of an executor's workers.
+HELD = 1 << 19
 
 
 def _shape(words: Words) -> np.ndarray:
@@ -77,7 +77,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
                 words = Words(batch.column(0).slice(at, n))
                 held.append(words.hash)
                 shape.append(_shape(words).astype(np.int8))
-                if sum(map(len, held)) >= 4 * HELD:
+                if sum(map(len, held)) >= HELD:
                     yield flush()
         if held:
             yield flush()
@@ -278,7 +278,7 @@ def contexts(tokens: DataFrame, own: np.ndarray, wanted: np.ndarray) -> tuple[Da
                 self_ = right & (number == word_before)
                 held += [word_before[left] * (3 * k) + cls[left], number[right] * (3 * k) + k + before[right], number[self_] * (3 * k) + 2 * k]
                 size += sum(map(len, held[-3:]))
-                if size >= 8 * HELD:
+                if size >= 4 * HELD:
                     yield flush()
                     held, size = [], 0
         if held:
