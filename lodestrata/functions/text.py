@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -234,3 +235,19 @@ def repeated(terms: Column, text: Column | str, least: int = 2) -> Column:
     t = col(text)
     times = lambda w: (F.length(t) - F.length(F.replace(t, w, F.lit("")))) / F.length(w)
     return F.filter(terms, lambda w: (w != "") & (times(w) >= least))
+
+
+def again(text: Column | str, run: str) -> Column:
+    """The greatest runs of a kind of character that a text has twice or more, be it within other runs, sorted and distinct.
+
+    ``run`` matches greatest runs, so whatever equals one lies within one: a run
+    comes again if it is there twice, or is part of a longer one. Only those
+    there once are looked for, and only among the distinct runs.
+    """
+    runs = F.array_sort(F.regexp_extract_all(col(text), F.lit(f"({run})"), F.lit(1)))
+    return _let(runs, lambda r: _let(F.array_join(F.array_distinct(r), " "), lambda every: F.array_distinct(F.filter(r, lambda w, i: (F.get(r, i + 1) == w) | (F.get(r, i - 1) == w) | (F.length(every) - F.length(F.replace(every, w, F.lit(""))) >= 2 * F.length(w))))))
+
+
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then(value)`` with the value worked out once."""
+    return F.get(F.transform(F.array(value), then), 0)

@@ -1,3 +1,6 @@
+import random
+import re
+
 from pyspark.sql import functions as F
 
 from lodestrata.functions import places, text
@@ -110,3 +113,12 @@ def test_pictures_with_their_surroundings(spark):
     df = spark.createDataFrame([("abc ![x](p.png) def ![](q.jpg \"t\")",), ("none",), (None,)], "t string")
     got = df.select(text.image_contexts("t", 3).alias("i")).collect()
     assert [r["i"] and [tuple(x) for x in r["i"]] for r in got] == [[("p.png", "bc ", " de"), ("q.jpg", "ef ", "")], [], None]
+
+
+def test_runs_that_come_again(spark):
+    """As counting each in the whole text does, without going through the text for each."""
+    rng = random.Random(7)
+    texts = [" ".join("".join(rng.choice("ab") for _ in range(rng.choice([2, 3, 4, 7]))) + rng.choice(["", "X", "9", "é"]) for _ in range(40)) for _ in range(60)] + ["abc xabcx", "abcabc abc", "abc ab", "aaa aaaaaa", ""]
+    df = spark.createDataFrame([(t,) for t in texts] + [(None,)], "t string")
+    want = [sorted(w for w in set(re.findall("[a-z]{3,}", t)) if t.count(w) >= 2) for t in texts] + [None]
+    assert [r["x"] for r in df.select(text.again("t", "[a-z]{3,}").alias("x")).collect()] == want
