@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from ..sources.store import staged
 
 #: Pivots, vectors in a block, and blocks that a task fills at once.
-PIVOTS, BLOCK, OPEN = 32, 4096, 64
+PIVOTS, BLOCK, OPEN = 32, 4096, 16
 _BLOCK = "block long, grp string, cell int, n int, ids array<long>, data binary, centre array<double>, length double, radius double"
 
 

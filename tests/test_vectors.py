@@ -68,3 +68,10 @@ def test_nothing_to_search(spark):
     have, asked = frame(spark, clustered(1, 5), "vec_id"), frame(spark, clustered(2, 2), "query_id")
     assert vectors.nearest(have.limit(0), asked, 3).count() == 0 and vectors.nearest(have, asked.limit(0), 3).count() == 0
     assert vectors.nearest(have, asked, 9).count() == 10
+
+
+def test_what_a_task_holds_is_bounded():
+    """Vectors that wait to fill blocks, of 64 doubles each, take at most 40 MB of a worker."""
+    from lodestrata.operators import vectors
+
+    assert vectors.OPEN * vectors.BLOCK * 64 * 8 <= 40e6
