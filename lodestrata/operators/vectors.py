@@ -81,6 +81,16 @@ def blocks(rows: DataFrame, near: np.ndarray, size: int = BLOCK) -> DataFrame:
     return staged(kept.mapInArrow(run, _BLOCK), "vector-blocks")
 
 
+def few_tasks(rows: DataFrame, size: int = BLOCK) -> DataFrame:
+    """``rows`` read by no more tasks than there are cores, or than each may hold ``OPEN`` blocks of: a task leaves a block of each group and pivot that is not full, and their pairs grow with the square of the tasks."""
+    return rows.coalesce(max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // (OPEN * size))))
+
+
+def met_tasks(rows: DataFrame, size: int) -> DataFrame:
+    """``rows``, fewer and spread over all that is read, brought together so that each task holds about ``OPEN`` blocks."""
+    return rows.repartition(max(1, -(-rows.count() // (OPEN * size))))
+
+
 def bound(a: str, b: str) -> Column:
     """The largest product that a vector of block ``a`` and one of block ``b`` may have."""
     at = lambda t, c: F.col(f"{t}.{c}")
@@ -153,8 +163,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, top: int, at_least: float |
         vectors = vectors.join(allowed.select("vec_id").distinct(), "vec_id", "left_semi")
     spark = vectors.sparkSession
     near = pivots(vectors)
-    have = blocks(vectors.select(F.col("vec_id").alias("id"), "grp", "embedding"), near, size)
-    asked = blocks(queries.select(F.col("query_id").alias("id"), "grp", "embedding"), near, max(1, size // 4))
+    own = F.col("grp") if same else F.lit(None).cast("string")  # a query's group matters only where it must be the vector's
+    have = blocks(few_tasks(vectors.select(F.col("vec_id").alias("id"), "grp", "embedding"), size), near, size)
+    asked = blocks(met_tasks(queries.select(F.col("query_id").alias("id"), own.alias("grp"), "embedding"), max(1, size // 4)), near, max(1, size // 4))
     cells = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     least = float("-inf") if at_least is None else at_least
     if per_group or same or at_least is not None:

@@ -75,3 +75,15 @@ def test_what_a_task_holds_is_bounded():
     from lodestrata.operators import vectors
 
     assert vectors.OPEN * vectors.BLOCK * 64 * 8 <= 40e6
+
+
+def test_blocks_do_not_grow_with_the_parts_read(spark, monkeypatch):
+    """A table of many parts makes few blocks, and groups do not cut those of the queries, where any group's vectors are looked for."""
+    v, q, met = clustered(5, 900), clustered(6, 90), []
+    pairs = vectors.pairs
+    monkeypatch.setattr(vectors, "pairs", lambda asked, have, *a: met.append((asked.count(), have.count())) or pairs(asked, have, *a))
+    have, asked = frame(spark, v, "vec_id").repartition(60), frame(spark, q, "query_id", 1000).repartition(60)
+    got = vectors.nearest(have, asked, 1, at_least=0.5, per_group=True)
+    assert rows(got) == set().union(*(brute(v, q, 1, lambda i, k, g=g: k % 3 == g, 0.5) for g in range(3)))
+    (n_asked, n_have), cores = met[0], spark.sparkContext.defaultParallelism
+    assert n_asked <= vectors.PIVOTS and n_have <= 3 * vectors.PIVOTS * cores
