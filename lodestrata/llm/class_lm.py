@@ -16,8 +16,8 @@ with the transition interpolated with the frequency of the class and the
 emission smoothed by an added constant, unknown words included.
 
 The corpus is gathered in Spark: word counts by a grouped sum, class bigrams as
-matrices that tasks add up, the classes beside each word by a grouped sum, and
-the counts of rare words by a join, so nothing but tables of fixed size (at
+matrices that tasks add up, the classes beside each word by sums of a group of
+words at a time, and the counts of rare words by a join, so nothing but tables of fixed size (at
 most ``COMMON`` words, ``CLASSES`` and ``SHAPES``) reaches the driver.
 
 Rows: a null or empty text is the end token alone; repeated rows are learned
@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, byte_slices, list_column, map_arrow, stage, sum_blobs
+from .common import Words, byte_slices, map_arrow, stage, sum_blobs
 
 #: Sizes of the tables that are broadcast, and of the class model; words that are exchanged one after another, and sweeps over them.
 COMMON, CLUSTERED, CLASSES, SHAPES, SWEEPS = 1 << 18, 1024, 64, 64, 4
@@ -48,6 +48,8 @@ BASE_ADD, EMIT_ADD, BACKOFF = 0.1, 0.1, 0.02
 ENTRIES = 1 << 14
 #: Words or counts that a task holds before it adds them up and sends them on; sorting them takes several times their 8 bytes in each of an executor's workers.
 HELD = 1 << 19
+#: Groups that the words' counts are dealt into; commonest words that a task counts without sorting.
+GROUPS, OFTEN = 256, 2048
 
 
 def _shape(words: Words) -> np.ndarray:
@@ -230,7 +232,7 @@ def _classes_of(words: Words, number: np.ndarray, own: np.ndarray) -> tuple[np.n
 
 
 def numbered(docs: DataFrame, hashes: np.ndarray) -> DataFrame:
-    """``tokens`` of each text of ``docs``: numbers of common words, then of shapes, then of the end, which closes each list."""
+    """``tokens`` of texts of ``docs``, about a slice of them in a row, as 32-bit integers: numbers of common words, then of shapes, then of the end, which closes each text."""
     shared = docs.sparkSession.sparkContext.broadcast(hashes.tobytes())
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,32 +244,69 @@ def numbered(docs: DataFrame, hashes: np.ndarray) -> DataFrame:
                 number = table.find(words.hash)
                 inside = np.where(number >= 0, number, len(known) + _shape(words))
                 tokens = np.insert(inside, words.first[1:], len(known) + SHAPES).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([list_column(tokens, np.diff(words.first) + 1)], ["tokens"])
+                yield pa.RecordBatch.from_arrays([pa.array([tokens.tobytes()], pa.binary())], ["tokens"])
 
-    return map_arrow(docs.select("text"), run, "tokens array<int>")
+    return map_arrow(docs.select("text"), run, "tokens binary")
 
 
-def contexts(tokens: DataFrame, own: np.ndarray, wanted: np.ndarray) -> tuple[DataFrame, np.ndarray]:
-    """(``word, side, class, c``, class bigrams) of ``numbered`` tokens under the classes ``own``.
+#: What is counted of a word: the classes after it, those before it, and itself after itself.
+WIDTH = 2 * (CLASSES + SHAPES) + 1
+
+
+def _cells(word: np.ndarray, words: int) -> np.ndarray:
+    """First cell of each word's counts: pairs of words are dealt over groups in turn, and a group's cells are in a row."""
+    return (word // 2 % GROUPS * _held_by_group(words) + word // 2 // GROUPS * 2 + word % 2) * WIDTH
+
+
+def _held_by_group(words: int) -> int:
+    """Words of a group at most."""
+    return -(-words // (2 * GROUPS)) * 2
+
 
-    ``side`` 0 counts the classes after each of the ``wanted`` words, 1 those
-    before it, 2 the word after itself. The bigrams of all classes come as rows
-    of word -1 and are summed here.
+def _packed(cell: np.ndarray, c: np.ndarray, words: int) -> Iterator[pa.RecordBatch]:
+    """``grp, cells, counts`` of ascending cells: a row for each group, its cells as steps from one to the next."""
+    size = _held_by_group(words) * WIDTH
+    group = np.unique(cell // size)
+    edge = np.append(np.searchsorted(cell, group * size), len(cell))
+    steps = [np.diff(cell[a:b].astype(np.int64) - g * size, prepend=0).astype(np.uint32).tobytes() for g, a, b in zip(group.tolist(), edge, edge[1:])]
+    if len(group):
+        kind = np.int64 if int(c.max()) >> 32 else np.uint32
+        counts = [c[a:b].astype(kind).tobytes() for a, b in zip(edge, edge[1:])]
+        yield pa.RecordBatch.from_arrays([pa.array(group.astype(np.int32)), pa.array(steps, pa.binary()), pa.array(counts, pa.binary())], ["grp", "cells", "counts"])
+
+
+def _unpacked(steps: pa.Scalar, counts: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
+    """(cells within the group, counts) of a row of ``_packed``."""
+    cell = np.cumsum(np.frombuffer(steps.as_buffer(), np.uint32).astype(np.int64))
+    raw = counts.as_buffer()
+    return cell, np.frombuffer(raw, np.uint32 if raw.size == 4 * len(cell) else np.int64).astype(np.int64)
+
+
+def contexts(tokens: DataFrame, own: np.ndarray, wanted: np.ndarray) -> tuple[DataFrame, np.ndarray]:
+    """(``grp, cells, counts``, class bigrams) of ``numbered`` tokens under the classes ``own``.
+
+    The classes after and before each of the ``wanted`` words and the word after
+    itself are counted in cells. A task counts the commonest words in an array
+    and sorts the others' cells; the cells of a group of words travel as one
+    row, and where they meet they are added up in an array of fixed size.
+    Classes are counted as words after the last one, by the class that follows,
+    and summed here.
     """
-    k = CLASSES + SHAPES
+    k, words = CLASSES + SHAPES, len(own) - 1 + CLASSES + SHAPES
     every = np.concatenate([own[:-1], CLASSES + np.arange(SHAPES), own[-1:]])
     shared = tokens.sparkSession.sparkContext.broadcast((every, np.concatenate([wanted, np.zeros(SHAPES + 1, bool)])))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, wanted = shared.value
-        end, total, held, size = len(own) - 1, np.zeros(k * k, np.int64), [], 0
-
-        def flush() -> pa.RecordBatch:
-            key, c = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(key // (3 * k)), pa.array((key // k % 3).astype(np.int32)), pa.array((key % k).astype(np.int32)), pa.array(c)], ["word", "side", "class", "c"])
-
+        cells = _cells(np.arange(words), words)
+        cells = cells.astype(np.min_scalar_type(int(cells.max()) + WIDTH))
+        total, often = np.zeros(k * k, np.int64), np.zeros(OFTEN * WIDTH, np.int64)
+        held: list[np.ndarray] = []
+        last = len(own) - 1
         for batch in batches:
-            flat, last = np.asarray(batch.column(0).flatten()).astype(np.int64), end
+            column = batch.column(0)
+            edge = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+            flat = np.frombuffer(column.buffers()[2], np.uint8)[edge[0] : edge[-1]].view(np.int32) if len(column) else np.zeros(0, np.int32)
             for at in range(0, len(flat), HELD):
                 number = flat[at : at + HELD]
                 word_before = np.concatenate([[last], number[:-1]])
@@ -275,23 +314,64 @@ def contexts(tokens: DataFrame, own: np.ndarray, wanted: np.ndarray) -> tuple[Da
                 cls, before = own[number], own[word_before]
                 total += np.bincount(before * k + cls, minlength=k * k)
                 left, right = wanted[word_before], wanted[number]
-                self_ = right & (number == word_before)
-                held += [word_before[left] * (3 * k) + cls[left], number[right] * (3 * k) + k + before[right], number[self_] * (3 * k) + 2 * k]
-                size += sum(map(len, held[-3:]))
-                if size >= 4 * HELD:
-                    yield flush()
-                    held, size = [], 0
-        if held:
-            yield flush()
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), -1)), pa.array((at // k).astype(np.int32)), pa.array((at % k).astype(np.int32)), pa.array(total[at])], ["word", "side", "class", "c"])
+                itself = number[right & (number == word_before)]
+                word = np.concatenate([word_before[left], number[right], itself])
+                slot = np.concatenate([cls[left], k + before[right], np.full(len(itself), 2 * k)])
+                common = word < OFTEN
+                often += np.bincount(word[common] * WIDTH + slot[common], minlength=len(often))
+                held.append(cells[word[~common]] + slot[~common].astype(cells.dtype))
+                if sum(map(len, held)) >= 4 * HELD:
+                    cell, c = np.unique(np.concatenate(held), return_counts=True)
+                    held.clear()
+                    yield from _packed(cell, c, words)
+        if total.any():
+            cell, c = np.unique(np.concatenate([*held, cells[:0]]), return_counts=True)
+            at, pair = np.flatnonzero(often), np.flatnonzero(total)
+            cell = np.concatenate([cell, cells[at // WIDTH] + (at % WIDTH).astype(cells.dtype), cells[len(own) - 1 - SHAPES + pair // k] + (pair % k).astype(cells.dtype)])
+            c = np.concatenate([c, often[at], total[pair]])
+            order = np.argsort(cell)
+            yield from _packed(cell[order], c[order], words)
+
+    size = _held_by_group(words) * WIDTH
+    first = words - k  # the number of the first class
+
+    def add(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, held = None, np.zeros(size, np.int64)
+
+        def summed() -> Iterator[pa.RecordBatch]:
+            at = np.flatnonzero(held)
+            local = at // WIDTH
+            classed = (local // 2 * GROUPS + group) * 2 + local % 2 >= first
+            for joint in (False, True):
+                own = at[classed == joint]
+                for made in _packed(own + group * size, held[own], words):
+                    yield pa.RecordBatch.from_arrays([*made.columns, pa.array([joint])], ["grp", "cells", "counts", "joint"])
 
-    rows = map_arrow(tokens, run, "word long, side int, class int, c long").groupBy("word", "side", "class").agg(F.sum("c").alias("c"))
-    rows = stage(rows, "contexts")
+        for batch in batches:
+            for g, steps, counts in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+                if g != group and group is not None:
+                    yield from summed()
+                    held[:] = 0
+                group = g
+                cell, c = _unpacked(steps, counts)
+                held[cell] += c
+        if group is not None:
+            yield from summed()
+
+    counted = map_arrow(tokens, run, "grp int, cells binary, counts binary").repartition("grp").sortWithinPartitions("grp")
+    rows = stage(map_arrow(counted, add, "grp int, cells binary, counts binary, joint boolean"), "contexts")
     joint = np.zeros((k, k))
-    for r in rows.where("word = -1").collect():  # a row per pair of classes
-        joint[r["side"], r["class"]] = r["c"]
-    return rows.where("word >= 0"), joint
+    for r in rows.where("joint").collect():  # at most a row per class
+        word, slot, c = _entries(r["grp"], *(pa.scalar(bytes(r[x]), pa.binary()) for x in ("cells", "counts")))
+        joint[word - first, slot] = c
+    return rows.where("not joint").select("grp", "cells", "counts"), joint
+
+
+def _entries(group: int, steps: pa.Scalar, counts: pa.Scalar) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(word, what is counted of it, count), ascending, of a row of ``contexts``."""
+    cell, c = _unpacked(steps, counts)
+    local = cell // WIDTH
+    return (local // 2 * GROUPS + group) * 2 + local % 2, cell % WIDTH, c
 
 
 def _xlogx(x: np.ndarray) -> np.ndarray:
@@ -350,30 +430,28 @@ class _Gains:
 
 def best_classes(rows: DataFrame, joint: np.ndarray, own: np.ndarray) -> DataFrame:
     """``word, best``: the class where each word of ``contexts`` raises the likelihood most, all else as it is."""
-    k = CLASSES + SHAPES
-    shared = rows.sparkSession.sparkContext.broadcast((joint, own))
+    k, sc = CLASSES + SHAPES, rows.sparkSession.sparkContext
+    shared = sc.broadcast((joint, own))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         joint, own = shared.value
         gains = _Gains(joint)
         for batch in batches:
-            words, best = np.asarray(batch.column(0)), np.empty(batch.num_rows, np.int32)
-            items = batch.column(1)
-            edge = np.asarray(items.offsets).astype(np.int64)
-            flat = items.flatten()
-            side, cls, c = (np.asarray(flat.field(j)) for j in range(3))
-            edge -= edge[0]
-            at = 0
-            while at < batch.num_rows:  # entries of at most ENTRIES at a time
-                stop = max(at + 1, int(np.searchsorted(edge, edge[at] + ENTRIES, "right")) - 1)
-                part = slice(edge[at], edge[stop])
-                row = np.repeat(np.arange(stop - at), np.diff(edge[at : stop + 1]))
-                best[at:stop] = gains.best(row, side[part].astype(np.int64), cls[part].astype(np.int64), c[part].astype(np.float64), own[words[at:stop]])
-                at = stop
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(best)], ["word", "best"])
-
-    grouped = rows.groupBy("word").agg(F.collect_list(F.struct("side", "class", "c")).alias("items"))  # a word has at most 2 k + 1
-    return map_arrow(grouped, run, "word long, best int")
+            for group, steps, counts in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+                word, slot, c = _entries(group, steps, counts)
+                words, first = np.unique(word, return_index=True)
+                edge = np.append(first, len(word))
+                best = np.empty(len(words), np.int32)
+                at = 0
+                while at < len(words):  # entries of at most ENTRIES at a time
+                    stop = max(at + 1, int(np.searchsorted(edge, edge[at] + ENTRIES, "right")) - 1)
+                    part = slice(edge[at], edge[stop])
+                    row = np.repeat(np.arange(stop - at), np.diff(edge[at : stop + 1]))
+                    best[at:stop] = gains.best(row, slot[part] // k, slot[part] % k, c[part].astype(np.float64), own[words[at:stop]])
+                    at = stop
+                yield pa.RecordBatch.from_arrays([pa.array(words), pa.array(best)], ["word", "best"])
+
+    return map_arrow(rows.repartition(min(GROUPS, 4 * sc.defaultParallelism), "grp"), run, "word long, best int")
 
 
 def likelihood(joint: np.ndarray) -> float:

@@ -153,3 +153,32 @@ def test_sweeps_end_by_what_they_gain(spark, monkeypatch):
     gains = [b - a for a, b in zip(per_token, per_token[1:])]
     assert all(g >= class_lm.SMALL_GAIN for g in gains[1:-1]) and joint.sum() == 300 * 41
     assert per_token[0] < class_lm.likelihood(joint) / joint.sum() + 1e-9
+
+
+def test_contexts_are_counted_by_groups_of_words(spark):
+    """A row for each group of words at most, and the counts are those of a plain pass, more than a task holds at once included."""
+    rng = np.random.default_rng(8)
+    k, known = class_lm.CLASSES + class_lm.SHAPES, 3000
+    own = np.concatenate([rng.integers(0, k, known), [3]])
+    texts = [rng.integers(0, known + class_lm.SHAPES, n).tolist() + [known + class_lm.SHAPES] for n in (3_000_000, 0, 1, 500)]
+    texts[3][10:13] = [2999, 2999, 2999]
+    texts[3][20:22] = [5, 5]
+    df = spark.createDataFrame([(np.array(t, np.int32).tobytes(),) for t in texts], "tokens binary").coalesce(1)
+    wanted = np.arange(known) % 3 == 2
+    rows, joint = class_lm.contexts(df, own, wanted)
+    rows = rows.collect()
+    assert len(rows) == len({r["grp"] for r in rows}) <= class_lm.GROUPS
+    got = np.zeros((known, class_lm.WIDTH), np.int64)
+    for r in rows:
+        word, slot, c = class_lm._entries(r["grp"], pa.scalar(bytes(r["cells"]), pa.binary()), pa.scalar(bytes(r["counts"]), pa.binary()))
+        got[word, slot] += c
+    every, plain, pairs = np.concatenate([own[:-1], class_lm.CLASSES + np.arange(class_lm.SHAPES), own[-1:]]), np.zeros_like(got), np.zeros((k, k))
+    for t in texts:
+        b = np.array(t)
+        a = np.concatenate([[known + class_lm.SHAPES], b[:-1]])
+        np.add.at(pairs, (every[a], every[b]), 1)
+        left, right = [(x < known) & (x % 3 == 2) for x in (a, b)]
+        np.add.at(plain, (a[left], every[b[left]]), 1)
+        np.add.at(plain, (b[right], k + every[a[right]]), 1)
+        np.add.at(plain, (b[right & (a == b)], 2 * k), 1)
+    assert (got == plain).all() and (joint == pairs).all() and got[2999, 2 * k] and got[5, 2 * k]
