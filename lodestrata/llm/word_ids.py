@@ -19,7 +19,7 @@ import pyarrow as pa
 from .common import Words, ragged
 
 #: Words that a worker remembers; beyond, those it has met only once are forgotten, or all.
-REMEMBERED = 800_000
+REMEMBERED = 440_000
 
 
 def _room(x: np.ndarray, n: int) -> np.ndarray:
@@ -95,7 +95,7 @@ class Encoder:
         self.rehash(1 << 18)
 
     def rehash(self, size: int) -> None:
-        self.keys, self.slots = np.zeros(size, np.uint64), np.full(size, -1, np.int32)
+        self.slots = np.full(size, -1, np.int32)
         self.place(np.arange(self.words))
 
     def place(self, numbers: np.ndarray) -> None:
@@ -106,7 +106,6 @@ class Encoder:
             free = self.slots[at] < 0
             self.slots[at[free]] = numbers[free]
             won = self.slots[at] == numbers  # of several for one place, one has it
-            self.keys[at[won]] = self.hash[numbers[won]]
             numbers, at = numbers[~won], (at[~won] + 1) & mask
 
     def find(self, h: np.ndarray) -> np.ndarray:
@@ -114,13 +113,13 @@ class Encoder:
         mask = len(self.slots) - 1
         at = (h >> np.uint64(20)).astype(np.int64) & mask
         out = self.slots[at]
-        other = np.flatnonzero((out >= 0) & (self.keys[at] != h))
+        other = np.flatnonzero((out >= 0) & (self.hash[out] != h))
         at = at[other]
         while len(other):
             at = (at + 1) & mask
             found = self.slots[at]
             out[other] = found
-            on = (found >= 0) & (self.keys[at] != h[other])
+            on = (found >= 0) & (self.hash[found] != h[other])
             other, at = other[on], at[on]
         return out
 

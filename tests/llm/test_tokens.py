@@ -9,7 +9,7 @@ from tokenizers import Tokenizer
 
 from conftest import ODD
 from helpers import SF
-from lodestrata.llm import packing, queries, token_counts, token_files, word_ids
+from lodestrata.llm import common, packing, queries, token_counts, token_files, word_ids
 
 ALPHABET = ["a", "B", "é", "1", "٣", " ", "  ", "\n", "\t", "\x85", "\xa0", "\x1c", "​", "'s", "'", "<|endoftext|>", "<|ENDOFTEXT|>", "日本", "!", "😀", "́", "ß", "İ", "²", "\x00"]
 
@@ -156,3 +156,28 @@ def test_packing_rows(spark, odd_docs, no_docs):
             at += n
         assert at <= 2048
     assert packing.pack(no_docs, path, 0).count() == 0
+
+
+def test_a_worker_remembers_words_within_bounds():
+    """Of ever new words, tables stay within 40 MB."""
+    encoder = word_ids.Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    for i in range(12):
+        texts = pa.array([" ".join(f"w{n:x}" for n in range(i * 60_000, (i + 1) * 60_000))])
+        encoder.encode(texts)
+    assert sum(x.nbytes for x in vars(encoder).values() if isinstance(x, np.ndarray)) < 40e6
+
+
+def test_tasks_give_back_what_arrow_has_freed(monkeypatch):
+    released = []
+
+    class Pool:
+        def release_unused(self):
+            released.append(1)
+
+    class Rows:
+        def mapInArrow(self, run, schema):
+            return run
+
+    monkeypatch.setattr(common.pa, "default_memory_pool", Pool)
+    batches = [pa.RecordBatch.from_pydict({"n": [i]}) for i in range(3)]
+    assert list(common.map_arrow(Rows(), lambda rows: (b for b in rows), "n long")(iter(batches))) == batches and len(released) == 4
